@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lakekit.functions.fixed import PREVIEW_SUFFIXES
 from lakekit.functions.text import human_size, is_number_like, to_number
+from lakekit.operators.ordering import number_rows
 from lakekit.sources.csv import CELLS
 
 PAGE_DEFAULT = 100
@@ -59,6 +60,16 @@ def rows_sort(df: DataFrame, column: str, order: str, descending: bool = False)
     return df.orderBy(*[k.desc_nulls_last() if descending else k.asc_nulls_last() for k in keys], F.col(order))
 
 
+def number_sorted(df: DataFrame, column: str, order: str, name: str, descending: bool = False) -> DataFrame:
+    """All rows with their place, from 1, in the numeric order of ``column``; cells without a number come last.
+
+    Serves pages far into a large table: filter on the place instead of skipping rows.
+    """
+    number = to_number(F.coalesce(cell_text(df, column), F.lit("")))
+    first = number.desc_nulls_last() if descending else number.asc_nulls_last()
+    return number_rows(df, [first, F.col(order)], name)
+
+
 def rows_page(df: DataFrame, limit: int = PAGE_DEFAULT, offset: int = 0) -> DataFrame:
     """One page of an already ordered table."""
     return df.offset(max(offset, 0)).limit(min(limit, PAGE_MAX))

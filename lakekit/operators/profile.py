@@ -52,9 +52,12 @@ def column_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """
     columns = columns or data_columns(df)
     if len(columns) <= WIDE_COLUMNS:
-        measured = _wide_measures(df, columns)
-    else:
-        measured = _long_measures(df, columns)
+        return column_stats_from(wide_measures(df, columns))
+    return column_stats_from(long_measures(df, columns))
+
+
+def column_stats_from(measured: DataFrame) -> DataFrame:
+    """Statistics from one record of measures per column."""
     numeric = (F.col("n") > 0) & (F.col("n") > (F.col("total") - F.col("blank")) * 0.5)
     return measured.select(
         "position",
@@ -69,7 +72,8 @@ def column_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     )
 
 
-def _wide_measures(df: DataFrame, columns: list[str]) -> DataFrame:
+def wide_measures(df: DataFrame, columns: list[str]) -> DataFrame:
+    """All measures of all columns in one aggregate row, unfolded to one record per column."""
     cells = {}
     for i, name in enumerate(columns):
         cells[f"n{i}"], cells[f"b{i}"] = _number_and_blank(df, name)
@@ -96,7 +100,8 @@ def _wide_measures(df: DataFrame, columns: list[str]) -> DataFrame:
     return parts.agg(*measures).select(F.inline(F.array(*per_column)))
 
 
-def _long_measures(df: DataFrame, columns: list[str]) -> DataFrame:
+def long_measures(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The same measures by grouping one record per cell; its plan does not grow with the columns."""
     cells = []
     for i, name in enumerate(columns):
         number, blank = _number_and_blank(df, name)

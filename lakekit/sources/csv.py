@@ -47,16 +47,19 @@ def read_csv(
 def read_raw_csv(spark: SparkSession, path: str, multi_line: bool = False, columns: list[str] | None = None) -> DataFrame:
     """Every record as text cells, short, long and blank records included.
 
+    The names come from the header line, or from ``columns`` for files without one.
+
     Short records are padded with null, long ones cut to the header; ``_cells``
     holds the number of cells found and ``_row`` the read order. Blank lines,
     which the CSV reader drops, come back as records without cells and follow
     the others in ``_row`` order.
     """
+    headless = columns is not None
     columns = columns or csv_header(spark, path)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns + [CORRUPT]])
     records = (
         spark.read.options(
-            **_DIALECT,
+            **{**_DIALECT, "header": not headless},
             mode="PERMISSIVE",
             columnNameOfCorruptRecord=CORRUPT,
             columnPruning=False,  # a pruned read would miss records of a wrong length

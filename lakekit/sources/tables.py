@@ -66,22 +66,23 @@ def read_json(
     return reader.json(path)
 
 
-def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """Project records from a folder of one-document JSON files, best first.
+def parse_metadata(documents: DataFrame, body: str) -> DataFrame:
+    """Project records from a column of JSON documents; other columns are kept.
 
-    Files that hold no JSON object or lack a required field are skipped;
-    ``slug`` is the file stem.
+    Texts that hold no JSON object or lack a required field are skipped.
     """
     schema = T.StructType(REPO_META.fields + [T.StructField("_corrupt_record", T.StringType())])
-    records = (
-        spark.read.schema(schema)
-        .options(multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record")
-        .json(path, pathGlobFilter="*.json")
-        .withColumn("slug", F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", ""))
-    )
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    records = documents.withColumn("_record", F.from_json(body, schema, options)).drop(body).select("*", "_record.*")
     whole = F.col("_corrupt_record").isNull()
     for name in REPO_META_REQUIRED:
         whole = whole & F.col(name).isNotNull()
-    return with_defaults(records.filter(whole).drop("_corrupt_record")).orderBy(
-        F.col("quality_score").desc(), F.col("slug")
+    return with_defaults(records.filter(whole).drop("_record", "_corrupt_record"))
+
+
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """Project records from a folder of one-document JSON files, best first; ``slug`` is the file stem."""
+    documents = spark.read.text(path, wholetext=True, pathGlobFilter="*.json").select(
+        "value", F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "").alias("slug")
     )
+    return parse_metadata(documents, "value").orderBy(F.col("quality_score").desc(), F.col("slug"))
