@@ -56,10 +56,24 @@ def _xml_facts(text: str | None) -> dict:
 
 
 @F.pandas_udf(T.BooleanType())
-def json_valid(text: pd.Series) -> pd.Series:
+def _json_parses(text: pd.Series) -> pd.Series:
     return text.map(_json_ok).astype(object)
 
 
+def json_valid(text: Column) -> Column:
+    """Whether a text is one JSON value; null for null.
+
+    Text that does not begin and end like one is turned down here, which keeps
+    prose out of Python.
+    """
+    blanks = F.lit(" \t\r\n")
+    first = F.substring(F.ltrim(text, blanks), 1, 1)
+    last = F.substring(F.rtrim(text, blanks), -1, 1)
+    possible = first.isin(list('{["-0123456789tfnNI')) & last.isin(list('}]"0123456789leNy'))
+    parsed = _json_parses(F.when(possible, text))
+    return F.when(text.isNotNull(), possible & F.coalesce(parsed, F.lit(False)))
+
+
 @F.pandas_udf(T.BooleanType())
 def python_valid(text: pd.Series) -> pd.Series:
     return text.map(_python_ok).astype(object)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakekit.functions.fixed import (
@@ -45,6 +45,21 @@ def pii_by_file(headers: DataFrame, keys: list[str], column: str = "column") ->
     )
 
 
+def csv_headers(files: DataFrame) -> DataFrame:
+    """One row per column name of every CSV file: ``repo``, ``path``, ``position``, ``column``.
+
+    The header is the first line; commas inside quotes do not split it.
+    """
+    line = F.regexp_extract("content", r"\A\x{FEFF}?([^\r\n]*)", 1)
+    names = F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)')
+    unquoted = F.regexp_replace(F.regexp_replace("raw", r'^"(.*)"$', "$1"), '""', '"')
+    return (
+        files.filter(F.col("suffix") == ".csv")
+        .select("repo", "path", F.posexplode(names).alias("position", "raw"))
+        .select("repo", "path", "position", unquoted.alias("column"))
+    )
+
+
 def license_of(content: Column, head_chars: int | None = LICENSE_HEAD_CHARS) -> Column:
     """License named by a text; the first kind with a match wins.
 
@@ -102,9 +117,10 @@ def license_summary(repos: DataFrame, licenses: DataFrame | None = None) -> Data
 def license_counts(repos: DataFrame) -> DataFrame:
     """Projects per license, beside the number licensed and in all."""
     counted = repos.groupBy(license_or_unknown(F.col("license")).alias("license")).agg(F.count("*").alias("repos"))
-    total = counted.agg(F.sum("repos")).scalar()
-    licensed = counted.filter(F.col("license") != "Unknown").agg(F.coalesce(F.sum("repos"), F.lit(0))).scalar()
-    return counted.withColumns({"licensed": licensed, "total": total})
+    # One row per kind of license is left here, so one task can add them up.
+    everything = Window.partitionBy()
+    licensed = F.sum(F.when(F.col("license") != "Unknown", F.col("repos")).otherwise(0)).over(everything)
+    return counted.withColumns({"licensed": licensed, "total": F.sum("repos").over(everything)})
 
 
 def readme_rank(name: Column) -> Column:

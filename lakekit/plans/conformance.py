@@ -120,8 +120,8 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
     ),
     "sql_window_rank": (
         """SELECT l_orderkey, l_partkey, l_quantity,
-                  rank() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC) AS place,
-                  dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC) AS dense_place
+                  CAST(rank() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC) AS bigint) AS place,
+                  CAST(dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC) AS bigint) AS dense_place
            FROM lineitem""",
         None,
     ),
@@ -199,7 +199,7 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
         "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M') AS minute FROM events",
     ),
     "sql_string_match": (
-        """SELECT p_partkey, upper(p_name) AS name, length(p_type) AS type_chars FROM part
+        """SELECT p_partkey, upper(p_name) AS name, CAST(length(p_type) AS bigint) AS type_chars FROM part
            WHERE p_name ILIKE '%RED%' OR contains(p_type, 'PROMO')""",
         None,
     ),
@@ -217,7 +217,7 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
         "SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS types FROM events GROUP BY user_id",
     ),
     "sql_explode": (
-        "SELECT vec_id, pos, CAST(value AS double) AS value FROM embeddings LATERAL VIEW posexplode(embedding) t AS pos, value",
+        "SELECT vec_id, CAST(pos AS bigint) AS pos, CAST(value AS double) AS value FROM embeddings LATERAL VIEW posexplode(embedding) t AS pos, value",
         """SELECT vec_id, pos - 1 AS pos, CAST(embedding[pos] AS double) AS value
            FROM (SELECT vec_id, embedding, unnest(generate_series(1, len(embedding))) AS pos FROM embeddings)""",
     ),
@@ -235,7 +235,7 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
     ),
     "sql_distinct": ("SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders", None),
     "sql_values": (
-        """SELECT o_orderstatus, w.weight, count(*) AS n FROM orders
+        """SELECT o_orderstatus, CAST(w.weight AS double) AS weight, count(*) AS n FROM orders
            JOIN (VALUES ('F', 1.5), ('O', 2.5), ('P', 4.0)) AS w(status, weight) ON o_orderstatus = w.status
            GROUP BY o_orderstatus, w.weight""",
         None,

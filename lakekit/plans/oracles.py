@@ -40,10 +40,10 @@ VIEWS = {
                CASE d.doc_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS n_files,
                CASE d.doc_id % 3 WHEN 0 THEN ['.csv'] WHEN 1 THEN ['.json'] ELSE CAST([] AS VARCHAR[]) END AS data_types,
                d.doc_id % 7 = 0 AS api_docs_found,
-               CAST(coalesce(quality, 0) * 20 + d.doc_id % 10 AS DOUBLE) AS quality_score,
+               CAST(n_chars % 41 + d.doc_id % 10 AS DOUBLE) AS quality_score,
                'Language: ' || lang AS structure_summary, t.license,
                TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(d.doc_id AS INTEGER)) AS ingested_at
-        FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id JOIN license_texts t ON t.doc_id = d.doc_id)""",
+        FROM documents d JOIN license_texts t ON t.doc_id = d.doc_id)""",
     "snapshots": """snapshots AS (
         SELECT o_custkey AS key, o_totalprice AS score, o_orderdate AS ts, o_orderkey AS seq, o_orderstatus AS license
         FROM orders)""",
@@ -405,6 +405,22 @@ ORACLES: dict[str, str] = {
         coalesce(string_agg(DISTINCT pii_kind, ',' ORDER BY pii_kind), '') AS pii_fields
         FROM (SELECT DISTINCT dataset FROM headers) LEFT JOIN findings USING (dataset) GROUP BY dataset""",
     ),
+    "pii_by_csv_file": using(
+        "corpus_files",
+        body=r""", names AS (
+            SELECT repo, path, unnest(string_split(regexp_extract(content, '^\x{FEFF}?([^\r\n]*)', 1), ',')) AS n
+            FROM corpus_files WHERE suffix = '.csv'),
+        kinds AS (SELECT repo, path, [
+            CASE WHEN regexp_matches(n, 'email|e-mail', 'i') THEN 'email' END,
+            CASE WHEN regexp_matches(n, 'phone|cell|mobile|contact_number', 'i') THEN 'phone' END,
+            CASE WHEN regexp_matches(n, 'address|street|city|state|zip|postal|location|residence', 'i') THEN 'address' END,
+            CASE WHEN regexp_matches(n, '(first|last|full|given|middle)_name|surname', 'i') THEN 'name' END,
+            CASE WHEN regexp_matches(n, 'ssn|social_security|national_id|tax_id', 'i') THEN 'ssn' END,
+            CASE WHEN regexp_matches(n, 'ip_addr|client_ip|remote_addr', 'i') THEN 'ip' END] AS k FROM names)
+        SELECT repo, path, count(kind) > 0 AS pii_flagged, count(kind) AS findings,
+               coalesce(string_agg(DISTINCT kind, ',' ORDER BY kind), '') AS pii_fields
+        FROM (SELECT repo, path, unnest(k) AS kind FROM kinds) GROUP BY repo, path""",
+    ),
     "license_detect": using("license_texts", body="SELECT doc_id, license FROM license_texts"),
     "license_detect_whole_text": "WITH "
     + VIEWS["license_texts"].replace("left(text, 2000)", "text")
@@ -460,6 +476,25 @@ ORACLES: dict[str, str] = {
         body="""SELECT CASE WHEN quality_score >= 30 THEN 'high' WHEN quality_score >= 15 THEN 'mid' ELSE 'low' END AS band,
         count(*) AS repos FROM quality GROUP BY 1""",
     ),
+    "lake_projects": using(
+        "quality",
+        body="""SELECT q.repo, CASE WHEN total_files > 8 AND NOT (quality_score >= 5 AND quality_score > (total_files % 3) * 10)
+                           THEN (total_files % 3) * 10.0::DOUBLE ELSE quality_score END AS quality_score, license, total_files
+        FROM quality q WHERE total_files > 8 OR quality_score >= 5""",
+    ),
+    "lake_file_records": using(
+        "quality",
+        body="""SELECT sha256(content) AS sha256, name, arg_min(repo, path) AS repo, min(path) AS path, min(size) AS size, min(suffix) AS suffix,
+        arg_min(suffix = '.csv' AND regexp_matches(line, 'email|e-mail|phone|cell|mobile|address|street|city|state|zip|postal|location', 'i'), path) AS pii_flagged,
+        coalesce(arg_min(CASE WHEN suffix = '.csv' THEN array_to_string(list_sort(list_filter([
+            CASE WHEN regexp_matches(line, 'email|e-mail', 'i') THEN 'email' END,
+            CASE WHEN regexp_matches(line, 'phone|cell|mobile|contact_number', 'i') THEN 'phone' END,
+            CASE WHEN regexp_matches(line, 'address|street|city|state|zip|postal|location|residence', 'i') THEN 'address' END
+            ], lambda k: k IS NOT NULL)), ',') ELSE '' END, path), '') AS pii_fields,
+        'raw/' || left(sha256(content), 2) || '/' || sha256(content) || '_' || name AS storage_path
+        FROM (SELECT *, regexp_extract(content, '^([^\r\n]*)', 1) AS line FROM checked
+              WHERE data AND repo IN (SELECT repo FROM quality WHERE quality_score >= 5)) GROUP BY sha256(content), name""",
+    ),
     # merge
     "cas_dedup": using(
         "corpus_files",

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakekit import pipeline
 from lakekit.catalog import Catalog, canonical_type, run_sql
 from lakekit.functions.text import human_size, slug, table_name_col
 from lakekit.operators import (
@@ -540,6 +541,13 @@ def pii_by_file(spark, sf_dir):
     return governance.pii_by_file(views.headers(spark, sf_dir), ["dataset"])
 
 
+@query
+def pii_by_csv_file(spark, sf_dir):
+    """Files of the corpus whose CSV header suggests personal data, or not."""
+    found = governance.csv_headers(views.corpus_files(spark, sf_dir))
+    return governance.pii_by_file(found, ["repo", "path"])
+
+
 @query
 def license_detect(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", governance.license_of(F.col("text")).alias("license"))
@@ -639,6 +647,22 @@ def score_bands(spark, sf_dir):
     return quality.score_bands(_quality(spark, sf_dir))
 
 
+@query
+def lake_projects(spark, sf_dir):
+    """Projects built from the corpus against a store that already holds some, with other scores."""
+    corpus_files = views.corpus_files(spark, sf_dir)
+    built = pipeline.lake_projects(corpus_files, minimum=0.0)
+    stored = built.filter("total_files > 8").withColumn("quality_score", (F.col("total_files") % 3) * 10.0)
+    found = pipeline.lake_projects(corpus_files, stored)
+    return found.select("repo", "quality_score", "license", "total_files")
+
+
+@query
+def lake_file_records(spark, sf_dir):
+    corpus_files = views.corpus_files(spark, sf_dir)
+    return pipeline.lake_file_records(corpus_files, pipeline.lake_projects(corpus_files))
+
+
 # --- merge -----------------------------------------------------------------
 
 
@@ -855,13 +879,16 @@ def weighted_sample(spark, sf_dir):
 # --- incremental forms -----------------------------------------------------
 
 
-def _arrivals(spark, df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """A stream over ``df``, written as three stretches of ``seq`` that arrive one after the other."""
-    path = scratch_path(spark, label)
-    third = F.floor(F.col("seq") * 3 / (df.agg(F.max("seq")).scalar() + 1))
+def _arrive(spark, rows: DataFrame, label: str, make: Callable[[str], incremental.IncrementalTable]) -> DataFrame:
+    """Result of a table that ``rows`` reach in three stretches of ``seq``, one run of the stream for each."""
+    source, target = scratch_path(spark, label), scratch_path(spark, label)
+    store = make(target)
+    third = F.floor(F.col("seq") * 3 / (rows.agg(F.max("seq")).scalar() + 1))
     for part in range(3):
-        df.filter(third == part).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path), scratch_path(spark, label)
+        rows.filter(third == part).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(rows.schema).parquet(source)
+        store.start(stream, target + "-checkpoint").awaitTermination()
+    return store.result()
 
 
 @query
@@ -878,10 +905,10 @@ def stream_convert(spark, sf_dir):
 
 @query
 def stream_keep_better(spark, sf_dir):
-    stream, path = _arrivals(spark, views.snapshots(spark, sf_dir), "better")
-    store = incremental.BestPerKey(spark, path, "key", "score", "seq", compact_every=2)
-    store.start(stream, path + "-checkpoint").awaitTermination()
-    return store.result().select("key", "score", "seq")
+    def make(path):
+        return incremental.BestPerKey(spark, path, "key", "score", "seq", compact_every=2)
+
+    return _arrive(spark, views.snapshots(spark, sf_dir), "better", make).select("key", "score", "seq")
 
 
 @query
@@ -894,26 +921,28 @@ def stream_upsert(spark, sf_dir):
         F.date_format("ts", "yyyy-MM-dd").alias("updated_at"),
         "seq",
     )
-    stream, path = _arrivals(spark, rows, "upserts")
-    store = incremental.Upserts(spark, path, "repo_url", "seq", compact_every=2)
-    store.start(stream, path + "-checkpoint").awaitTermination()
-    return store.result().select("repo_url", "first_seq", "quality_score", "license", "updated_at")
+
+    def make(path):
+        return incremental.Upserts(spark, path, "repo_url", "seq", compact_every=2)
+
+    result = _arrive(spark, rows, "upserts", make)
+    return result.select("repo_url", "first_seq", "quality_score", "license", "updated_at")
 
 
 @query
 def stream_insert_ignore(spark, sf_dir):
-    stream, path = _arrivals(spark, views.snapshots(spark, sf_dir), "inserts")
-    store = incremental.FirstPerKey(spark, path, ["key", "license"], "seq")
-    store.start(stream, path + "-checkpoint").awaitTermination()
-    return store.result().select("key", "license", "score", "seq")
+    def make(path):
+        return incremental.FirstPerKey(spark, path, ["key", "license"], "seq")
+
+    return _arrive(spark, views.snapshots(spark, sf_dir), "inserts", make).select("key", "license", "score", "seq")
 
 
 @query
 def stream_health(spark, sf_dir):
-    stream, path = _arrivals(spark, views.probe_events(spark, sf_dir), "health")
-    store = incremental.RunningHealth(spark, path, "entity", ["ts", "seq"], "ok", "latency", compact_every=2)
-    store.start(stream, path + "-checkpoint").awaitTermination()
-    return store.result()
+    def make(path):
+        return incremental.RunningHealth(spark, path, "entity", ["ts", "seq"], "ok", "latency", compact_every=2)
+
+    return _arrive(spark, views.probe_events(spark, sf_dir), "health", make)
 
 
 # --- statements ------------------------------------------------------------

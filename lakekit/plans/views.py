@@ -47,8 +47,7 @@ def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def repo_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Project records, one per document."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    docs = table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
+    docs = table(spark, sf_dir, "documents")
     kind = F.col("doc_id") % 3
     none = F.expr("cast(array() as array<string>)")
     return docs.select(
@@ -69,7 +68,7 @@ def repo_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(none)
         .alias("data_types"),
         (F.col("doc_id") % 7 == 0).alias("api_docs_found"),
-        (F.coalesce("quality", F.lit(0)) * 20 + F.col("doc_id") % 10).cast("double").alias("quality_score"),
+        (F.col("n_chars") % 41 + F.col("doc_id") % 10).cast("double").alias("quality_score"),
         F.concat(F.lit("Language: "), "lang").alias("structure_summary"),
         license_of(F.col("text")).alias("license"),
         (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("doc_id").cast("int")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import logging
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ log = logging.getLogger(__name__)
 
 # Row groups are sized in bytes by the Parquet writer; files are capped in rows.
 MAX_ROWS_PER_FILE = 10_000_000
+HEADER_THREADS = 16
 
 
 def export_parquet(df: DataFrame, path: str, compression: str = "zstd", mode: str = "overwrite") -> None:
@@ -110,13 +112,24 @@ def batch_convert(
     counts = {r["action"]: r["n"] for r in plan.groupBy("action").agg(F.count("*").alias("n")).collect()}
     stats = {"converted": 0, "skipped": counts.get("skip", 0), "failed": 0, "bytes_saved": 0}
     groups: dict[tuple, list] = {}
-    for row in plan.filter("action = 'convert'").orderBy("path").toLocalIterator():
+
+    def columns_of(row):
         try:
-            columns = csv_header(spark, row["path"]) if row["suffix"] == ".csv" else read_json(spark, row["path"]).columns
-            groups.setdefault((row["suffix"], *columns), []).append(row)
+            if row["suffix"] == ".csv":
+                return row, csv_header(spark, row["path"])
+            return row, read_json(spark, row["path"]).columns
         except Exception as error:  # noqa: BLE001 - one bad file must not stop the others
             log.warning("cannot read %s: %s", row["path"], error)
-            stats["failed"] += 1
+            return row, None
+
+    # Each look at a header is a job of one small task, so many run at once.
+    with ThreadPoolExecutor(HEADER_THREADS) as pool:
+        pending = plan.filter("action = 'convert'").orderBy("path").toLocalIterator()
+        for row, columns in pool.map(columns_of, pending):
+            if columns is None:
+                stats["failed"] += 1
+            else:
+                groups.setdefault((row["suffix"], *columns), []).append(row)
     done = []
     for (kind, *columns), rows in groups.items():
         try:
