@@ -14,7 +14,7 @@ PREVIEW_SUFFIXES = [".csv", ".json", ".md", ".txt", ".py", ".xml", ".yml", ".yam
 API_DOC_NAMES = ["swagger.json", "openapi.yaml", "openapi.yml", "openapi.json"]
 
 # A README that mentions an API.
-README_API_REGEX = r"(https?://[^\s]*api[^\s]*|/api/v?\d|endpoint|REST\s*API|GraphQL)"
+README_API_REGEXES = [r"https?://[^\s]*api[^\s]*", r"/api/v?\d", r"endpoint", r"REST\s*API", r"GraphQL"]
 
 # README file names in order of preference.
 README_NAMES = ["README.md", "README.rst", "README.txt", "README"]
@@ -35,13 +35,13 @@ LICENSE_REGEXES = {
 }
 
 # Words in a column name that suggest personal data.
-PII_REGEXES = {
-    "email": r"(email|e\-mail|email_address|contact_email)",
-    "phone": r"(phone|telephone|cell|mobile|contact_number|phone_number)",
-    "address": r"(address|street|city|state|zip|postal|location|residence)",
-    "name": r"(first_name|last_name|full_name|given_name|surname|middle_name)",
-    "ssn": r"(ssn|social_security|national_id|tax_id)",
-    "ip": r"(ip_address|ip_addr|client_ip|remote_addr)",
+PII_WORDS = {
+    "email": ["email", "e-mail", "email_address", "contact_email"],
+    "phone": ["phone", "telephone", "cell", "mobile", "contact_number", "phone_number"],
+    "address": ["address", "street", "city", "state", "zip", "postal", "location", "residence"],
+    "name": ["first_name", "last_name", "full_name", "given_name", "surname", "middle_name"],
+    "ssn": ["ssn", "social_security", "national_id", "tax_id"],
+    "ip": ["ip_address", "ip_addr", "client_ip", "remote_addr"],
 }
 
 # Words in a search that ask for a data type, or for API documentation.

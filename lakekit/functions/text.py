@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# A decimal number with optional sign, fraction and exponent; ASCII digits only.
-NUMBER_REGEX = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+# A decimal number with optional sign, fraction and exponent; ASCII digits only. Never steps back.
+NUMBER_REGEX = r"^\s*+[+-]?+(?:\d++\.?+\d*+|\.\d++)(?:[eE][+-]?+\d++)?+\s*+$"
+
+# Code of the first character of an empty text, and of every white space character.
+_NOTHING_OR_SPACE = [0, *range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
 
 
 def strip(cell: Column) -> Column:
@@ -44,27 +48,17 @@ def human_size(size: Column, units: tuple[str, ...] = ("B", "KB", "MB", "GB", "T
 
 
 def is_blank(cell: Column) -> Column:
-    """Null, empty or white space only."""
-    return cell.isNull() | ~F.coalesce(cell, F.lit("")).rlike(r"(?U)\S")
+    """Null, empty or white space only; a cell that begins with any other character needs no further look."""
+    return cell.isNull() | (F.ascii(cell).isin(_NOTHING_OR_SPACE) & ~cell.rlike(r"(?U)\S"))
 
 
 def to_number(cell: Column) -> Column:
     """The cell as a double, or null when it is no plain decimal number.
 
-    A cast alone would also take ``1d``, ``NaN`` and hexadecimal text. Cells
-    that end in a digit or a dot only need a look for ``x``; the regular
-    expression is left to the few that end in neither digit nor letter.
+    A cast alone would also take ``1d``, ``NaN`` and hexadecimal text, and it
+    is slow to turn text down.
     """
-    last = F.substring(cell, -1, 1)
-    value = cell.try_cast("double")
-    plain = last.between("0", "9") | (last == ".")
-    letter = last.between("a", "z") | last.between("A", "Z")
-    hexadecimal = (F.instr(cell, "x") > 0) | (F.instr(cell, "X") > 0)
-    return (
-        F.when(plain, F.when(~hexadecimal, value))
-        .when(letter, F.lit(None).cast("double"))
-        .when(cell.rlike(NUMBER_REGEX), value)
-    )
+    return F.when(cell.rlike(NUMBER_REGEX), cell.try_cast("double"))
 
 
 def is_number_like(cell: Column) -> Column:
@@ -77,6 +71,49 @@ def words(text: Column) -> Column:
     return F.split(F.lower(text), r"(?U)\W+")
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row, however often ``body`` names it.
+
+    Spark copies a shared expression into every branch of a condition; as the
+    variable of a function over a one-element array it is a value instead.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def fold_case(text: Column) -> Column:
+    """Lower case for comparing in any case; three letters that lower case alone would miss become plain."""
+    for letter, plain in (("\u017f", "s"), ("\u0131", "i"), ("\u0130", "i")):
+        text = F.replace(text, F.lit(letter), F.lit(plain))
+    return F.lower(text)
+
+
+def _literal_pieces(regex: str) -> list[str]:
+    """The plain text between the special parts of a simple regular expression."""
+    pieces = re.split(r"\[[^\]]*\][*+?]?|\\[sdw][*+?]?|\.[*+]|\w\?", regex)
+    return [re.sub(r"\\(.)", r"\1", piece).lower() for piece in pieces if piece]
+
+
+def mentions(folded: Column, regexes: list[str]) -> Column:
+    """Whether a text in folded case matches one of some expressions written for any case.
+
+    The longest plain piece of an expression is looked up first, so the
+    expression itself runs on few texts, and not at all when it is all plain.
+    """
+    found = F.lit(False)
+    for regex in regexes:
+        pieces = _literal_pieces(regex)
+        hit = folded.contains(max(pieces, key=len))
+        if pieces != [regex.lower()]:
+            hit = hit & folded.rlike("(?dU)" + _lower_letters(regex))
+        found = found | hit
+    return found
+
+
+def _lower_letters(regex: str) -> str:
+    """Lower case for the letters of an expression, but not for those that a backslash makes special."""
+    return re.sub(r"(\\.)|(.)", lambda m: m.group(1) or m.group(2).lower(), regex)
+
+
 def suffix(name: Column) -> Column:
     """Lower-case suffix from the last dot of a file name, or empty.
 

@@ -10,17 +10,25 @@ from lakekit.functions.fixed import (
     LICENSE_HEAD_CHARS,
     LICENSE_NAMES,
     LICENSE_REGEXES,
-    PII_REGEXES,
-    README_API_REGEX,
+    PII_WORDS,
+    README_API_REGEXES,
     README_NAMES,
 )
-from lakekit.functions.text import license_or_unknown
+from lakekit.functions.text import bind, fold_case, license_or_unknown, mentions
 
 
 def pii_kinds(header: Column) -> Column:
-    """Kinds of personal data a column name suggests, as an array."""
-    kinds = [F.when(header.rlike("(?i)" + regex), F.lit(kind)) for kind, regex in PII_REGEXES.items()]
-    return F.filter(F.array(*kinds), lambda k: k.isNotNull())
+    """Kinds of personal data a column name suggests, as an array.
+
+    A kind fits when one of its words occurs anywhere in the name, in any case.
+    """
+
+    def kinds(folded: Column) -> Column:
+        return F.array_compact(
+            F.array(*[F.when(mentions(folded, words), F.lit(kind)) for kind, words in PII_WORDS.items()])
+        )
+
+    return bind(fold_case(header), kinds)
 
 
 def pii_columns(headers: DataFrame, column: str = "column") -> DataFrame:
@@ -30,12 +38,12 @@ def pii_columns(headers: DataFrame, column: str = "column") -> DataFrame:
 
 def pii_by_file(headers: DataFrame, keys: list[str], column: str = "column") -> DataFrame:
     """Per file: whether it is flagged, the number of findings, and the kinds found."""
-    kinds = pii_kinds(F.col(column))
-    # At most one entry per kind, so the set stays small however many columns there are.
-    found = F.array_sort(F.flatten(F.collect_set(kinds)))
     return (
-        headers.groupBy(*keys)
-        .agg(F.sum(F.size(kinds)).alias("findings"), F.array_distinct(found).alias("_kinds"))
+        headers.select(*keys, pii_kinds(F.col(column)).alias("_found"))
+        # No more sets of kinds than there are combinations, however many columns there are.
+        .groupBy(*keys)
+        .agg(F.sum(F.size("_found")).alias("findings"), F.collect_set("_found").alias("_sets"))
+        .withColumn("_kinds", F.array_sort(F.array_distinct(F.flatten("_sets"))))
         .select(
             *keys,
             (F.col("findings") > 0).alias("pii_flagged"),
@@ -66,14 +74,11 @@ def license_of(content: Column, head_chars: int | None = LICENSE_HEAD_CHARS) ->
     Only the head of a license file is read; ``head_chars=None`` searches the whole text.
     """
     head = content if head_chars is None else F.left(content, F.lit(head_chars))
-    result = None
-    for kind, regexes in LICENSE_REGEXES.items():
-        match = None
-        for regex in regexes:
-            hit = head.rlike("(?iU)" + regex)
-            match = hit if match is None else match | hit
-        result = F.when(match, F.lit(kind)) if result is None else result.when(match, F.lit(kind))
-    return result
+
+    def kind(folded: Column) -> Column:
+        return F.coalesce(*[F.when(mentions(folded, r), F.lit(name)) for name, r in LICENSE_REGEXES.items()])
+
+    return bind(fold_case(head), kind)
 
 
 def root_name(path: Column, repo: Column) -> Column:
@@ -130,7 +135,7 @@ def readme_rank(name: Column) -> Column:
 
 
 def mentions_api(content: Column) -> Column:
-    return content.rlike("(?iU)" + README_API_REGEX)
+    return bind(fold_case(content), lambda folded: mentions(folded, README_API_REGEXES))
 
 
 def api_docs(files: DataFrame) -> DataFrame:

@@ -33,8 +33,7 @@ def _number_and_blank(df: DataFrame, name: str) -> tuple[Column, Column]:
     """Number in a cell and whether the cell is blank; typed columns skip the text."""
     kind, cell = df.schema[name].dataType, quoted(name)
     if isinstance(kind, T.StringType):
-        number = to_number(cell)
-        return number, F.when(number.isNull(), is_blank(cell)).otherwise(False)
+        return to_number(cell), is_blank(cell)
     if isinstance(kind, (T.DoubleType, T.FloatType)):
         value = cell.cast("double")
         infinite = F.abs(value) == float("inf")

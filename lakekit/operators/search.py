@@ -15,8 +15,10 @@ NAME_SPLIT = r"(?U)[\s\-_/.,]+"
 QUERIES_PER_PASS = 32
 
 
-def _lower_all(values: Column) -> Column:
-    return F.transform(values, lambda v: F.lower(v))
+def _name_parts() -> Column:
+    """Pieces of the name, and the tags and data types as they are, in lower case."""
+    labels = F.transform(F.concat("tags", "data_types"), lambda v: strip(F.lower(v)))
+    return F.concat(F.split(F.lower("repo_name"), NAME_SPLIT), labels)
 
 
 def _long_words(text: Column) -> Column:
@@ -26,13 +28,11 @@ def _long_words(text: Column) -> Column:
 def repo_tokens() -> Column:
     """Distinct index tokens of a project record."""
     pieces = F.concat(
-        F.split(F.lower("repo_name"), NAME_SPLIT),
-        _lower_all(F.col("tags")),
-        _lower_all(F.col("data_types")),
+        _name_parts(),
         _long_words(F.col("description")),
         _long_words(F.col("structure_summary")),
     )
-    return F.array_distinct(F.filter(F.transform(pieces, strip), lambda t: t != ""))
+    return F.array_remove(F.array_distinct(pieces), "")
 
 
 def postings(repos: DataFrame, key: str = "seq") -> DataFrame:
@@ -80,16 +80,12 @@ def wants_api(query: str) -> bool:
 
 def _prepared(repos: DataFrame) -> DataFrame:
     """Lower-case columns that every query looks at, computed once per row."""
-    parts = F.transform(
-        F.concat(F.split(F.lower("repo_name"), NAME_SPLIT), _lower_all(F.col("tags")), _lower_all(F.col("data_types"))),
-        strip,
-    )
     return repos.withColumns(
         {
             "_name": F.lower("repo_name"),
             "_description": F.lower(F.coalesce("description", F.lit(""))),
             "_summary": F.lower(F.coalesce("structure_summary", F.lit(""))),
-            "_parts": parts,
+            "_parts": _name_parts(),
         }
     )
 

@@ -17,23 +17,16 @@ def payload_rows(payloads: DataFrame, body: str, keep: list[str]) -> DataFrame:
     """
     parsed = payloads.select(*keep, F.try_parse_json(F.col(body)).alias("_v"))
 
-    def at(key: str) -> Column:
-        return F.try_variant_get(F.col("_v"), f"$.{key}", "variant")
-
-    holder = F.when(_is_list(F.col("_v")), F.col("_v"))
-    for key in _WRAPPERS:
-        holder = holder.when(at(key).isNotNull(), at(key))
-    items = parsed.filter(F.col("_v").isNotNull()).withColumn("_holder", holder.otherwise(F.col("_v")))
-    items = items.filter(F.schema_of_variant("_holder") != "VOID")
-    # variant_get turns a list into an array of variants; anything else becomes an array of one.
-    as_array = F.when(
-        _is_list(F.col("_holder")), F.try_variant_get(F.col("_holder"), "$", "array<variant>")
-    ).otherwise(F.array(F.col("_holder")))
-    return items.select(*keep, F.posexplode(as_array).alias("pos", "item"))
-
-
-def _is_list(variant: Column) -> Column:
-    return F.schema_of_variant(variant).startswith("ARRAY")
+    # A path into a list finds no key, so a list that is the whole answer holds itself.
+    wrapped = [F.try_variant_get(F.col("_v"), f"$.{key}", "variant") for key in _WRAPPERS]
+    holder = F.coalesce(*wrapped, F.col("_v"))
+    items = parsed.filter(F.col("_v").isNotNull()).withColumn("_holder", holder)
+    # A list is read as an array of variants; anything else is no array and becomes an array of one.
+    listed = F.try_variant_get(F.col("_holder"), "$", "array<variant>")
+    single = F.array(F.col("_holder"))
+    return items.filter(~F.is_variant_null("_holder")).select(
+        *keep, F.posexplode(F.coalesce(listed, single)).alias("pos", "item")
+    )
 
 
 def repo_items(rows: DataFrame, keep: list[str]) -> DataFrame:

@@ -53,6 +53,16 @@ def read_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.parquet(path) if isinstance(path, str) else spark.read.parquet(*path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than cores, spread over all of them before heavy work per row.
+
+    A small file with one row group is one task. Inputs of a size where
+    shuffling would matter have more splits than cores and are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_json(
     spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None, lines: bool = False
 ) -> DataFrame:
