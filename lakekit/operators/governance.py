@@ -141,11 +141,17 @@ def mentions_api(content: Column) -> Column:
 def api_docs(files: DataFrame) -> DataFrame:
     """Per project: an API description file anywhere, and a README that mentions an API."""
     name = F.element_at(F.split("path", "/"), -1)
-    top = root_name(F.col("path"), F.col("repo"))
-    rank = readme_rank(top)
-    mention = F.when(rank.isNotNull(), mentions_api(F.col("content")))
+    ranked = files.withColumn("_top", root_name(F.col("path"), F.col("repo"))).withColumn(
+        "_place", readme_rank(F.col("_top"))
+    )
+    readme = F.col("_place").isNotNull()
     return (
-        files.withColumns({"_rank": F.when(rank.isNotNull(), F.struct(rank, top)), "_mention": mention})
+        ranked.withColumns(
+            {
+                "_rank": F.when(readme, F.struct("_place", "_top")),
+                "_mention": F.when(readme, mentions_api(F.col("content"))),
+            }
+        )
         .groupBy("repo")
         .agg(
             F.bool_or(name.isin(API_DOC_NAMES)).alias("api_docs_found"),

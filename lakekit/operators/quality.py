@@ -25,30 +25,30 @@ def repo_quality(files: DataFrame) -> DataFrame:
     combined per project before the shuffle, so content never moves.
     """
     path, repo, content = F.col("path"), F.col("repo"), F.col("content")
-    top = root_name(path, repo)
-    first_dir = F.split(F.substr(path, F.length(repo) + 2), "/")[0]
-    readme = readme_rank(top)
+    inner = F.substr(path, F.length(repo) + 2)
     starts_as_sample = F.lit(False)
     for start in SAMPLE_NAME_STARTS:
-        starts_as_sample = starts_as_sample | first_dir.startswith(start)
-    rank = rank_in(top, LICENSE_NAMES)
+        starts_as_sample = starts_as_sample | F.col("inner").startswith(start)
 
-    flags = file_checks(files).select(
+    # Named step by step, so that Spark computes each of these once per file.
+    named = file_checks(files).withColumns({"inner": inner, "top": root_name(path, repo), "data": is_data_file(path)})
+    ranked = named.withColumns({"readme": readme_rank(F.col("top")), "license_rank": rank_in(F.col("top"), LICENSE_NAMES)})
+    flags = ranked.select(
         "repo",
-        F.col("size"),
-        is_data_file(path).alias("data"),
-        F.when(is_data_file(path), F.col("suffix")).alias("data_suffix"),
+        "size",
+        "data",
+        F.when(F.col("data"), F.col("suffix")).alias("data_suffix"),
         F.element_at(F.split(path, "/"), -1).isin(API_DOC_NAMES).alias("api_doc"),
-        F.when(readme.isNotNull(), F.struct(readme, top)).alias("readme_rank"),
-        F.when(readme.isNotNull(), mentions_api(content)).alias("mention"),
+        F.when(F.col("readme").isNotNull(), F.struct("readme", "top")).alias("readme_rank"),
+        F.when(F.col("readme").isNotNull(), mentions_api(content)).alias("mention"),
         "csv_ok",
         "json_ok",
         "py_ok",
         "xml_ok",
         starts_as_sample.alias("sample"),
-        F.when(rank.isNotNull(), license_of(content)).alias("license"),
-        rank.alias("license_rank"),
-        top.alias("top"),
+        F.when(F.col("license_rank").isNotNull(), license_of(content)).alias("license"),
+        "license_rank",
+        "top",
     )
     per_repo = flags.groupBy("repo").agg(
         F.count("*").alias("total_files"),
