@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from lakekit.functions.text import table_name
 from lakekit.operators.statements import is_read_only
+from lakekit.sources import sinks
 from lakekit.sources.csv import read_csv, read_csv_directory
 from lakekit.sources.tables import read_json, read_parquet
 
@@ -46,6 +47,12 @@ class Catalog:
             self.register(name, df)
         return len(tables)
 
+    def export_parquet(self, name: str, path: str) -> None:
+        sinks.export_parquet(self.tables[name], path)
+
+    def export_csv(self, name: str, path: str) -> None:
+        sinks.export_csv(self.tables[name], path)
+
     def list_tables(self) -> DataFrame:
         """Every table with its row count and columns ``(name, type)``; one job counts all."""
         parts = []

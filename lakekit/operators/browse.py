@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lakekit.functions.fixed import PREVIEW_SUFFIXES
 from lakekit.functions.text import human_size, is_number_like, to_number
+from lakekit.operators.corpus import pretty_json
 from lakekit.operators.ordering import number_rows
 from lakekit.sources.csv import CELLS
 
@@ -90,8 +91,14 @@ def preview(df: DataFrame, order: str, rows: int = PREVIEW_ROWS) -> DataFrame:
     return head.withColumns({"total_rows": shown, "truncated": shown >= rows})
 
 
-def content_preview(files: DataFrame, chars: int = PREVIEW_CHARS) -> DataFrame:
-    """Kind and first characters of each file; other kinds show their size."""
+def content_preview(files: DataFrame, chars: int = PREVIEW_CHARS, indent_json: bool = False) -> DataFrame:
+    """Kind and first characters of each file; other kinds show their size.
+
+    With ``indent_json`` valid JSON is indented first, which takes it through Python.
+    """
+    if indent_json:
+        pretty = pretty_json(F.when(F.col("suffix") == ".json", F.col("content")))
+        files = files.withColumn("content", F.coalesce(pretty, "content"))
     text = F.col("suffix").isin([s for s in PREVIEW_SUFFIXES if s != ".csv"])
     kind = F.when(F.col("suffix") == ".csv", "csv").when(F.col("suffix") == ".json", "json").when(text, "text")
     shown = F.when(text, F.left(F.col("content"), F.lit(chars)))

@@ -110,13 +110,10 @@ def xml_report(files: DataFrame, content: str, keep: list[str]) -> DataFrame:
     return files.select(*keep, xml_facts(F.col(content)).alias("_x")).select(*keep, "_x.*")
 
 
-def indented_json(files: DataFrame, content: str) -> DataFrame:
-    """JSON content re-indented for reading; other content unchanged."""
-    return files.withColumn(content, pretty_json(F.col(content)))
-
-
 @F.pandas_udf(T.StringType())
 def pretty_json(text: pd.Series) -> pd.Series:
+    """JSON indented for reading; text that is no JSON stays as it is."""
+
     def pretty(value):
         try:
             return None if value is None else json.dumps(json.loads(value), indent=2, ensure_ascii=False)

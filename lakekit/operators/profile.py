@@ -6,7 +6,7 @@ per column, so the shuffle does not grow with the data.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,7 +15,7 @@ from lakekit.functions.text import is_blank, is_number_like, strip, to_number
 from lakekit.operators.ordering import first_per_key
 from lakekit.sources.csv import CELLS, ROW
 
-# Beyond this many columns one record per cell is cheaper to plan than one wide aggregate.
+# Columns measured by one aggregate; its generated code grows with them.
 WIDE_COLUMNS = 64
 DATE_SAMPLE = 20
 TYPE_SAMPLE = 10
@@ -50,9 +50,13 @@ def column_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     numbers. Cells missing from short records count as blank.
     """
     columns = columns or data_columns(df)
-    if len(columns) <= WIDE_COLUMNS:
-        return column_stats_from(wide_measures(df, columns))
-    return column_stats_from(long_measures(df, columns))
+    parts = [columns[i : i + WIDE_COLUMNS] for i in range(0, len(columns), WIDE_COLUMNS)]
+    measured = wide_measures(df, parts[0])
+    for i, part in enumerate(parts[1:], 1):
+        # Each pass over a columnar table reads its own columns only.
+        more = wide_measures(df, part).withColumn("position", F.col("position") + i * WIDE_COLUMNS)
+        measured = measured.unionByName(more)
+    return column_stats_from(measured)
 
 
 def column_stats_from(measured: DataFrame) -> DataFrame:
@@ -100,7 +104,8 @@ def wide_measures(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def long_measures(df: DataFrame, columns: list[str]) -> DataFrame:
-    """The same measures by grouping one record per cell; its plan does not grow with the columns."""
+    """The same measures by grouping one record per cell: one pass and a short plan for any number of
+    columns, at several times the cost per cell. For wide inputs that are dear to read twice."""
     cells = []
     for i, name in enumerate(columns):
         number, blank = _number_and_blank(df, name)
@@ -188,11 +193,10 @@ def infer_types_batch(tables: dict[str, tuple[DataFrame, str]], rows: int = TYPE
     samples, errors = [], []
     for name, (df, order) in tables.items():
         try:
-            head = df.orderBy(order).limit(rows)
-            keep = [F.lit(name).alias("table"), F.col(order).cast("string").alias("_text"), F.col(order).alias("_o")]
-            cells = long_cells(head, data_columns(df), keep)
-            # Orders of different types meet in one column, so number the few sampled rows as text.
-            samples.append(cells.withColumn("_order", F.struct(F.length("_text"), "_text")).drop("_o", "_text"))
+            # Order columns of any type meet in one column as the numbers of the few sampled rows.
+            place = F.row_number().over(Window.orderBy(order)).alias("_order")
+            head = df.orderBy(order).limit(rows).select("*", place)
+            samples.append(long_cells(head, data_columns(df), [F.lit(name).alias("table"), F.col("_order")]))
         except Exception as error:  # noqa: BLE001 - one bad table must not stop the others
             errors.append((name, str(error).split("\n")[0]))
     guessed = None

@@ -165,7 +165,9 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
         None,
     ),
     "sql_pivot": (
-        """SELECT * FROM (SELECT c_mktsegment, c_nationkey, c_acctbal FROM customer)
+        """SELECT c_nationkey, coalesce(building, 0) AS building, coalesce(machinery, 0) AS machinery,
+                  coalesce(furniture, 0) AS furniture
+           FROM (SELECT c_mktsegment, c_nationkey, c_acctbal FROM customer)
            PIVOT (count(c_acctbal) FOR c_mktsegment IN ('BUILDING' AS building, 'MACHINERY' AS machinery, 'FURNITURE' AS furniture))""",
         """SELECT c_nationkey, count(*) FILTER (c_mktsegment = 'BUILDING') AS building,
                   count(*) FILTER (c_mktsegment = 'MACHINERY') AS machinery,

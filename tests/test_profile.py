@@ -118,6 +118,29 @@ def test_chart_series_drops_pairs(spark):
     assert [tuple(r) for r in browse.chart_series(df, "x", "y", "k").collect()] == [(0, "a", 1.0), (2, "", 3.0)]
 
 
+def test_wide_tables_are_measured_in_parts(spark, monkeypatch):
+    df = spark.range(20).select(*[(F.col("id") * i).alias(f"c{i}") for i in range(7)])
+    whole = profile.column_stats(df).collect()
+    monkeypatch.setattr(profile, "WIDE_COLUMNS", 3)
+    assert profile.column_stats(df).orderBy("position").collect() == whole
+
+
+def test_content_preview(spark):
+    df = spark.createDataFrame([("a.json", ".json", 9, '{"a":"é"}'), ("b.json", ".json", 2, "{x"), ("c.bin", ".bin", 2048, "z")],
+                               "path string, suffix string, size bigint, content string")
+    found = [tuple(r) for r in browse.content_preview(df, 12, indent_json=True).collect()]
+    assert found == [("a.json", "json", '{\n  "a": "é"', None), ("b.json", "json", "{x", None), ("c.bin", "binary", None, "2.0 KB")]
+
+
+def test_guesses_for_many_tables(spark):
+    one = spark.createDataFrame([(-20, "x"), (-3, "1")], "k int, v string")
+    two = spark.createDataFrame([("b", "2.5"), ("a", "1")], "k string, v string")
+    tables = {"one": (one, "k"), "two": (two, "k"), "bad": (two, "missing")}
+    found = {(r.table, r["column"]): (r.type_guess, r.error) for r in profile.infer_types_batch(tables).collect()}
+    assert found[("one", "v")] == ("string", None) and found[("two", "v")] == ("float", None)
+    assert "missing" in found[("bad", None)][1]
+
+
 def test_empty_inputs(spark):
     empty = spark.createDataFrame([], "k int, c string")
     stats = profile.column_stats(empty).collect()
