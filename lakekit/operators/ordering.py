@@ -7,13 +7,25 @@ from pyspark.sql import functions as F
 
 from lakekit.session import scratch_path
 
+# From this many rows per key on, Spark no longer limits them before the shuffle.
+GROUP_LIMIT = 1000
+SLICES = 256
+
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
     """The first ``n`` rows of every key in ``order``.
 
     Spark limits each key to ``n`` rows in every task before the shuffle, so a
-    key that holds most of the rows costs no more than any other.
+    key that holds most of the rows costs no more than any other. It does so
+    for small ``n`` only; beyond that, each key is first limited in slices.
     """
+    if n >= GROUP_LIMIT:
+        sliced = df.withColumn("_slice", F.spark_partition_id() % SLICES)
+        df = _ranked(sliced, [*keys, "_slice"], order, n).drop("_slice")
+    return _ranked(df, keys, order, n)
+
+
+def _ranked(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") <= n).drop("_rank")
 

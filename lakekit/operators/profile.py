@@ -164,11 +164,16 @@ def long_cells(df: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
 def date_columns(df: DataFrame, order: str = ROW, columns: list[str] | None = None) -> DataFrame:
     """Columns where at least 70% of the first 20 cells, and at least 3 cells, read ``dddd-dd-dd``."""
     columns = columns or data_columns(df)
+    head = df.orderBy(order).limit(DATE_SAMPLE)
     if CELLS in df.columns:
-        cells = long_cells(df, columns, [order]).filter("present")
-        sample = first_per_key(cells, ["position", "column"], [F.col(order)], DATE_SAMPLE)
-    else:
-        sample = long_cells(df.orderBy(order).limit(DATE_SAMPLE), columns, [order])
+        # The head holds every sample unless one of its records is short; only then look at the rest:
+        # the first 20 cells of a column are among the first 20 records of each length.
+        short = head.agg(F.count_if(F.col(CELLS) < len(columns))).scalar()
+        length = F.least(F.col(CELLS), F.lit(len(columns)))
+        rest = first_per_key(df.filter(short > 0).withColumn("_length", length), ["_length"], [F.col(order)], DATE_SAMPLE)
+        head = head.filter(short == 0).unionByName(rest.drop("_length"))
+    cells = long_cells(head, columns, [order]).filter("present")
+    sample = first_per_key(cells, ["position", "column"], [F.col(order)], DATE_SAMPLE)
     is_date = F.coalesce(strip(F.col("cell")), F.lit("")).rlike(r"^\d{4}-\d{2}-\d{2}$")
     return (
         sample.groupBy("position", "column")

@@ -36,7 +36,7 @@ def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = texts(spark, sf_dir, "documents").select(
         F.expr("concat('repo_', doc_id div 10)").alias("repo"), name.alias("name"), F.col("text").alias("content")
     )
-    events = table(spark, sf_dir, "events").select(
+    events = texts(spark, sf_dir, "events").select(
         F.expr("concat('repo_', event_id div 2)").alias("repo"),
         F.concat(F.lit("event_"), text("event_id"), F.lit(".json")).alias("name"),
         F.col("props").alias("content"),

@@ -1,10 +1,12 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from lakekit.functions import text
 from lakekit.operators import browse, profile
+from lakekit.operators.ordering import first_per_key
 
 CELLS = ["1", "-2.5", " 3 ", "1e3", "1d", "NaN", "0x1p3", "1_0", "", " ", " ", "abc", "2024-01-01", "12:30", "10.0.0.1", ".5", "5.", "+7", "x1", "1\t"]
 
@@ -141,6 +143,30 @@ def test_guesses_for_many_tables(spark):
     assert "missing" in found[("bad", None)][1]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_date_columns_of_short_records_against_a_model(spark, seed):
+    rng = random.Random(seed)
+    data = []
+    for i in range(80):
+        cells = [rng.choice(["2024-01-01", "2024-01-01 ", "2024-1-1", ""] if rng.random() < 0.35 else ["2024-05-06"]) for _ in range(3)]
+        size = rng.choice([0, 1, 2, 3, 3, 4]) if seed else 3
+        data.append((i, *[c if j < size else None for j, c in enumerate(cells)], size))
+    df = spark.createDataFrame(data, f"_row int, a string, b string, c string, {profile.CELLS} int").repartition(3)
+    expected = []
+    for j, name in enumerate("abc"):
+        cells = [r[j + 1] for r in data if r[4] > j][:20]
+        dates = sum(bool(re.match(r"^\d{4}-\d{2}-\d{2}$", c.strip())) for c in cells)
+        if len(cells) >= 3 and dates / len(cells) >= 0.7:
+            expected.append(name)
+    assert sorted(r["column"] for r in profile.date_columns(df).collect()) == expected
+
+
+def test_many_rows_per_key(spark):
+    df = spark.range(5000).select((F.col("id") % 2).alias("k"), "id").repartition(5)
+    found = first_per_key(df, ["k"], [F.col("id")], 1500)
+    assert sorted(r.id for r in found.collect()) == list(range(3000))
+
+
 def test_empty_inputs(spark):
     empty = spark.createDataFrame([], "k int, c string")
     stats = profile.column_stats(empty).collect()
