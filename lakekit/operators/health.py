@@ -48,6 +48,18 @@ def _compose_runs(entity_run: np.ndarray, step: np.ndarray) -> np.ndarray:
         run, step = run[first], merged
 
 
+def _steps(events: pd.DataFrame) -> pd.DataFrame:
+    """Each event as a chunk of one."""
+    ok = events["last_ok"].to_numpy(dtype=bool)
+    return events.assign(
+        shift=np.where(ok, HEALTH_GAIN, -HEALTH_LOSS),
+        low=np.where(ok, -np.inf, HEALTH_MIN),
+        high=np.where(ok, HEALTH_MAX, np.inf),
+        successes=ok.astype(np.int64),
+        failures=(~ok).astype(np.int64),
+    )
+
+
 def _reduce(rows: pd.DataFrame) -> pd.DataFrame:
     """One row per run of equal entities in sorted ``rows``."""
     entity = rows["entity"].to_numpy()
@@ -69,7 +81,8 @@ def _reduce(rows: pd.DataFrame) -> pd.DataFrame:
 
 def _reduce_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     pending = None
-    for batch in batches:
+    for events in batches:
+        batch = _steps(events)
         if pending is not None:
             batch = pd.concat([pending, batch], ignore_index=True)
         if batch.empty:
@@ -92,20 +105,17 @@ def health_chunks(
     positive = F.col(latency).cast("double") if latency else F.lit(None).cast("double")
     success = F.coalesce(F.col(ok), F.lit(False))
     names = [f"o{i}" for i in range(len(order))]
-    steps = events.select(
+    narrow = events.select(
         F.col(entity).alias("entity"),
         *[F.col(c).alias(n) for c, n in zip(order, names)],
-        F.when(success, HEALTH_GAIN).otherwise(-HEALTH_LOSS).alias("shift"),
-        F.when(success, float("-inf")).otherwise(HEALTH_MIN).alias("low"),
-        F.when(success, HEALTH_MAX).otherwise(float("inf")).alias("high"),
-        success.cast("bigint").alias("successes"),
-        (~success).cast("bigint").alias("failures"),
         success.alias("last_ok"),
         F.when(success & (positive > 0), positive).alias("latency"),
     )
     keys = ["entity", *names]
-    ranged = steps.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    reduced = ranged.mapInPandas(_reduce_sorted, schema=T.StructType(steps.schema.fields))
+    ranged = narrow.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    added = [T.StructField(n, T.DoubleType()) for n in _STEP]
+    added += [T.StructField(n, T.LongType()) for n in ("successes", "failures")]
+    reduced = ranged.mapInPandas(_reduce_sorted, schema=T.StructType(narrow.schema.fields + added))
     return reduced.withColumn("latency", F.nanvl("latency", F.lit(None).cast("double")))
 
 
@@ -191,18 +201,16 @@ def health_stats(scores: DataFrame, entity: str) -> DataFrame:
 def weighted_sample(scores: DataFrame, entity: str, n: int = 1, seed: str = "0") -> DataFrame:
     """``n`` alive entities drawn without replacement in proportion to their score.
 
-    Repeatable for one seed. When every score is 0 the draw is uniform.
+    Repeatable for one seed. Entities with score 0 are drawn only once no other
+    is left, and then uniformly.
     """
-    alive = scores.filter("alive")
-    top = alive.agg(F.max("score")).scalar()
-    weight = F.when(top <= 0, F.lit(1.0)).otherwise(F.col("score"))
+    weight = F.when(F.col("score") > 0, F.col("score")).otherwise(1.0)
     digest = F.md5(F.concat(F.col(entity).cast("string"), F.lit(seed)))
     uniform = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
     return (
-        alive.withColumn("_weight", weight)
-        .filter(F.col("_weight") > 0)
-        .withColumn("_key", -F.log(uniform) / F.col("_weight"))
-        .orderBy("_key", entity)
+        scores.filter("alive")
+        .withColumn("_key", -F.log(uniform) / weight)
+        .orderBy(F.col("score") <= 0, "_key", entity)
         .limit(n)
-        .drop("_weight", "_key")
+        .drop("_key")
     )

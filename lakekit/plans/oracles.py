@@ -614,8 +614,8 @@ ORACLES: dict[str, str] = {
     ),
     "weighted_sample": using(
         "scores",
-        body="""SELECT entity, score FROM health WHERE alive AND score > 0
-        ORDER BY -ln((CAST(('0x' || left(md5(CAST(entity AS VARCHAR) || '7'), 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) / score, entity
+        body="""SELECT entity, score FROM health WHERE alive
+        ORDER BY score <= 0, -ln((CAST(('0x' || left(md5(CAST(entity AS VARCHAR) || '7'), 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) / CASE WHEN score > 0 THEN score ELSE 1 END, entity
         LIMIT 5""",
     ),
     # incremental forms

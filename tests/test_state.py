@@ -61,6 +61,8 @@ def test_health_stats_and_sample(spark):
     assert picks == [r.entity for r in health.weighted_sample(scores.repartition(3), "entity", 3, "s").collect()]
     firsts = [health.weighted_sample(scores, "entity", 1, str(i)).first().entity for i in range(25)]
     assert firsts.count(4) < 13
+    rest = scores.withColumn("score", F.when(F.col("entity") == 4, 5.5).otherwise(0.0))
+    assert health.weighted_sample(rest, "entity", 3).first().entity == 4
     zero = scores.withColumn("score", F.lit(0.0))
     assert len(health.weighted_sample(zero, "entity", 3).collect()) == 3
 
