@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakekit import pipeline
+from lakekit import lake
 from lakekit.catalog import Catalog, canonical_type, run_sql
 from lakekit.functions.text import human_size, slug, table_name_col
 from lakekit.operators import (
@@ -651,16 +651,16 @@ def score_bands(spark, sf_dir):
 def lake_projects(spark, sf_dir):
     """Projects built from the corpus against a store that already holds some, with other scores."""
     corpus_files = views.corpus_files(spark, sf_dir)
-    built = pipeline.lake_projects(corpus_files, minimum=0.0)
+    built = lake.lake_projects(corpus_files, minimum=0.0)
     stored = built.filter("total_files > 8").withColumn("quality_score", (F.col("total_files") % 3) * 10.0)
-    found = pipeline.lake_projects(corpus_files, stored)
+    found = lake.lake_projects(corpus_files, stored)
     return found.select("repo", "quality_score", "license", "total_files")
 
 
 @query
 def lake_file_records(spark, sf_dir):
     corpus_files = views.corpus_files(spark, sf_dir)
-    return pipeline.lake_file_records(corpus_files, pipeline.lake_projects(corpus_files))
+    return lake.lake_file_records(corpus_files, lake.lake_projects(corpus_files))
 
 
 # --- merge -----------------------------------------------------------------

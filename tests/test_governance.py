@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lakekit.functions.fixed import LICENSE_REGEXES, PII_WORDS, README_API_REGEXES
 from lakekit.operators import corpus, governance, quality
-from lakekit.pipeline import lake_file_records, lake_projects
+from lakekit.lake import lake_file_records, lake_projects
 
 PROJECT = [
     ("p", "README.md", "# Test Project\n\nThis is a test."),
