@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 # A decimal number with optional sign, fraction and exponent; ASCII digits only. Never steps back.
 NUMBER_REGEX = r"^\s*+[+-]?+(?:\d++\.?+\d*+|\.\d++)(?:[eE][+-]?+\d++)?+\s*+$"
 
-# Code of the first character of an empty text, and of every white space character.
-_NOTHING_OR_SPACE = [0, *range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
-
 
 def strip(cell: Column) -> Column:
     """Remove leading and trailing white space, Unicode spaces included."""
@@ -48,8 +45,9 @@ def human_size(size: Column, units: tuple[str, ...] = ("B", "KB", "MB", "GB", "T
 
 
 def is_blank(cell: Column) -> Column:
-    """Null, empty or white space only; a cell that begins with any other character needs no further look."""
-    return cell.isNull() | (F.ascii(cell).isin(_NOTHING_OR_SPACE) & ~cell.rlike(r"(?U)\S"))
+    """Null, empty or white space only; a cell that begins with a visible character needs no further look."""
+    # No white space has a code from 33 to 132.
+    return cell.isNull() | ~(F.ascii(cell).between(33, 132) | cell.rlike(r"(?U)\S"))
 
 
 def to_number(cell: Column) -> Column:
