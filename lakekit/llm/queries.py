@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from lakekit.llm import decontaminate, quality
+from lakekit.llm import decontaminate, packing, quality, urlfilter
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_repetition": quality.op2_repetition,
+    "op4_packing": packing.op4_packing,
+    "op9_url_filter": urlfilter.op9_url_filter,
 }
 
 ORACLES = {
     "op1_decontaminate": decontaminate.OP1_SQL,
     "op2_repetition": quality.OP2_SQL,
+    "op9_url_filter": urlfilter.OP9_SQL,
 }
