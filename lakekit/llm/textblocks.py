@@ -54,6 +54,27 @@ def pieces(text: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int]
         at = to
 
 
+def hash_ranges(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of every range, eight bytes a step; ``buf`` ends with eight spare bytes."""
+    view = np.ndarray((len(buf) - 7,), dtype="<u8", buffer=buf, strides=(1,))
+    size = end - start
+    h = size.astype(np.uint64) * _M2
+    live, at, k = None, start, 0
+    while True:
+        left = (size if live is None else size[live]) - k
+        chunk = view[at + k] & _MASKS[np.minimum(left, 8)]
+        if live is None:
+            h = mix(h, chunk)
+        else:
+            h[live] = mix(h[live], chunk)
+        k += 8
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            return h
+        live = more if live is None else live[more]
+        at = start[live]
+
+
 class Piece:
     """One piece: ``buf`` holds a blank, the documents parted by blanks, and padding."""
 
@@ -87,24 +108,8 @@ class Piece:
         return self
 
     def word_hashes(self) -> np.ndarray:
-        """A 64-bit hash of every word, eight bytes a step."""
-        view = np.ndarray((len(self.buf) - 7,), dtype="<u8", buffer=self.buf, strides=(1,))
-        size = self.end - self.start
-        h = size.astype(np.uint64) * _M2
-        live, at, k = None, self.start, 0
-        while True:
-            left = (size if live is None else size[live]) - k
-            chunk = view[at + k] & _MASKS[np.minimum(left, 8)]
-            if live is None:
-                h = mix(h, chunk)
-            else:
-                h[live] = mix(h[live], chunk)
-            k += 8
-            more = np.flatnonzero(left > 8)
-            if not len(more):
-                return h
-            live = more if live is None else live[more]
-            at = self.start[live]
+        """A 64-bit hash of every word."""
+        return hash_ranges(self.buf, self.start, self.end)
 
     def gram_hashes(self, words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all runs of ``n`` words within a document, and the index of each run's first word."""
