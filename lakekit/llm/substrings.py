@@ -28,8 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakekit.llm.blocks import as_table, pack, ranges, split_by, unpack
 from lakekit.llm.suffixes import Strings, common_prefixes, suffix_array
-from lakekit.llm.textblocks import Piece, as_text, covered, hash_ranges, mix, pieces
+from lakekit.llm.textblocks import Piece, covered, hash_ranges, mix, pieces
 
 LENGTH = 50
 #: Bytes of text in a block, bytes of text to a bucket of anchors and of contexts, bytes sorted at once.
@@ -48,12 +49,7 @@ class _Block:
 
     def __init__(self, table: pa.Table, length: int):
         self.length = length
-        table = table.sort_by([("h", "ascending"), ("id", "ascending")])
-        h = np.array(table.column("h").to_pylist(), dtype=object)
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        self.h = h[first].tolist()
-        self.ids = table.column("id").to_numpy()[first]
-        self.text = as_text(table.column("text")).take(pa.array(first))
+        self.h, self.ids, self.text = unpack(table, np.minimum)
 
     def runs(self) -> Iterator[tuple[Piece, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(piece, its first text, texts, first and last window, anchor hash) of windows in a row with one anchor."""
@@ -96,33 +92,10 @@ class _Block:
         return keys, doc[first] != doc[last] if len(keys) else np.zeros(0, dtype=bool)
 
 
-def _keep_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of equal texts in a batch, the one of least id."""
-    for batch in batches:
-        least: dict[str, tuple[int, int]] = {}
-        for i, (h, own) in enumerate(zip(batch.column("h").to_pylist(), batch.column("id").to_pylist(), strict=True)):
-            if h not in least or own < least[h][0]:
-                least[h] = own, i
-        yield batch.take(pa.array(sorted(i for _, i in least.values()), pa.int64()))
-
-
 def _binary(values: np.ndarray, kind: str) -> bytes:
     return values.astype(kind).tobytes()
 
 
-def _rows(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.Table:
-    columns = list(zip(*rows, strict=True)) or [()] * len(names)
-    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
-
-
-def _split(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(bucket, the places that belong to it in ascending order)."""
-    order = np.argsort(bucket, kind="stable")
-    first = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-    if len(first):
-        yield from zip(bucket[order][first].tolist(), np.split(order, first[1:]), strict=True)
-
-
 def _shared(table: pa.Table) -> pa.Table:
     """Answer, for each block, which of the anchors it asked about occur in several texts."""
     keys = [np.frombuffer(k, "<u8") for k in table.column("keys").to_pylist()]
@@ -136,7 +109,7 @@ def _shared(table: pa.Table) -> pa.Table:
         if len(shared):
             rows.append((block, _binary(shared, "<u8")))
         at += len(own)
-    return _rows(rows, ["block", "keys"], [pa.int64(), pa.binary()])
+    return as_table(rows, ["block", "keys"], [pa.int64(), pa.binary()])
 
 
 def _contexts(block: _Block, answers: pa.Table, buckets: int) -> list[tuple]:
@@ -155,7 +128,7 @@ def _contexts(block: _Block, answers: pa.Table, buckets: int) -> list[tuple]:
             order = np.argsort(key, kind="stable")
             key, at = np.unique(key[order], return_index=True)
             sizes = (end - begin)[order[at]]
-            spot = np.repeat(begin[order[at]] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+            spot = ranges(begin[order[at]], sizes)
             for store, value in zip(
                 parts,
                 (key, grams[own][order[at]], np.minimum.reduceat(ids[order], at), np.maximum.reduceat(ids[order], at), sizes, piece.buf[spot]),
@@ -167,10 +140,9 @@ def _contexts(block: _Block, answers: pa.Table, buckets: int) -> list[tuple]:
     key, gram, least, most, sizes, data = (np.concatenate(p) for p in parts)
     start = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     rows = []
-    for bucket, own in _split((gram % np.uint64(buckets)).astype(np.int64)):
-        size = sizes[own]
-        spot = np.repeat(start[own] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        rows.append((bucket, _binary(key[own], "<u8"), _binary(gram[own], "<u8"), _binary(least[own], "<i8"), _binary(most[own], "<i8"), _binary(size, "<u2"), data[spot].tobytes()))
+    for bucket, own in split_by((gram % np.uint64(buckets)).astype(np.int64)):
+        packed = [_binary(key[own], "<u8"), _binary(gram[own], "<u8"), _binary(least[own], "<i8"), _binary(most[own], "<i8")]
+        rows.append((bucket, *packed, _binary(sizes[own], "<u2"), data[ranges(start[own], sizes[own])].tobytes()))
     return rows
 
 
@@ -218,22 +190,22 @@ def _compare(table: pa.Table, length: int) -> pa.Table:
         while to < len(unique) and gram[unique[to]] == gram[unique[to - 1]]:
             to += 1
         own = unique[at:to]
-        spot = np.repeat(start[own] - np.concatenate([[0], np.cumsum(sizes[own])[:-1]]), sizes[own]) + np.arange(sizes[own].sum())
-        who, a, b, ids = _least_ids(data[spot], sizes[own], smallest[at:to], length)
+        who, a, b, ids = _least_ids(data[ranges(start[own], sizes[own])], sizes[own], smallest[at:to], length)
         found.append((who + at, a, b, ids))
         at = to
     who, a, b, ids = (np.concatenate(f) for f in zip(*found, strict=True))
     begin = np.searchsorted(who, context)
     count = np.searchsorted(who, context, side="right") - begin
     asked = np.repeat(np.arange(len(key)), count)
-    run = np.repeat(begin - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+    run = ranges(begin, count)
     hit = ids[run] < most[asked]
     asked, run = asked[hit], run[hit]
     rows = []
-    for own_block, own in _split(block[asked]):
+    for own_block, own in split_by(block[asked]):
         who, at = asked[own], run[own]
-        rows.append((own_block, _binary(key[who], "<u8"), _binary(gram[who], "<u8"), _binary(a[at], "<u2"), _binary(b[at], "<u2"), _binary(ids[at], "<i8")))
-    return _rows(rows, ["block", "keys", "grams", "first", "last", "ids"], [pa.int64(), *[pa.binary()] * 5])
+        packed = [_binary(a[at], "<u2"), _binary(b[at], "<u2"), _binary(ids[at], "<i8")]
+        rows.append((own_block, _binary(key[who], "<u8"), _binary(gram[who], "<u8"), *packed))
+    return as_table(rows, ["block", "keys", "grams", "first", "last", "ids"], [pa.int64(), *[pa.binary()] * 5])
 
 
 def _cut(block: _Block, answers: pa.Table, with_text: bool) -> pa.Table:
@@ -256,11 +228,11 @@ def _cut(block: _Block, answers: pa.Table, with_text: bool) -> pa.Table:
             lowest = np.searchsorted(key, asked)
             count = np.searchsorted(key, asked, side="right") - lowest
             who = np.repeat(at, count)
-            run = np.repeat(lowest - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+            run = ranges(lowest, count)
             hit = ids[run] < block.ids[doc[who] + lo]
             who, run = who[hit], run[hit]
             base = begin[who] - piece.doc_start[doc[who]]
-            for text, places in _split(doc[who] + lo):
+            for text, places in split_by(doc[who] + lo):
                 gone[text].append((base[places] + first[run[places]], base[places] + last[run[places]] + block.length))
     rows = []
     for h, own_id, text, cuts in zip(block.h, block.ids.tolist(), block.text.to_pylist(), gone, strict=True):
@@ -275,7 +247,7 @@ def _cut(block: _Block, answers: pa.Table, with_text: bool) -> pa.Table:
         # A cut may part the bytes of a character; what is left of it goes.
         rows.append((*row, raw.decode("utf-8", "ignore")) if with_text else row)
     names, kinds = ["h", "first_id", "n_removed", "n_spans", "kept_sha256"], [pa.string(), *[pa.int64()] * 3, pa.string()]
-    return _rows(rows, [*names, "kept"] if with_text else names, [*kinds, pa.string()] if with_text else kinds)
+    return as_table(rows, [*names, "kept"] if with_text else names, [*kinds, pa.string()] if with_text else kinds)
 
 
 def _judge(documents: DataFrame, doc_id: str, text: str, length: int, with_text: bool) -> DataFrame:
@@ -287,22 +259,22 @@ def _judge(documents: DataFrame, doc_id: str, text: str, length: int, with_text:
     )
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks, n_anchors, n_contexts = (total // size + 1 for size in (BLOCK_BYTES, ANCHOR_BUCKET_BYTES, CONTEXT_BUCKET_BYTES))
-    distinct = rows.withColumn("h", F.md5("text")).mapInArrow(_keep_first, "id long, text string, h string")
-    blocks = distinct.withColumn("block", F.pmod(F.xxhash64("h"), F.lit(n_blocks)))
+    texts = rows.withColumn("h", F.md5("text")).withColumn("block", F.pmod(F.xxhash64("h"), F.lit(n_blocks)))
+    blocks = pack(texts.withColumnRenamed("id", "value"), np.minimum)
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
         keys, many = _Block(table, length).anchors()
         out = [
             (bucket, key[0].as_py(), _binary(keys[own], "<u8"), np.packbits(many[own]).tobytes())
-            for bucket, own in _split((keys % np.uint64(n_anchors)).astype(np.int64))
+            for bucket, own in split_by((keys % np.uint64(n_anchors)).astype(np.int64))
         ]
-        return _rows(out, ["bucket", "block", "keys", "many"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()])
+        return as_table(out, ["bucket", "block", "keys", "many"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()])
 
     def send(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
         out = _contexts(_Block(texts, length), answers, n_contexts) if texts.num_rows and answers.num_rows else []
         names = ["bucket", "block", "keys", "grams", "least", "most", "sizes", "data"]
         out = [(row[0], key[0].as_py(), *row[1:]) for row in out]
-        return _rows(out, names, [pa.int64(), pa.int64(), *[pa.binary()] * 6])
+        return as_table(out, names, [pa.int64(), pa.int64(), *[pa.binary()] * 6])
 
     def cut(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
         return _cut(_Block(texts, length), answers, with_text)
