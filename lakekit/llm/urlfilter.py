@@ -4,8 +4,8 @@ A URL stands for the expressions of all suffixes of its host, at label borders,
 length some rule has. Expressions meet rules by an equi-join on the first 32 bits of their SHA-256; the whole digest
 confirms a match and the longest rule wins. Only built-in functions are used.
 
-Distinct pairs of host and path prefix are judged once, so a host that holds a third of all pages is expanded once per
-distinct prefix. Rules are broadcast while there are at most ``broadcast_rules`` of them, else joined by a shuffle.
+Distinct pairs of host and path prefix are judged once for each of ``SALTS`` shares of the rows, so a pair that holds a
+third of all pages is expanded a few times and its rows meet their verdict in several tasks. Rules are broadcast while there are at most ``broadcast_rules`` of them, else joined by a shuffle.
 
 Cases: a null URL or one without "://" has an empty host and path, which fit no rule; equal rules count once, and of
 equal rules with different verdicts "block" wins; repeated pages are judged alike; empty tables give no rows, or the
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_RULES = 100_000
+SALTS = 64
 RULES = [
     ("com", "/", "allow"),
     ("example.com", "/en/", "block"),
@@ -57,7 +58,8 @@ def judge(
     host, path = host_and_path(F.col(url))
     rows = pages.select(F.struct(*(pages[c] for c in pages.columns)).alias("row"), host.alias("host"), path.alias("path"))
     rows = rows.withColumn("path_head", F.substring("path", 1, longest))
-    keys = rows.select("host", "path_head").distinct()
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)))
+    keys = rows.select("host", "path_head", "salt").distinct()
 
     labels = F.split("host", r"\.")
     suffixes = F.transform(
@@ -74,10 +76,10 @@ def judge(
     if known.count() <= broadcast_rules:
         known = F.broadcast(known)
     matched = asked.join(known, "prefix").where("asked = digest")
-    best = matched.groupBy("host", "path_head").agg(
+    best = matched.groupBy("host", "path_head", "salt").agg(
         F.max_by(F.struct("rule", "rule_verdict"), F.struct(F.length("rule"), F.length("suffix"))).alias("best")
     )
-    return rows.join(best, ["host", "path_head"], "left").select(
+    return rows.join(best, ["host", "path_head", "salt"], "left").select(
         "row", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict")
     )
 
