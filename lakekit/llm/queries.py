@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakekit.llm import decontaminate, language, packing, quality, scoring, substrings, toxicity, urlfilter
+from lakekit.llm import decontaminate, jaccard, language, packing, quality, scoring, substrings, toxicity, urlfilter
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_substrings": substrings.op7_substrings,
     "op8_language": language.op8_language,
     "op9_url_filter": urlfilter.op9_url_filter,
+    "op10_jaccard_join": jaccard.op10_jaccard_join,
 }
 
 ORACLES = {
