@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lakekit.llm import decontaminate, jaccard, language, packing, quality, scoring, substrings, toxicity, urlfilter
+from lakekit.llm import decontaminate, jaccard, language, licenses, packing, quality, scoring, substrings, toxicity, urlfilter
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_repetition": quality.op2_repetition,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_packing": packing.op4_packing,
+    "op5_licenses": licenses.op5_licenses,
     "op6_language_model": scoring.op6_language_model,
     "op7_substrings": substrings.op7_substrings,
     "op8_language": language.op8_language,
