@@ -312,6 +312,8 @@ def join_similar(
     copies = sets.select("set", "copies")
     # Texts without words stand alone, each row by itself.
     heads = own.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
+    # From a table of its own, so that the join below may split the rows of a large class.
+    heads = _kept(heads, "classes", f"class string, class_id {own.schema['id'].dataType.simpleString()}, class_size long")
     done = own.join(heads, "class", "left").join(copies, "set", "left")
     return done.select(
         "row",
