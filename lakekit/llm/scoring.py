@@ -28,8 +28,8 @@ from lakekit.llm.linear import fold
 from lakekit.llm.textblocks import VISIBLE, Piece, mix, pieces
 from lakekit.session import scratch_path
 
-BLOCK_BYTES = 12 << 20
-BUCKET_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
+BUCKET_BYTES = 8 << 20
 FOLDS, HELD, DELETED = 10, 0, 1
 #: Probabilities are rounded to powers of two to this fraction while the weights are learned.
 _FINE = 4
