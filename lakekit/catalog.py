@@ -104,7 +104,7 @@ class Catalog:
 
     def query(self, sql: str) -> DataFrame:
         """A lazy result of one read-only statement over the registered tables."""
-        if not is_read_only(sql):
+        if not is_read_only(sql) or not plans_only_reading(self.spark, sql):
             raise PermissionError("only a reading statement is allowed here")
         return run_sql(self.spark, sql)
 
@@ -129,6 +129,23 @@ def quoted_identifiers(spark: SparkSession):
         spark.conf.set(key, before)
 
 
+def plans_only_reading(spark: SparkSession, sql: str) -> bool:
+    """Whether Spark's own parser finds no command and no insert anywhere in the statement."""
+
+    def acts(node) -> bool:
+        kind = node.getClass()
+        while kind is not None:
+            names = [kind.getName(), *(i.getName() for i in kind.getInterfaces())]
+            if any(n.endswith((".Command", ".ParsedStatement", ".UnaryParsedStatement", "Command")) for n in names):
+                return True
+            kind = kind.getSuperclass()
+        inner = [node.children(), node.innerChildren()]
+        return any(acts(part.apply(i)) for part in inner for i in range(part.size()) if hasattr(part.apply(i), "children"))
+
+    with quoted_identifiers(spark):
+        return not acts(spark._jsparkSession.sessionState().sqlParser().parsePlan(sql))
+
+
 def run_sql(spark: SparkSession, sql: str, tables: dict[str, DataFrame] | None = None) -> DataFrame:
     for name, df in (tables or {}).items():
         df.createOrReplaceTempView(name)

@@ -71,9 +71,11 @@ def number_sorted(df: DataFrame, column: str, order: str, name: str, descending:
     return number_rows(df, [first, F.col(order)], name)
 
 
-def rows_page(df: DataFrame, limit: int = PAGE_DEFAULT, offset: int = 0) -> DataFrame:
-    """One page of an already ordered table."""
-    return df.offset(max(offset, 0)).limit(min(limit, PAGE_MAX))
+def rows_page(df: DataFrame, limit: int = PAGE_DEFAULT, offset: int = 0, maximum: int = PAGE_MAX) -> DataFrame:
+    """One page of an already ordered table; a page longer than ``maximum`` is refused."""
+    if limit > maximum:
+        raise ValueError(f"a page of {limit} rows is longer than {maximum}")
+    return df.offset(max(offset, 0)).limit(limit)
 
 
 def rows_totals(df: DataFrame, column: str, value: str) -> DataFrame:

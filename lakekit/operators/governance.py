@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from lakekit.functions.fixed import (
     API_DOC_NAMES,
-    LICENSE_HEAD_CHARS,
     LICENSE_NAMES,
     LICENSE_REGEXES,
     PII_WORDS,
@@ -56,10 +55,11 @@ def pii_by_file(headers: DataFrame, keys: list[str], column: str = "column") ->
 def csv_headers(files: DataFrame) -> DataFrame:
     """One row per column name of every CSV file: ``repo``, ``path``, ``position``, ``column``.
 
-    The header is the first line; commas inside quotes do not split it.
+    The header is the first line; commas inside quotes do not split it. Names are found one after the other, so a
+    header may have any number of them.
     """
     line = F.regexp_extract("content", r"\A\x{FEFF}?([^\r\n]*)", 1)
-    names = F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)')
+    names = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("[^"]*+(?:""[^"]*+)*+"[^,]*+|[^,]*+)'), 1)
     unquoted = F.regexp_replace(F.regexp_replace("raw", r'^"(.*)"$', "$1"), '""', '"')
     return (
         files.filter(F.col("suffix") == ".csv")
@@ -68,10 +68,10 @@ def csv_headers(files: DataFrame) -> DataFrame:
     )
 
 
-def license_of(content: Column, head_chars: int | None = LICENSE_HEAD_CHARS) -> Column:
+def license_of(content: Column, head_chars: int | None = None) -> Column:
     """License named by a text; the first kind with a match wins.
 
-    Only the head of a license file is read; ``head_chars=None`` searches the whole text.
+    The whole text is searched, or its first ``head_chars`` characters, such as ``LICENSE_HEAD_CHARS``.
     """
     head = content if head_chars is None else F.left(content, F.lit(head_chars))
 

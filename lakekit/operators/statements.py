@@ -11,8 +11,6 @@ from lakekit.functions.fixed import STRICT_WORDS, WRITE_WORDS
 from lakekit.functions.text import strip
 from lakekit.operators.corpus import json_valid
 
-# String literals, quoted names and comments, which may hold any word.
-_LITERALS = r"'(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`|--[^\n]*|/\*.*?\*/"
 _READING_START = r"^\s*\(*\s*(SELECT|WITH|FROM|VALUES)\b"
 
 
@@ -21,10 +19,47 @@ def has_write_word(sql: Column) -> Column:
     return sql.rlike(r"(?i)\b(" + "|".join(WRITE_WORDS) + r")\b")
 
 
+def without_literals(sql: str) -> str | None:
+    """The statement with a blank for each literal, quoted name and comment; None if one of them never ends.
+
+    Borders are those of Spark's lexer: backslashes escape inside quotes but not after ``r``, a line comment ends at a
+    carriage return or a line feed, and bracket comments nest. A hint is no comment, so its words count.
+    """
+    out, at = [], 0
+    while at < len(sql):
+        two, one = sql[at : at + 2], sql[at]
+        if two == "--":
+            at = next((i for i in range(at, len(sql)) if sql[i] in "\r\n"), len(sql))
+        elif two == "/*" and sql[at + 2 : at + 3] != "+":
+            depth, at = 1, at + 2
+            while depth:
+                if at >= len(sql):
+                    return None
+                step = {"/*": 1, "*/": -1}.get(sql[at : at + 2], 0)
+                depth, at = depth + step, at + (2 if step else 1)
+        elif one in "'\"`":
+            raw = one != "`" and re.search(r"(?i)(^|[^a-z0-9_])r\Z", sql[:at])
+            at += 1
+            while sql[at : at + 1] != one:
+                if at >= len(sql):
+                    return None
+                at += 2 if sql[at] == "\\" and one != "`" and not raw else 1
+            at += 1
+        else:
+            out.append(one)
+            at += 1
+            continue
+        out.append(" ")
+    return "".join(out)
+
+
 def is_read_only(sql: str) -> bool:
-    """The stricter gate for our own entry: one reading statement, no writing word outside literals."""
-    bare = re.sub(_LITERALS, " ", sql, flags=re.DOTALL)
-    if ";" in bare.strip().rstrip(";"):
+    """The stricter gate for our own entry: one reading statement, no writing word outside literals.
+
+    A statement whose literals or comments are not closed is refused.
+    """
+    bare = without_literals(sql)
+    if bare is None or ";" in bare.strip().rstrip(";"):
         return False
     if not re.match(_READING_START, bare, re.IGNORECASE):
         return False

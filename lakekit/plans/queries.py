@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakekit import lake
-from lakekit.catalog import Catalog, canonical_type, run_sql
+from lakekit.catalog import Catalog, canonical_type
 from lakekit.functions.text import human_size, slug, table_name_col
 from lakekit.operators import (
     browse,
@@ -23,7 +23,7 @@ from lakekit.operators import (
     weblinks,
 )
 from lakekit.plans import conformance, views
-from lakekit.plans.views import table, text, texts
+from lakekit.plans.views import table, text
 from lakekit.session import scratch_path
 from lakekit.sources import api, csv, files, sinks, tables
 from lakekit.streaming import incremental
@@ -84,7 +84,7 @@ def csv_raw(spark, sf_dir):
 @query
 def csv_raw_multiline(spark, sf_dir):
     path = scratch_path(spark, "documents")
-    sinks.export_csv(texts(spark, sf_dir, "documents"), path)
+    sinks.export_csv(table(spark, sf_dir, "documents"), path)
     raw = csv.read_raw_csv(spark, path, multi_line=True)
     return raw.select("doc_id", F.sha2("text", 256).alias("text_hash"), "lang", "source", "n_chars")
 
@@ -401,7 +401,7 @@ def _stats(df: DataFrame) -> DataFrame:
 
 @query
 def column_stats_text(spark, sf_dir):
-    lines = texts(spark, sf_dir, "lineitem")
+    lines = table(spark, sf_dir, "lineitem")
     return _stats(profile.column_stats(lines.select(*[text(c).alias(c) for c in lines.columns])))
 
 
@@ -491,14 +491,14 @@ def chart_suggestion(spark, sf_dir):
 def json_valid(spark, sf_dir):
     body = F.when(F.col("event_id") % 3 == 0, F.concat("props", F.lit("}"))).otherwise(F.col("props"))
     events = table(spark, sf_dir, "events").select("event_id", corpus.json_valid(body).alias("valid"))
-    docs = texts(spark, sf_dir, "documents").select(F.col("doc_id").alias("event_id"), corpus.json_valid(F.col("text")).alias("valid"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("event_id"), corpus.json_valid(F.col("text")).alias("valid"))
     return events.withColumn("origin", F.lit("event")).unionByName(docs.withColumn("origin", F.lit("document")))
 
 
 @query
 def xml_report(spark, sf_dir):
     """Pages, and each page title wrapped as a small XML document."""
-    pages = texts(spark, sf_dir, "pages")
+    pages = table(spark, sf_dir, "pages")
     title = F.regexp_extract("html", "<title>(.*?)</title>", 1)
     wrapped = F.concat(F.lit("<page><id>"), text("page_id"), F.lit("</id><title>"), title, F.lit("</title></page>"))
     both = pages.select("page_id", F.lit("html").alias("kind"), "html").unionByName(
@@ -513,24 +513,11 @@ def xml_report_titles(spark, sf_dir):
     title = F.regexp_replace(F.regexp_extract("html", "<title>(.*?)</title>", 1), "[^a-zA-Z ]", "")
     parts = [F.lit("<page><id>"), text("page_id"), F.lit("</id><title>"), title, F.lit("</title>")]
     end = F.when(F.col("page_id") % 4 == 0, "").otherwise("</page>")
-    body = texts(spark, sf_dir, "pages").select("page_id", F.concat(*parts, end).alias("body"))
+    body = table(spark, sf_dir, "pages").select("page_id", F.concat(*parts, end).alias("body"))
     report = corpus.xml_report(body, "body", ["page_id"])
     return report.select("page_id", "valid", "root_tag", F.col("unique_elements").cast("bigint").alias("unique_elements"))
 
 
-@query
-def py_valid(spark, sf_dir):
-    docs = texts(spark, sf_dir, "documents")
-    return docs.select("doc_id", corpus.python_valid(F.col("text")).alias("valid"))
-
-
-@query
-def py_valid_assignments(spark, sf_dir):
-    """An assignment per event; every fourth is cut short."""
-    code = F.concat(F.lit("x = "), F.col("props"), F.when(F.col("event_id") % 4 == 0, " +").otherwise(""))
-    return table(spark, sf_dir, "events").select("event_id", corpus.python_valid(code).alias("valid"))
-
-
 @query
 def pii_columns(spark, sf_dir):
     return governance.pii_columns(views.headers(spark, sf_dir))
@@ -550,12 +537,12 @@ def pii_by_csv_file(spark, sf_dir):
 
 @query
 def license_detect(spark, sf_dir):
-    return texts(spark, sf_dir, "documents").select("doc_id", governance.license_of(F.col("text")).alias("license"))
+    return table(spark, sf_dir, "documents").select("doc_id", governance.license_of(F.col("text")).alias("license"))
 
 
 @query
 def license_detect_whole_text(spark, sf_dir):
-    return texts(spark, sf_dir, "documents").select(
+    return table(spark, sf_dir, "documents").select(
         "doc_id", governance.license_of(F.col("text"), head_chars=None).alias("license")
     )
 
@@ -611,7 +598,7 @@ def repo_quality(spark, sf_dir):
 @query
 def structure_summary(spark, sf_dir):
     facts = (
-        texts(spark, sf_dir, "documents")
+        table(spark, sf_dir, "documents")
         .groupBy(F.expr("concat('repo_', doc_id div 10)").alias("repo"))
         .agg(F.min("lang").alias("language"), F.max("n_chars").alias("stars"))
     )
@@ -729,7 +716,7 @@ def insert_ignore(spark, sf_dir):
 
 @query
 def hash_exists(spark, sf_dir):
-    docs = merge.with_hash(texts(spark, sf_dir, "documents"), "text")
+    docs = merge.with_hash(table(spark, sf_dir, "documents"), "text")
     stored = docs.filter("source = 'src0'")
     return merge.hash_exists(docs.select("doc_id", "sha256"), stored)
 
@@ -833,7 +820,7 @@ def list_all_repos(spark, sf_dir):
 
 @query
 def page_links(spark, sf_dir):
-    links = weblinks.page_links(texts(spark, sf_dir, "pages"), "page_id")
+    links = weblinks.page_links(table(spark, sf_dir, "pages"), "page_id")
     return links.withColumn("position", F.col("position").cast("bigint"))
 
 
@@ -846,7 +833,7 @@ def data_links(spark, sf_dir):
 @query
 def project_links(spark, sf_dir):
     links = weblinks.page_links(views.data_pages(spark, sf_dir), "page_id")
-    pages = texts(spark, sf_dir, "pages")
+    pages = table(spark, sf_dir, "pages")
     title = F.regexp_extract("html", 'href="/([^"]*)"', 1)
     seen = pages.select(F.concat(F.lit("https://mirror.example.org/data/"), title, F.lit(".CSV")).alias("repo_url"))
     wide = links.withColumn("href", F.replace("href", F.lit("/data"), F.lit("/data/")))
@@ -969,7 +956,7 @@ def extract_json(spark, sf_dir):
 @query
 def scalar_functions(spark, sf_dir):
     name = F.concat(F.lit(" "), F.col("source"), F.lit("/Ünï x+"), text("doc_id"), F.lit(".v1 "))
-    return texts(spark, sf_dir, "documents").select(
+    return table(spark, sf_dir, "documents").select(
         "doc_id",
         slug(name).alias("slug"),
         table_name_col(name).alias("table_name"),
@@ -981,8 +968,11 @@ def scalar_functions(spark, sf_dir):
 
 def _conformance(statement: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        names = [n for n in conformance.TABLES if n in statement]
-        return run_sql(spark, statement, {n: table(spark, sf_dir, n) for n in names})
+        catalog = Catalog(spark)
+        for name in conformance.TABLES:
+            if name in statement:
+                catalog.register(name, table(spark, sf_dir, name))
+        return catalog.query(statement)
 
     return run
 

@@ -7,18 +7,12 @@ from pyspark.sql import functions as F
 
 from lakekit.functions.text import suffix
 from lakekit.operators.governance import license_of
-from lakekit.sources.tables import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table whose queries do much work per row, such as one of long texts."""
-    return spread(table(spark, sf_dir, name))
-
-
 def text(column: str) -> Column:
     return F.col(column).cast("string")
 
@@ -33,10 +27,10 @@ def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k == 5, "meta_5.json")
         .otherwise(F.concat(F.lit("note_"), k.cast("string"), F.lit(".txt")))
     )
-    documents = texts(spark, sf_dir, "documents").select(
+    documents = table(spark, sf_dir, "documents").select(
         F.expr("concat('repo_', doc_id div 10)").alias("repo"), name.alias("name"), F.col("text").alias("content")
     )
-    events = texts(spark, sf_dir, "events").select(
+    events = table(spark, sf_dir, "events").select(
         F.expr("concat('repo_', event_id div 2)").alias("repo"),
         F.concat(F.lit("event_"), text("event_id"), F.lit(".json")).alias("name"),
         F.col("props").alias("content"),
@@ -53,7 +47,7 @@ def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def repo_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Project records, one per document."""
-    docs = texts(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents")
     kind = F.col("doc_id") % 3
     none = F.expr("cast(array() as array<string>)")
     return docs.select(
@@ -122,14 +116,15 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 1, wrapped("data"))
         .when(kind == 2, wrapped("results"))
         .when(kind == 3, wrapped("items"))
-        .otherwise(F.col("items")[0]["item"])
     )
-    return pages.select("o_custkey", "page", body.alias("body"))
+    # The last shape holds one order, so its customers have one answer for each.
+    single = F.explode(F.when(kind == 4, F.transform("items", lambda i: i["item"])).otherwise(F.array(body)))
+    return pages.select("o_custkey", "page", single.alias("body"))
 
 
 def repo_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored search answers, one item per document; every sixth item has no URL."""
-    docs = texts(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents")
     full_name = F.concat_ws("/", "source", text("doc_id"))
     url = F.when(F.col("doc_id") % 6 != 0, F.concat(F.lit("https://example.org/"), full_name))
     item = F.struct(
@@ -187,7 +182,7 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Column names per data set: the words of every document, and eight kinds of name over the customers."""
-    words = texts(spark, sf_dir, "documents").select(
+    words = table(spark, sf_dir, "documents").select(
         F.concat(F.lit("doc_"), text("doc_id")).alias("dataset"),
         F.explode(F.array_distinct(F.split(F.lower("text"), r"(?U)\W+"))).alias("column"),
     )
@@ -203,7 +198,7 @@ def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def data_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages whose links lead to data files two levels deep."""
     html = F.regexp_replace("html", r'href="(/[^"]*)"', r'href="/data$1.CSV"')
-    return texts(spark, sf_dir, "pages").select("page_id", "url", html.alias("html"))
+    return table(spark, sf_dir, "pages").select("page_id", "url", html.alias("html"))
 
 
 def ragged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 import logging
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakekit.functions.text import table_name
+from lakekit.storage import qualified
 
 log = logging.getLogger(__name__)
 
@@ -18,11 +19,27 @@ CELLS = "_cells"  # cells found in the record, before padding or cutting
 ROW = "_row"  # increases with file and line order within one read
 
 _DIALECT = {"header": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
+#: Delimiters that are looked for, the likeliest first.
+DELIMITERS = [",", ";", "\t", "|"]
 
 
-def csv_header(spark: SparkSession, path: str) -> list[str]:
+def likely_delimiter(header: Column) -> Column:
+    """The delimiter that parts a header line into most names; a comma when none does."""
+    bare = F.regexp_replace(header, '"[^"]*"', "")
+    found = [F.struct(F.length(bare) - F.length(F.replace(bare, F.lit(d))), F.lit(-i), F.lit(d)) for i, d in enumerate(DELIMITERS)]
+    return F.greatest(*found)["col3"]
+
+
+def csv_delimiter(spark: SparkSession, path: str | list[str]) -> str:
+    """The delimiter of a path's first line with text."""
+    line = spark.read.text(path).where("trim(value) != ''").limit(1)
+    found = line.select(likely_delimiter(F.col("value"))).first()
+    return found[0] if found else ","
+
+
+def csv_header(spark: SparkSession, path: str, delimiter: str = ",") -> list[str]:
     """Column names of a CSV path; reads the first lines only."""
-    return spark.read.options(**_DIALECT).csv(path).columns
+    return spark.read.options(**_DIALECT, sep=delimiter).csv(path).columns
 
 
 def read_csv(
@@ -31,14 +48,16 @@ def read_csv(
     schema: T.StructType | str | None = None,
     infer: bool = True,
     multi_line: bool = False,
+    delimiter: str | None = None,
 ) -> DataFrame:
     """A typed CSV table.
 
     Types are inferred in one extra pass unless ``schema`` is given; pass a
     schema for large inputs, or ``infer=False`` to keep every cell as text.
     Quoted line breaks need ``multi_line``, which makes files unsplittable.
+    Without ``delimiter`` it is taken from the first line.
     """
-    reader = spark.read.options(**_DIALECT, multiLine=multi_line)
+    reader = spark.read.options(**_DIALECT, multiLine=multi_line, sep=delimiter or csv_delimiter(spark, path))
     if schema is not None:
         return reader.schema(schema).csv(path)
     return reader.option("inferSchema", infer).csv(path)
@@ -108,11 +127,10 @@ def csv_tables(spark: SparkSession, directory: str, recursive: bool = True) -> d
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory).select("path")
     inner = r"/(.+?\.csv)(/|$)" if recursive else r"/([^/]+\.csv)(/|$)"
-    root = F.regexp_extract("path", rf"^(.*?/\Q{directory.rstrip('/').split('/')[-1]}\E)/", 1)
-    table = F.regexp_extract(F.expr("substr(path, length(root) + 1)"), "^" + inner, 1)
+    root = qualified(spark, directory)
+    table = F.regexp_extract(F.substr("path", F.lit(len(root) + 1)), "^" + inner, 1)
     found = (
-        files.withColumn("root", root)
-        .select(F.concat_ws("/", "root", table).alias("path"), table.alias("relative"))
+        files.select(F.concat(F.lit(root + "/"), table).alias("path"), table.alias("relative"))
         .filter(F.col("relative") != "")
         .distinct()
         .orderBy("path")

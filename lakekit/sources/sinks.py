@@ -13,10 +13,10 @@ from lakekit.functions.text import license_or_unknown, suffix
 from lakekit.operators.browse import rows_filter
 from lakekit.operators.merge import merge_rows
 from lakekit.operators.ordering import number_rows
-from lakekit.sources.csv import csv_header, read_csv
+from lakekit.sources.csv import csv_header, likely_delimiter, read_csv
 from lakekit.sources.files import list_objects
-from lakekit.sources.tables import read_json
-from lakekit.storage import child_names, delete_path, path_exists
+from lakekit.sources.tables import json_lines, read_json
+from lakekit.storage import child_names, delete_path, path_exists, qualified
 
 log = logging.getLogger(__name__)
 
@@ -75,10 +75,9 @@ def conversion_plan(sources: DataFrame, outputs: DataFrame) -> DataFrame:
     )
 
 
-def _below(path: Column, root: str) -> Column:
+def _below(spark: SparkSession, path: Column, root: str) -> Column:
     """The part of ``path`` below the folder ``root``."""
-    name = root.rstrip("/").split("/")[-1]
-    return F.regexp_extract(path, rf"^.*?/\Q{name}\E/(.*)$", 1)
+    return F.substr(F.regexp_replace(path, "^file:/+", "file:/"), F.lit(len(qualified(spark, root)) + 2))
 
 
 def _stem(relative: Column) -> Column:
@@ -90,88 +89,243 @@ def _unescaped(text: Column) -> Column:
     return F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
 
 
+def file_facts(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Per text file, from one scan of all: first two lines with text, lines, quotes, and lines with an odd number of them."""
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.struct("_metadata.file_block_start", F.monotonically_increasing_id().alias("at")).alias("place"),
+        F.regexp_replace("value", r"^\x{FEFF}", "").alias("value"),
+    )
+    full = F.when(F.trim("value") != "", F.col("place"))
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    firsts = lines.where(full.isNotNull()).groupBy("path").agg(F.min("place").alias("first"))
+    rest = lines.join(firsts, "path", "left")
+    return rest.groupBy("path").agg(
+        F.min_by("value", full).alias("head"),
+        F.min_by("value", F.when(F.col("place") > F.col("first"), full)).alias("second"),
+        F.sum(quotes).alias("quotes"),
+        F.count_if(quotes % 2 == 1).alias("odd"),
+    )
+
+
+def _cell_types(cells: DataFrame) -> DataFrame:
+    """The narrowest type that holds all cells of each (path, position)."""
+    cell = F.col("cell")
+    number = cell.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
+    whole = cell.rlike(r"^[+-]?\d+$")
+    fits = {
+        "int": whole & cell.try_cast("int").isNotNull(),
+        "bigint": whole & cell.try_cast("bigint").isNotNull(),
+        "double": number,
+        "date": cell.rlike(r"^\d{4}-\d{2}-\d{2}$") & cell.try_cast("date").isNotNull(),
+        "timestamp": cell.rlike(r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}") & cell.try_cast("timestamp").isNotNull(),
+        "boolean": F.lower(cell).isin("true", "false"),
+    }
+    facts = cells.where(cell.isNotNull()).groupBy("path", "position").agg(*(F.bool_and(v).alias(k) for k, v in fits.items()))
+    kind = F.coalesce(*(F.when(F.col(k), F.lit(k)) for k in fits), F.lit("string"))
+    return facts.select("path", "position", kind.alias("kind"))
+
+
 def batch_convert(
     spark: SparkSession, source: str, target: str, pattern: str = "*.csv", delete_original: bool = False
 ) -> dict:
     """Convert the new files below ``source`` to Parquet below ``target``.
 
-    Files that share columns are converted by one job, each into its own
-    folder ``source=<path without suffix>`` below a folder per set of columns.
-    A set that fails is counted and does not stop the others. Returns the
-    counts and the bytes saved.
+    Delimiter, quoted line breaks and the form of JSON are found for each file, in one scan of all. Types are those of
+    each file alone; files of one form, header and types are converted by one job, each into its own folder
+    ``source=<path without suffix>`` below a folder per set of columns. A file with a record of the wrong length, an
+    unclosed quote or a broken JSON value fails and is kept; it does not stop the others. A source is deleted only after
+    its rows have been counted in the output.
+
+    Returns the counts, the bytes saved, and ``files``: a record for each file that was tried.
     """
     files = list_objects(spark, source, pattern).select(
         "path",
         "size",
         F.col("last_modified").alias("mtime"),
-        _stem(_below(F.col("path"), source)).alias("stem"),
+        _stem(_below(spark, F.col("path"), source)).alias("stem"),
         suffix(F.col("path")).alias("suffix"),
     )
     outputs = _written(spark, target)
     plan = conversion_plan(files, outputs)
     counts = {r["action"]: r["n"] for r in plan.groupBy("action").agg(F.count("*").alias("n")).collect()}
-    stats = {"converted": 0, "skipped": counts.get("skip", 0), "failed": 0, "bytes_saved": 0}
+    stats = {"converted": 0, "skipped": counts.get("skip", 0), "failed": 0, "bytes_saved": 0, "files": []}
+    fresh = {r["path"]: r for r in plan.filter("action = 'convert'").collect()}
+    if not fresh:
+        return stats
+    before = {(r["stem"], r["folder"]) for r in outputs.select("stem", "folder").distinct().collect()} if counts else set()
     groups: dict[tuple, list] = {}
-
-    def columns_of(row):
-        try:
-            if row["suffix"] == ".csv":
-                return row, csv_header(spark, row["path"])
-            return row, read_json(spark, row["path"]).columns
-        except Exception as error:  # noqa: BLE001 - one bad file must not stop the others
-            log.warning("cannot read %s: %s", row["path"], error)
-            return row, None
-
-    # Each look at a header is a job of one small task, so many run at once.
-    with ThreadPoolExecutor(HEADER_THREADS) as pool:
-        pending = plan.filter("action = 'convert'").orderBy("path").toLocalIterator()
-        for row, columns in pool.map(columns_of, pending):
-            if columns is None:
-                stats["failed"] += 1
-            else:
-                groups.setdefault((row["suffix"], *columns), []).append(row)
-    done = []
-    for (kind, *columns), rows in groups.items():
+    failed: dict[str, str] = {}
+    for path, form in _forms(spark, list(fresh)):
+        if form is None:
+            failed[path] = "no readable records"
+        else:
+            groups.setdefault(form, []).append(path)
+    for path in fresh.keys() - failed.keys() - {p for g in groups.values() for p in g}:
+        failed[path] = "empty"
+    rows: dict[str, int] = {}
+    folders: dict[str, str] = {}
+    for form, paths in groups.items():
         try:
-            paths = [r["path"] for r in rows]
-            table = read_csv(spark, paths) if kind == ".csv" else read_json(spark, paths)
-            folder = f"{target.rstrip('/')}/{kind[1:]}-{_digest(columns)}"
-            (
-                table.withColumn("source", _stem(_below(_unescaped(F.col("_metadata.file_path")), source)))
-                .write.mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic")
-                .option("compression", "zstd")
-                .partitionBy("source")
-                .parquet(folder)
-            )
-            done += rows
+            for schema, own in _schemas(spark, form, paths, failed).items():
+                _convert(spark, form, schema, own, source, target, rows, folders, failed)
+        except Exception as error:  # noqa: BLE001 - one bad group must not stop the others
+            log.warning("cannot convert %d files: %s", len(paths), error)
+            failed |= {p: str(error).split("\n")[0] for p in paths if p not in rows}
+    written = _written(spark, target).groupBy("stem", "folder").agg(F.sum("size").alias("size")).collect() if rows else []
+    sizes = {(r["stem"], r["folder"]): r["size"] for r in written}
+    for path, row in sorted(fresh.items()):
+        done = path in rows
+        size = sizes.get((row["stem"], folders.get(path)), 0)
+        record = {"file": row["stem"] + row["suffix"], "status": "converted" if done else "failed", "original_size": row["size"]}
+        if done:
+            record |= {"parquet_size": size, "rows": rows[path], "ratio": round(size / row["size"], 4) if row["size"] else 0.0}
+            stats["converted"] += 1
+            stats["bytes_saved"] += row["size"] - size
+            for folder in {f for stem, f in before if stem == row["stem"]} - {folders[path]}:
+                # The file had other columns or types the last time.
+                delete_path(spark, f"{target.rstrip('/')}/{folder}/source={_escaped(row['stem'])}")
             if delete_original:
-                for original in paths:
-                    delete_path(spark, original)
-        except Exception as error:  # noqa: BLE001
-            log.warning("cannot convert %d files with columns %s: %s", len(rows), columns, error)
-            stats["failed"] += len(rows)
-    if done:
-        stems = spark.createDataFrame([(r["stem"],) for r in done], "stem string")
-        after = _written(spark, target).join(stems, "stem", "left_semi").agg(F.sum("size").alias("s")).first()["s"]
-        stats["converted"] = len(done)
-        stats["bytes_saved"] = sum(r["size"] for r in done) - (after or 0)
+                delete_path(spark, path)
+        else:
+            record["error"] = failed.get(path, "not converted")
+            stats["failed"] += 1
+        stats["files"].append(record)
     return stats
 
 
+def _plain(path: Column) -> Column:
+    """A path from file metadata as a listing names it."""
+    return F.regexp_replace(_unescaped(path), "^file:/+", "file:/")
+
+
+def _forms(spark: SparkSession, paths: list[str]) -> list[tuple[str, tuple | None]]:
+    """How to read each file: (kind, delimiter or "", whole, header); None if it cannot be read."""
+    facts = file_facts(spark, paths).withColumn("path", _plain(F.col("path"))).withColumn("delimiter", likely_delimiter(F.col("head")))
+    out = []
+    for r in facts.collect():
+        if r["head"] is None:
+            out.append((r["path"], None))
+        elif r["path"].lower().endswith(".json"):
+            out.append((r["path"], (".json", "", not json_lines(r["head"], r["second"]), "")))
+        else:
+            # An odd number of quotes in all means that one is never closed.
+            out.append((r["path"], None if r["quotes"] % 2 else (".csv", r["delimiter"], r["odd"] > 0, r["head"])))
+    return out
+
+
+_CORRUPT = "_corrupt_record"
+
+
+def _reader(spark: SparkSession, form: tuple):
+    kind, delimiter, whole, _ = form
+    reader = spark.read.option("multiLine", whole).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _CORRUPT)
+    return reader.options(header=True, quote='"', escape='"', sep=delimiter, enforceSchema=True, columnPruning=False) if kind == ".csv" else reader
+
+
+def _load(spark: SparkSession, form: tuple, schema: str, paths: list[str]) -> DataFrame:
+    """The records with ``path``; ``_corrupt_record`` holds those that do not fit the schema."""
+    reader = _reader(spark, form).schema(f"{schema}, `{_CORRUPT}` string")
+    loaded = reader.csv(paths) if form[0] == ".csv" else reader.json(paths)
+    return loaded.withColumn("_path", _plain(F.col("_metadata.file_path")))
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _schemas(spark: SparkSession, form: tuple, paths: list[str], failed: dict[str, str]) -> dict[str, list[str]]:
+    """Files by schema; a file with a damaged record goes to ``failed``."""
+    out: dict[str, list[str]] = {}
+    if form[0] == ".json":
+        # A look at a file's fields is a job of its own, so many run at once.
+        def fields(path: str) -> tuple[str, str | None]:
+            found = _reader(spark, form).json(path).schema
+            return path, None if _CORRUPT in found.names or not found.names else ", ".join(f"{_quoted(f.name)} {f.dataType.simpleString()}" for f in found)
+
+        with ThreadPoolExecutor(HEADER_THREADS) as pool:
+            for path, schema in pool.map(fields, paths):
+                if schema is None:
+                    failed[path] = "damaged JSON"
+                else:
+                    out.setdefault(schema, []).append(path)
+        return out
+    names = csv_header(spark, paths[0], form[1])
+    text = ", ".join(f"{_quoted(n)} string" for n in names)
+    records = _load(spark, form, text, paths)
+    # The reader refuses queries on the corrupt column alone.
+    damaged = F.col(_CORRUPT).isNotNull() & (F.coalesce(F.length(_quoted(names[0])), F.lit(0)) >= 0)
+    for r in records.groupBy("_path").agg(F.count_if(damaged).alias("n")).where("n > 0").collect():
+        failed[r["_path"]] = f"{r['n']} damaged records"
+    cells = records.select(F.col("_path").alias("path"), F.posexplode(F.array(*(_quoted(n) for n in names))).alias("position", "cell"))
+    kinds: dict[str, dict[int, str]] = {}
+    for r in _cell_types(cells).collect():
+        kinds.setdefault(r["path"], {})[r["position"]] = r["kind"]
+    for path in paths:
+        if path not in failed:
+            own = kinds.get(path, {})
+            schema = ", ".join(f"{_quoted(n)} {own.get(i, 'string')}" for i, n in enumerate(names))
+            out.setdefault(schema, []).append(path)
+    return out
+
+
+def _convert(
+    spark: SparkSession, form: tuple, schema: str, paths: list[str], source: str, target: str,
+    rows: dict[str, int], folders: dict[str, str], failed: dict[str, str],
+) -> None:
+    """Write files of one form and schema, and count the rows of each in the output against those read."""
+    records = _load(spark, form, schema, paths)
+    first = records.columns[0]
+    broken = F.col(_CORRUPT).isNotNull() & (F.coalesce(F.length(F.col(_quoted(first)).cast("string")), F.lit(0)) >= 0)
+    read = {r["_path"]: r for r in records.groupBy("_path").agg(F.count("*").alias("n"), F.count_if(broken).alias("bad")).collect()}
+    for path, r in read.items():
+        if r["bad"]:
+            failed[path] = f"{r['bad']} damaged records"
+    good = [p for p in paths if p not in failed]
+    if not good:
+        return
+    name = f"{form[0][1:]}-{_digest([schema])}"
+    folder = f"{target.rstrip('/')}/{name}"
+    table = _load(spark, form, schema, good).drop(_CORRUPT)
+    (
+        table.withColumn("source", _stem(_below(spark, F.col("_path"), source)))
+        .drop("_path")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .option("compression", "zstd")
+        .partitionBy("source")
+        .parquet(folder)
+    )
+    root = len(qualified(spark, source)) + 1
+    stems = {p[root:].rsplit(".", 1)[0]: p for p in good}
+    kept = spark.read.schema("source string").parquet(folder).groupBy("source").agg(F.count("*").alias("n")).collect()
+    found = {r["source"]: r["n"] for r in kept}
+    for stem, path in stems.items():
+        expected = read[path]["n"] if path in read else 0
+        if found.get(stem, 0) == expected:
+            rows[path], folders[path] = expected, name
+        else:
+            failed[path] = f"{found.get(stem, 0)} of {expected} rows were written"
+
+
 def _digest(columns: list[str]) -> str:
     return hashlib.sha256("\x1f".join(columns).encode()).hexdigest()[:12]
 
 
+def _escaped(stem: str) -> str:
+    return "".join(c if c not in '"#%\'*/:=?\\{[]^\x7f' and ord(c) > 31 else f"%{ord(c):02X}" for c in stem)
+
+
 def _written(spark: SparkSession, target: str) -> DataFrame:
-    """Stem, time and size of the Parquet files already below ``target``."""
+    """Stem, time, size and folder of the Parquet files already below ``target``."""
     if not path_exists(spark, target) or not child_names(spark, target):
-        return spark.createDataFrame([], "stem string, mtime timestamp, size bigint")
+        return spark.createDataFrame([], "stem string, mtime timestamp, size bigint, folder string")
     folder = F.regexp_extract("path", r"/source=([^/]+)/", 1)
     return list_objects(spark, target, "*.parquet").select(
         _unescaped(folder).alias("stem"),
         F.col("last_modified").alias("mtime"),
         "size",
+        F.regexp_extract("path", r"/([^/]+)/source=[^/]+/", 1).alias("folder"),
     )
 
 

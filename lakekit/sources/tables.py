@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,24 +55,33 @@ def read_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.parquet(path) if isinstance(path, str) else spark.read.parquet(*path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A scan with fewer partitions than cores, spread over all of them before heavy work per row.
+def json_lines(first: str | None, second: str | None) -> bool:
+    """Whether text that begins with these two lines is JSON Lines: its first line is a whole object, and another one
+    or nothing follows."""
 
-    A small file with one row group is one task. Inputs of a size where
-    shuffling would matter have more splits than cores and are left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    def whole(line: str) -> bool:
+        try:
+            return isinstance(json.loads(line), dict)
+        except ValueError:
+            return False
+
+    return first is not None and whole(first) and (second is None or second.lstrip().startswith("{"))
+
+
+def is_json_lines(spark: SparkSession, path: str | list[str]) -> bool:
+    """Whether a JSON path holds one object per line, judged by its first lines with text."""
+    head = [r[0] for r in spark.read.text(path).where("trim(value) != ''").take(2)] + [None, None]
+    return json_lines(head[0], head[1])
 
 
 def read_json(
-    spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None, lines: bool = False
+    spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None, lines: bool | None = None
 ) -> DataFrame:
-    """JSON table: an array of objects per file, or one object per line with ``lines``.
+    """JSON table: an array of objects or one object per file, or one object per line with ``lines``.
 
-    JSON Lines files split across tasks; array files are one task each.
+    JSON Lines files split across tasks; array files are one task each. Without ``lines`` the form is found by content.
     """
-    reader = spark.read.option("multiLine", not lines)
+    reader = spark.read.option("multiLine", not (is_json_lines(spark, path) if lines is None else lines))
     if schema is not None:
         reader = reader.schema(schema)
     return reader.json(path)

@@ -13,6 +13,12 @@ def _hadoop(spark: SparkSession, path: str):
     return jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm_path
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, as listings name it, without a slash at its end."""
+    fs, p = _hadoop(spark, path)
+    return fs.makeQualified(p).toString().rstrip("/")
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     fs, p = _hadoop(spark, path)
     return fs.exists(p)

@@ -52,7 +52,7 @@ LICENSE_TEXTS = [
 
 def test_license_texts_against_the_patterns(spark):
     df = spark.createDataFrame([(t,) for t in LICENSE_TEXTS], "t string").select(
-        governance.license_of(F.col("t"), None), governance.license_of(F.col("t"))
+        governance.license_of(F.col("t")), governance.license_of(F.col("t"), 2000)
     )
     assert [tuple(r) for r in df.collect()] == [(license_model(t), license_model(t[:2000])) for t in LICENSE_TEXTS]
 
@@ -142,3 +142,14 @@ def test_candidates(spark):
     seeds = spark.createDataFrame([("u1", 1), ("s2", 2)], "repo_url string, stars int")
     found = quality.candidate_select(results, blacklist, seeds, 10)
     assert sorted((r.origin, r.repo_url, r.stars) for r in found.collect()) == [("search", "u1", 50), ("search", "u3", 20), ("seed", "u1", 1)]
+
+
+def test_headers_of_any_width(spark):
+    wide = ",".join(f'"col ""{i}"", x"' for i in range(20_000))
+    rows = [("r", "r/w.csv", ".csv", wide + "\n1"), ("r", "r/o.csv", ".csv", 'a,,"b,c",\n'), ("r", "r/e.csv", ".csv", "")]
+    found = governance.csv_headers(spark.createDataFrame(rows, "repo string, path string, suffix string, content string"))
+    names = {}
+    for r in found.orderBy("path", "position").collect():
+        names.setdefault(r["path"], []).append(r["column"])
+    assert names["r/w.csv"] == [f'col "{i}", x' for i in range(20_000)]
+    assert names["r/o.csv"] == ["a", "", "b,c", ""] and names["r/e.csv"] == [""]

@@ -142,3 +142,53 @@ def test_exports_and_report(spark, tmp_path):
     text = "\n".join(r.value for r in spark.read.text(str(tmp_path / "report")).collect())
     assert "| 1 | [n/a](u/a) | MIT | u/a |" in text and "| 2 | [n/b](u/b) | Unknown | u/b |" in text
     assert "**1/2** datasets have a detected license." in text
+
+
+def test_conversion_loses_no_row(spark, tmp_path):
+    source, target = tmp_path / "src" / "src", tmp_path / "out"
+    source.mkdir(parents=True)
+    put = lambda name, text: (source / name).write_text(text)
+    put("breaks.csv", 'id,note\n1,"two\nlines"\n2,plain\n')
+    put("semi.csv", 'id;u\n1;"a;b"\n2;c\n')
+    put("tabs.csv", "id\tu\n1\t2,5\n")
+    put("codes.csv", "id,u\n007,x\n")
+    put("words.csv", "id,u\nA07,x\n")
+    put("long.csv", "id,u\n1,2\n1,2,3\n")
+    put("short.csv", "id,u\n1,2\n1\n")
+    put("open.csv", 'id,u\n1,"2\n3,4\n')
+    put("empty.csv", "")
+    put("lines.json", '{"a":1}\n{"a":2}\n{"a":3}\n')
+    put("array.json", '[{"a":1},\n {"a":2}]')
+    put("one.json", '{\n "a": 5\n}')
+    put("bad.json", '{"a":1}\n{"a":\n')
+    stats = sinks.batch_convert(spark, str(source), str(target), "*.{csv,json}", delete_original=True)
+    left = {p.name for p in source.iterdir() if not p.name.startswith(".")}
+    assert left == {"long.csv", "short.csv", "open.csv", "empty.csv", "bad.json"}, stats
+    # A file of no bytes is not even listed.
+    assert (stats["converted"], stats["failed"]) == (8, 4)
+    assert {f["file"]: f["rows"] for f in stats["files"] if f["status"] == "converted"} == {
+        "breaks.csv": 2, "semi.csv": 2, "tabs.csv": 1, "codes.csv": 1, "words.csv": 1, "lines.json": 3, "array.json": 2, "one.json": 1,
+    }
+    found = {}
+    for folder in sinks.child_names(spark, str(target)):
+        for row in spark.read.parquet(f"{target}/{folder}").collect():
+            found.setdefault(row["source"], []).append(tuple(row)[:-1])
+    assert sorted(found["breaks"]) == [(1, "two\nlines"), (2, "plain")]
+    assert sorted(found["semi"]) == [(1, "a;b"), (2, "c")] and found["tabs"] == [(1, "2,5")]
+    assert found["codes"] == [(7, "x")] and found["words"] == [("A07", "x")]
+    assert sorted(found["lines"]) == [(1,), (2,), (3,)] and sorted(found["array"]) == [(1,), (2,)]
+    assert tables.read_json(spark, str(source / "bad.json"), lines=True).count() == 2
+
+
+def test_csv_dialect_is_found(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("a;b\n1;2\n")
+    assert csv.read_csv(spark, str(tmp_path / "t.csv")).columns == ["a", "b"]
+    (tmp_path / "j.json").write_text('{"a":1}\n{"a":2}\n')
+    assert tables.read_json(spark, str(tmp_path / "j.json")).count() == 2
+
+
+def test_directory_whose_name_repeats(spark, tmp_path):
+    root = tmp_path / "data" / "x" / "data"
+    root.mkdir(parents=True)
+    (root / "a.csv").write_text("x\n1\n")
+    assert list(csv.csv_tables(spark, str(root), recursive=False)) == ["a"]

@@ -44,3 +44,28 @@ def test_catalog_queries(spark):
         catalog.envelope("SELECT * FROM my_table", max_rows=4)
     assert spark.conf.get("spark.sql.ansi.doubleQuotedIdentifiers") == "false"
     assert run_sql(spark, 'SELECT "v" FROM t', {"t": spark.createDataFrame([(7,)], "v int")}).first()[0] == 7
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        r"SELECT '\'' ; INSERT INTO t VALUES (1) --'",
+        "FROM t -- x\rINSERT INTO u SELECT *",
+        "WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a",
+        "FROM t INSERT INTO u SELECT *",
+        "SELECT r'\\' , 1 FROM t; DROP TABLE t --'",
+        "SELECT 1 /* open",
+        "SELECT 'open",
+        "SELECT 1 /* a /* b */ ; DROP TABLE t */ ; DROP TABLE t",
+        "EXPLAIN SELECT 1",
+        "VALUES (1) ; VALUES (2)",
+    ],
+)
+def test_gate_refuses(spark, sql):
+    with pytest.raises(PermissionError):
+        Catalog(spark).query(sql)
+
+
+@pytest.mark.parametrize("sql", ["SELECT 'drop table x' AS s", r"SELECT 'it\'s; DELETE' AS s", "SELECT 1 -- insert\n", "SELECT 1 /* a /* drop */ */", "FROM VALUES (1) AS t(a) SELECT a", "WITH a AS (SELECT 1 AS x) SELECT * FROM a"])
+def test_gate_lets_reading_through(spark, sql):
+    assert Catalog(spark).query(sql).count() == 1
