@@ -40,9 +40,11 @@ class Catalog:
     def ingest_json(self, name: str, path: str, **read) -> int:
         return self.spark.table(self.register(name, read_json(self.spark, path, **read))).count()
 
-    def ingest_csv_directory(self, directory: str, recursive: bool = True, as_text: bool = False) -> int:
+    def ingest_csv_directory(
+        self, directory: str, recursive: bool = True, as_text: bool = False, pattern: str = "*.csv"
+    ) -> int:
         """Register every CSV below ``directory`` under its stem; returns the number of tables."""
-        tables = read_csv_directory(self.spark, directory, recursive, as_text)
+        tables = read_csv_directory(self.spark, directory, recursive, as_text, pattern)
         for name, df in tables.items():
             self.register(name, df)
         return len(tables)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakekit.functions.fixed import (
@@ -122,10 +122,10 @@ def license_summary(repos: DataFrame, licenses: DataFrame | None = None) -> Data
 def license_counts(repos: DataFrame) -> DataFrame:
     """Projects per license, beside the number licensed and in all."""
     counted = repos.groupBy(license_or_unknown(F.col("license")).alias("license")).agg(F.count("*").alias("repos"))
-    # One row per kind of license is left here, so one task can add them up.
-    everything = Window.partitionBy()
-    licensed = F.sum(F.when(F.col("license") != "Unknown", F.col("repos")).otherwise(0)).over(everything)
-    return counted.withColumns({"licensed": licensed, "total": F.sum("repos").over(everything)})
+    # License names may be free text, so the sums are an aggregate of their own and not a window over all kinds.
+    known = license_or_unknown(F.col("license")) != "Unknown"
+    sums = repos.agg(F.count_if(known).alias("licensed"), F.count("*").alias("total"))
+    return counted.withColumns({"licensed": sums.select("licensed").scalar(), "total": sums.select("total").scalar()})
 
 
 def readme_rank(name: Column) -> Column:

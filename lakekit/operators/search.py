@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,6 @@ from lakekit.functions.text import strip, words
 from lakekit.operators.ordering import first_per_key
 
 NAME_SPLIT = r"(?U)[\s\-_/.,]+"
-QUERIES_PER_PASS = 32
 
 
 def _name_parts() -> Column:
@@ -121,27 +122,70 @@ def search(repos: DataFrame, query: str, top_k: int = 10, key: str = "seq") -> D
     return scored.filter(F.col("score") > 0).orderBy(F.col("score").desc(), F.col(key)).limit(top_k)
 
 
-def search_batch(repos: DataFrame, queries: dict[int, str], top_k: int = 10, key: str = "seq") -> DataFrame:
-    """Ranked search for several queries, each scan of the records serving up to 32 of them.
-
-    Only ``top_k`` rows per query leave a task.
+def _substring_points(repos: DataFrame, tokens: list[str], key: str) -> DataFrame:
+    """(key, token, points) for tokens inside names and descriptions, from one scan whatever the number of tokens."""
+    import ahocorasick
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for token in tokens:
+            automaton.add_word(token, token)
+        automaton.make_automaton()
+        for batch in batches:
+            at, token, points = [], [], []
+            for column, weight in ((1, 1.5), (2, 0.5)):
+                for i, text in enumerate(batch.column(column).to_pylist()):
+                    inside = {t for _, t in automaton.iter(text or "")}
+                    at += [i] * len(inside)
+                    token += inside
+                    points += [weight] * len(inside)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(at, pa.int64())), pa.array(token, pa.string()), pa.array(points, pa.float64())],
+                [key, "token", "points"],
+            )
+
+    texts = repos.select(key, F.lower("repo_name"), F.lower(F.coalesce("description", F.lit(""))))
+    return texts.mapInArrow(found, f"`{key}` {repos.schema[key].dataType.simpleString()}, token string, points double")
+
+
+def search_batch(
+    repos: DataFrame, queries: dict[int, str], top_k: int = 10, key: str = "seq", index: DataFrame | None = None
+) -> DataFrame:
+    """Ranked search for any number of queries, from the index and one scan of the texts.
+
+    The postings of ``index``, or those of ``repos``, meet the queries' tokens in a join; letters inside names and
+    descriptions are found in one pass. A project without any hit ranks by its intents and quality alone, of which
+    there are few kinds, so the best of each kind are the only ones to consider.
     """
-    prepared = _prepared(repos)
-    passes = []
-    items = sorted(queries.items())
-    for start in range(0, len(items), QUERIES_PER_PASS):
-        scores = F.array(
-            *[
-                F.struct(F.lit(number).cast("bigint").alias("query_id"), _score(query).alias("score"))
-                for number, query in items[start : start + QUERIES_PER_PASS]
-            ]
-        )
-        scored = prepared.select(key, "repo_name", F.inline(F.filter(scores, lambda s: s["score"] > 0)))
-        passes.append(first_per_key(scored, ["query_id"], [F.col("score").desc(), F.col(key)], top_k))
-    result = passes[0]
-    for part in passes[1:]:
-        result = result.unionByName(part)
-    return result
+    spark, number = repos.sparkSession, repos.schema[key].dataType.simpleString()
+    asked = spark.createDataFrame(
+        [(i, t) for i, q in queries.items() for t in query_tokens(q)], "query_id bigint, token string"
+    )
+    kinds = {q: (tuple(intended_types(q)), wants_api(q)) for q in queries.values()}
+    numbers = {k: n for n, k in enumerate(sorted(set(kinds.values())))}
+    plans = spark.createDataFrame([(i, numbers[kinds[q]]) for i, q in queries.items()], "query_id bigint, kind int")
+
+    def base(types: tuple[str, ...], api: bool) -> Column:
+        score = F.coalesce("quality_score", F.lit(0.0)) * 0.02
+        if types:
+            wanted = F.arrays_overlap("data_types", F.array(*map(F.lit, types)))
+            score = score + F.when(wanted, 2.0).otherwise(0.0)
+        return score + F.when(F.col("api_docs_found"), 2.0).otherwise(0.0) if api else score
+
+    bases = F.array(*(F.struct(F.lit(n).alias("kind"), base(*k).alias("base")) for k, n in numbers.items()))
+    rows = repos.select(key, "repo_name", F.inline(bases))
+    listed = (postings(repos, key) if index is None else index).select("token", key, F.lit(1.0).alias("points"))
+    tokens = sorted({t for q in queries.values() for t in query_tokens(q)})
+    inside = _substring_points(repos, tokens, key) if tokens else spark.createDataFrame([], f"`{key}` {number}, token string, points double")
+    hits = (
+        listed.unionByName(inside).join(asked, "token").groupBy("query_id", key).agg(F.sum("points").alias("points"))
+        .join(plans, "query_id").join(rows, ["kind", key])
+        .select("query_id", key, "repo_name", (F.col("points") + F.col("base")).alias("score"))
+    )
+    plain = first_per_key(rows, ["kind"], [F.col("base").desc(), F.col(key)], top_k)
+    plain = plain.join(plans, "kind").select("query_id", key, "repo_name", F.col("base").alias("score"))
+    every = hits.unionByName(plain).groupBy("query_id", key, "repo_name").agg(F.max("score").alias("score"))
+    return first_per_key(every.where("score > 0"), ["query_id"], [F.col("score").desc(), F.col(key)], top_k)
 
 
 def record_text(repos: DataFrame) -> Column:

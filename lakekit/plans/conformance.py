@@ -66,7 +66,7 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
     "sql_in_subquery": (
         """SELECT p_partkey, p_brand FROM part
            WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_discount > 0.08)
-             AND p_size NOT IN (SELECT n_nationkey FROM nation)""",
+             AND NOT EXISTS (SELECT 1 FROM nation WHERE n_nationkey = p_size)""",
         None,
     ),
     "sql_lateral": (

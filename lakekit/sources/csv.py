@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import fnmatch
 import logging
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +16,7 @@ from lakekit.storage import qualified
 
 log = logging.getLogger(__name__)
 
+INFER_THREADS = 16
 CORRUPT = "_corrupt_record"
 CELLS = "_cells"  # cells found in the record, before padding or cutting
 ROW = "_row"  # increases with file and line order within one read
@@ -120,9 +123,11 @@ def _blank_records(spark: SparkSession, path: str, columns: list[str], multi_lin
     )
 
 
-def csv_tables(spark: SparkSession, directory: str, recursive: bool = True) -> dict[str, str]:
+def csv_tables(spark: SparkSession, directory: str, recursive: bool = True, pattern: str = "*.csv") -> dict[str, str]:
     """Table name to path for every ``*.csv`` file, or folder of part files, below ``directory``.
 
+    ``pattern`` is a glob over the names of those files or folders.
+
     Two paths with one stem would overwrite each other's table and raise.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory).select("path")
@@ -131,7 +136,7 @@ def csv_tables(spark: SparkSession, directory: str, recursive: bool = True) -> d
     table = F.regexp_extract(F.substr("path", F.lit(len(root) + 1)), "^" + inner, 1)
     found = (
         files.select(F.concat(F.lit(root + "/"), table).alias("path"), table.alias("relative"))
-        .filter(F.col("relative") != "")
+        .filter(F.element_at(F.split("relative", "/"), -1).rlike(fnmatch.translate(pattern)) & (F.col("relative") != ""))
         .distinct()
         .orderBy("path")
     )
@@ -145,16 +150,24 @@ def csv_tables(spark: SparkSession, directory: str, recursive: bool = True) -> d
 
 
 def read_csv_directory(
-    spark: SparkSession, directory: str, recursive: bool = True, as_text: bool = False
+    spark: SparkSession, directory: str, recursive: bool = True, as_text: bool = False, pattern: str = "*.csv"
 ) -> dict[str, DataFrame]:
-    """One table per CSV file below ``directory``; a file that cannot be read is logged and left out."""
-    tables = {}
-    for name, path in csv_tables(spark, directory, recursive).items():
+    """One table per CSV file below ``directory``; a file that cannot be read is logged and left out.
+
+    Each table's types are a job of their own, so many run at once.
+    """
+
+    def load(item: tuple[str, str]) -> tuple[str, DataFrame | None]:
+        name, path = item
         try:
-            tables[name] = read_csv(spark, path, infer=not as_text)
+            return name, read_csv(spark, path, infer=not as_text)
         except Exception as error:  # noqa: BLE001 - one bad file must not stop the others
             log.warning("left out %s: %s", path, error)
-    return tables
+            return name, None
+
+    with ThreadPoolExecutor(INFER_THREADS) as pool:
+        loaded = pool.map(load, csv_tables(spark, directory, recursive, pattern).items())
+        return {name: df for name, df in loaded if df is not None}
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -38,19 +38,19 @@ def test_count_of_wrong_records_needs_no_data_column(spark, tmp_path):
     assert counted == {3: 1, 2: 1, 0: 1, 4: 1}
 
 
-def test_reference_csv_fixtures(spark, tmp_path):
-    sample = tmp_path / "sample.csv"
-    sample.write_text("date,value,category\n2024-01-01,10,A\n2024-01-02,20,B\n2024-01-03,,A\ninvalid,30,C\n")
-    raw = csv.read_raw_csv(spark, str(sample))
+def test_profile_of_csv_files(spark, tmp_path):
+    gauges = tmp_path / "gauges.csv"
+    gauges.write_text("day,height,gauge\n2031-05-01,310,west\n2031-05-02,,west\n2031-05-03,290,east\nlater,305,east\n")
+    raw = csv.read_raw_csv(spark, str(gauges))
     found = {r.column: r for r in profile.csv_profile(raw).collect()}
-    assert list(found) == ["date", "value", "category"]
-    assert found["value"].total_rows == 4 and found["value"].inconsistent_rows == 0
-    assert found["value"].null_ratio == 0.25
-    # 3 of 4 dates are 75%.
-    assert [r.column for r in profile.date_columns(raw).collect()] == ["date"]
-    short = tmp_path / "inconsistent.csv"
-    short.write_text("a,b,c\n1,2,3\n1,2\n")
-    assert profile.csv_profile(csv.read_raw_csv(spark, str(short))).first().inconsistent_rows == 1
+    assert list(found) == ["day", "height", "gauge"]
+    assert found["height"].total_rows == 4 and found["height"].inconsistent_rows == 0
+    assert found["height"].null_ratio == 0.25
+    # Three days in four cells are enough.
+    assert [r.column for r in profile.date_columns(raw).collect()] == ["day"]
+    uneven = tmp_path / "uneven.csv"
+    uneven.write_text("x,y\n1,2\n1\n5,6\n")
+    assert profile.csv_profile(csv.read_raw_csv(spark, str(uneven))).first().inconsistent_rows == 1
 
 
 def test_directory_of_csv_files(spark, tmp_path):
@@ -64,6 +64,7 @@ def test_directory_of_csv_files(spark, tmp_path):
     assert catalog.table_schema("nothing") is None
     assert catalog.schema_context().startswith("Table 'a_b' (1 rows): x (int), y (int)")
     assert list(csv.csv_tables(spark, str(tmp_path / "in"), recursive=False)) == ["a_b"]
+    assert list(csv.csv_tables(spark, str(tmp_path / "in"), pattern="c*.csv")) == ["c"]
     (tmp_path / "in" / "deep" / "a-b.csv").write_text("x\n1\n")
     with pytest.raises(ValueError):
         csv.csv_tables(spark, str(tmp_path / "in"))
