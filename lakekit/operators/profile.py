@@ -237,8 +237,8 @@ def _guess_types(cells: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def schema_json(types: DataFrame, dataset: str) -> DataFrame:
-    """The type guesses of one table as a JSON document of fields in column order."""
+def schema_json(types: DataFrame, dataset: str, source: str | None = None) -> DataFrame:
+    """The type guesses of one table as a JSON document of fields in column order, and where they come from if given."""
     field = F.struct(
         F.col("column").alias("fieldPath"),
         F.col("column").alias("description"),
@@ -250,7 +250,11 @@ def schema_json(types: DataFrame, dataset: str) -> DataFrame:
     fields = F.transform(ordered, lambda f: f["field"])
     return types.agg(
         F.to_json(
-            F.struct(F.lit(dataset).alias("dataset"), F.struct(fields.alias("fields")).alias("schema"))
+            F.struct(
+                F.lit(dataset).alias("dataset"),
+                F.struct(fields.alias("fields")).alias("schema"),
+                *([F.lit(source).alias("source")] if source is not None else []),
+            )
         ).alias("document")
     )
 
