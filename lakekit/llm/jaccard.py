@@ -252,9 +252,9 @@ def join_similar(
     depth: int = DEPTH,
     recall: float = RECALL,
 ) -> DataFrame:
-    """``documents`` as struct ``row`` with text_hash, class_id, class_size, n_links and n_set_links.
+    """``documents`` as struct ``row`` with text_hash, class, class_id, class_size, n_links and n_set_links.
 
-    ``class_id`` is the least id among documents that are linked, directly or through others; ``n_links`` counts the
+    ``class`` names the class (null for a text without words, which stands alone), ``class_id`` is the least id among documents that are linked, directly or through others; ``n_links`` counts the
     documents at the threshold or above, copies included, ``n_set_links`` the different sets among them.
     """
     spark, prefix, n_hashes = documents.sparkSession, prefix_depth(threshold, trees, depth, recall), trees * depth
@@ -318,6 +318,7 @@ def join_similar(
     return done.select(
         "row",
         F.col("h").alias("text_hash"),
+        "class",
         F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
         (F.coalesce("documents", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).cast("long").alias("n_links"),
@@ -350,14 +351,29 @@ def _grams(texts: pa.Table, asked: pa.Table, n: int) -> pa.Table:
 
 
 def keep_one(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The document of least id of every class, with its own columns; of equal ids, one."""
-    found = join_similar(documents, doc_id, text, **options)
-    alone = F.col("class_size") == 1
-    first = found.where(~alone & (F.col(f"row.`{doc_id}`") == F.col("class_id")))
-    # Rows of one id may share a class: the least text stays.
-    one = first.groupBy("class_id").agg(F.min_by("row", F.struct("text_hash", F.xxhash64("row"))).alias("row"))
-    nameless = found.where(~alone & F.col("class_id").isNull()).groupBy("n_links", "text_hash").agg(F.first("row").alias("row"))
-    return found.where(alone).select("row.*").union(one.select("row.*")).union(nameless.select("row.*"))
+    """One document of every class, with its own columns: the least id, then the least MD5 of the text; of equal rows, one.
+
+    Classes are found from ids and texts alone; the decisions then meet the rows, whose texts travel once.
+    """
+    light = documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    found = join_similar(light, "id", "text", **options).where("class_size > 1").select("row.id", "text_hash", "class")
+    members = found.groupBy("id", "text_hash", "class").agg(F.count("*").alias("n"))
+    first = F.struct(F.col("id").isNull(), "id", "text_hash")
+    winners = members.groupBy("class").agg(F.min(first).alias("first"))
+    decided = members.join(winners, "class").select(
+        F.col("id").alias("own_id"), F.col("text_hash").alias("own_h"), (F.col("first") == first).alias("wins"), "n"
+    )
+    types = light.schema["id"].dataType.simpleString()
+    decided = _kept(decided, "decisions", f"own_id {types}, own_h string, wins boolean, n long")
+    rows = documents.select(
+        F.struct(*(documents[c] for c in documents.columns)).alias("row"),
+        F.col(doc_id).alias("id"),
+        F.md5(F.coalesce(text, F.lit(""))).alias("h"),
+    )
+    met = rows.join(decided, rows["h"].eqNullSafe(decided["own_h"]) & rows["id"].eqNullSafe(decided["own_id"]), "left")
+    alone = met.where("wins IS NULL OR (wins AND n = 1)").select("row.*")
+    several = met.where("wins AND n > 1").groupBy("id", "h").agg(F.first("row").alias("row"))
+    return alone.union(several.select("row.*"))
 
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:
