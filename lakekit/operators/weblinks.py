@@ -2,64 +2,72 @@
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-from urllib.parse import urljoin
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lakekit.functions.fixed import DATA_LINK_SUFFIXES, NON_PROJECT_PARTS
 from lakekit.operators.ordering import first_per_key
 
-_LINKS = T.ArrayType(T.StructType([T.StructField("href", T.StringType()), T.StructField("url", T.StringType())]))
-
-
-class _Anchors(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.hrefs: list[str] = []
-
-    def handle_starttag(self, tag, attrs):
-        if tag == "a":
-            for name, value in attrs:
-                if name == "href":
-                    self.hrefs.append(value or "")
-                    break
-
-
-def _absolute(base: str | None, href: str) -> str:
-    try:
-        return urljoin(base or "", href)
-    except ValueError:
-        return href
-
+# Parts of a page that hold no links, tags of links, and the value of their address. Nothing here backtracks over a page.
+_SILENT = r"(?is)<!--.*?-->|<script\b[^>]*+>.*?</script\s*+>|<style\b[^>]*+>.*?</style\s*+>"
+_TAG = r"(?i)<a(?=[\s/])([^>]*+)>"
+_HREF = r"""(?i)(?:^|[\s"'/])href(?=[\s=/]|$)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"']\S*+)?)?"""
+_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*+:"
+
+
+def _without_dots(path: Column) -> Column:
+    """A path with its ``.`` and ``..`` parts resolved."""
+    parts = F.split(path, "/")
+    none = F.array().cast("array<string>")
+
+    def step(done: Column, part: Column) -> Column:
+        up = F.when(F.size(done) > 1, F.slice(done, 1, F.size(done) - 1)).otherwise(done)
+        return F.when(part == "..", up).when(part == ".", done).otherwise(F.concat(done, F.array(part)))
+
+    kept = F.aggregate(parts, none, step)
+    # A path that ends in a dot part is a folder.
+    return F.concat(F.array_join(kept, "/"), F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise(""))
+
+
+def absolute(base: Column, href: Column) -> Column:
+    """The address that ``href`` means on the page ``base``; ``href`` itself when the page's address has no scheme."""
+    base = F.coalesce(base, F.lit(""))
+    scheme = F.regexp_extract(base, "(" + _SCHEME + ")", 1)
+    site = F.regexp_extract(base, "(" + _SCHEME + r"(?://[^/?#]*+)?)", 1)
+    page = F.regexp_extract(base, r"^([^?#]*+)", 1)
+    path = F.substr(page, F.length(site) + 1)
+    folder = F.regexp_replace(path, r"[^/]*+$", "")
+    wanted, rest = F.regexp_extract(href, r"^([^?#]*+)", 1), F.regexp_extract(href, r"^[^?#]*+(.*)$", 1)
+    inside = F.when(folder == "", F.concat(F.lit("/"), wanted)).otherwise(F.concat(folder, wanted))
+    return (
+        F.when((scheme == "") | href.rlike(_SCHEME), href)
+        .when(href.startswith("//"), F.concat(scheme, href))
+        .when(href == "", F.regexp_extract(base, r"^([^#]*+)", 1))
+        .when(href.startswith("#"), F.concat(F.regexp_extract(base, r"^([^#]*+)", 1), href))
+        .when(href.startswith("?"), F.concat(page, href))
+        .when(href.startswith("/"), F.concat(site, _without_dots(wanted), rest))
+        .otherwise(F.concat(site, _without_dots(inside), rest))
+    )
 
-@F.pandas_udf(_LINKS)
-def _anchors(html: pd.Series, base: pd.Series) -> pd.Series:
-    def links(text, page):
-        if text is None:
-            return []
-        parser = _Anchors()
-        parser.feed(text)
-        parser.close()
-        return [{"href": h, "url": _absolute(page, h)} for h in parser.hrefs]
 
-    return pd.Series([links(t, b) for t, b in zip(html, base)])
+def anchors(html: Column) -> Column:
+    """``href`` values of a page's ``<a>`` tags in document order."""
+    tags = F.regexp_extract_all(F.regexp_replace(html, _SILENT, " "), F.lit(_TAG), 1)
 
+    def value(tag: Column) -> Column:
+        found = F.regexp_replace(F.regexp_extract(tag, _HREF, 1), r"""^(["'])(.*)\1$""", "$2")
+        for entity, letter in _ENTITIES.items():
+            found = F.replace(found, F.lit(entity), F.lit(letter))
+        return found
 
-def anchors(html: Column, base: Column) -> Column:
-    """``<a href>`` values of a page in document order, with their absolute form."""
-    has_link = html.rlike(r"(?i)<a\s")
-    return _anchors(F.when(has_link, html), base)
+    return F.transform(F.filter(tags, lambda t: t.rlike(_HREF)), value)
 
 
 def page_links(pages: DataFrame, key: str, url: str = "url", html: str = "html") -> DataFrame:
     """Every link of every page: key, position in the page, href and absolute URL."""
-    return pages.select(key, F.posexplode(anchors(F.col(html), F.col(url))).alias("position", "link")).select(
-        key, "position", "link.href", "link.url"
-    )
+    found = pages.select(key, F.col(url).alias("_page"), F.posexplode(anchors(F.col(html))).alias("position", "href"))
+    return found.select(key, "position", "href", absolute(F.col("_page"), F.col("href")).alias("url"))
 
 
 def data_links(links: DataFrame) -> DataFrame:

@@ -99,6 +99,20 @@ def test_links(spark):
     assert [r.position for r in weblinks.data_links(links).orderBy("position").collect()] == [0, 2, 3]
 
 
+def test_addresses(spark):
+    cases = {
+        "x.csv": "https://h.org/a/b/x.csv", "../x": "https://h.org/a/x", "./x/../y": "https://h.org/a/b/y", "/z/./w": "https://h.org/z/w",
+        "..": "https://h.org/a/", "../../../x": "https://h.org/x", "?k=1": "https://h.org/a/b/c?k=1", "#t": "https://h.org/a/b/c?q=2#t",
+        "": "https://h.org/a/b/c?q=2", "//o.net/x": "https://o.net/x", "mailto:a@b": "mailto:a@b", "HTTP://x": "HTTP://x", "d?u=../v": "https://h.org/a/b/d?u=../v",
+    }
+    df = spark.createDataFrame([(h,) for h in cases], "h string")
+    found = {r.h: r.u for r in df.select("h", weblinks.absolute(F.lit("https://h.org/a/b/c?q=2#f"), F.col("h")).alias("u")).collect()}
+    assert found == cases
+    assert df.where("h = 'x.csv'").select(weblinks.absolute(F.lit(None), F.col("h"))).first()[0] == "x.csv"
+    tags = '<a class="x" href = y >1</a><a href>2</a><abbr href=n><a data-href="n"><a\nhref="p q"><a href=&#39;r'
+    assert spark.range(1).select(weblinks.anchors(F.lit(tags))).first()[0] == ["y", "", "p q"]
+
+
 def test_project_links(spark):
     hrefs = ["/", "/search", "/o/n", "/o", "/login/x", "/o/n/tree", "/p/q?z", "x/y", "/seen/it", "plain", "/r/s"]
     links = spark.createDataFrame([(1, i, h) for i, h in enumerate(hrefs)], "id int, position int, href string")
