@@ -4,7 +4,8 @@ A text is cut into windows of eight word shingles that overlap by half, template
 occurs whole lies in some window, where its Jaccard similarity is one half or more; with one hash a band and ``BANDS``
 bands it is retrieved with probability 1 - 2^-BANDS, 0.9998 for twelve. Templates of up to four shingles, all of which
 must occur, are windows of one shingle: equal sets, retrieved with certainty by one band. Bands meet by an equi-join.
-Each retrieved template is verified by exact containment: the share of its shingles among those around the window.
+Each retrieved template is verified by exact containment: the share of its shingles in the stretch of text around the
+window, which reaches a template's length beyond it on either side.
 
 Templates are constants of the caller; their bands are broadcast while there are at most ``BROADCAST_BANDS`` rows.
 
@@ -24,6 +25,8 @@ WORDS = 5
 CONTAINMENT = 0.8
 BANDS = 12
 PIECE, WINDOW = 4, 8
+#: Shingles of a stretch, whose windows are verified against it and what surrounds it.
+STRETCH = 64
 BROADCAST_BANDS = 100_000
 #: Short notices as licenses print them.
 TEMPLATES = [
@@ -116,25 +119,30 @@ def matches(
         known = F.broadcast(known)
     hashed = texts.select(F.col(key).alias("key"), F.transform(words_of(F.col(text)), lambda w: F.xxhash64(w)).alias("words"))
     runs = hashed.select("key", shingles(F.col("words"), words).alias("s"), *(shingles(F.col("words"), k).alias(f"s{k}") for k in short))
-    # A short text still has windows for its shorter shingles.
+    # Stretches of the text keep the shingles around their windows; a short text still has shorter shingles.
     n = F.greatest(F.size("s"), *(F.size(f"s{k}") for k in short), F.lit(0))
-    windows = F.transform(
-        F.sequence(F.lit(0), F.floor((n - 1) / PIECE).cast("int")),
+    stretches = F.transform(
+        F.sequence(F.lit(0), F.floor((n - 1) / STRETCH).cast("int")),
         lambda q: F.struct(
-            F.slice("s", q * PIECE + 1, WINDOW).alias("near"),
-            F.slice("s", F.greatest(q * PIECE - longest, F.lit(0)) + 1, 2 * longest + WINDOW).alias("around"),
-            *(F.slice(f"s{k}", q * PIECE + 1, PIECE).alias(f"s{k}") for k in short),
+            F.slice("s", q * STRETCH + 1, STRETCH + WINDOW - PIECE).alias("own"),
+            F.slice("s", F.greatest(q * STRETCH - longest, F.lit(0)) + 1, 2 * longest + STRETCH + WINDOW).alias("around"),
+            *(F.slice(f"s{k}", q * STRETCH + 1, STRETCH).alias(f"s{k}") for k in short),
         ),
     )
     # A filter on what is exploded would be computed once more below; outer explosions have none.
-    cut = runs.select("key", F.explode_outer(F.when(n > 0, windows)).alias("w")).where("w IS NOT NULL").select("key", "w.*")
-    # Places 0 .. bands-1 are bands, then PIECE places for the single shingles of each length.
+    cut = runs.select("key", F.explode_outer(F.when(n > 0, stretches)).alias("w")).where("w IS NOT NULL").select("key", "w.*")
+    starts = F.sequence(F.lit(1), F.lit(STRETCH), F.lit(PIECE))
+    windows = F.transform(starts, lambda i: F.slice("own", i, WINDOW))
+    filler = F.array_repeat(F.lit(None).cast("bigint"), STRETCH)
+    # Places: the bands of every window, then the single shingles of each length.
     values = F.concat(
-        F.array(*bands_of(F.col("near"), bands)),
-        *(F.slice(F.concat(c, F.array_repeat(F.lit(None).cast("bigint"), PIECE)), 1, PIECE) for c in ["near", *(f"s{k}" for k in short)]),
+        F.flatten(F.transform(windows, lambda w: F.array(*bands_of(w, bands)))),
+        *(F.slice(F.concat(c, filler), 1, STRETCH) for c in ["own", *(f"s{k}" for k in short)]),
     )
     asked = cut.select("key", "around", values.alias("values")).select("key", "around", F.posexplode_outer("values").alias("at", "value"))
-    kind = F.when(F.col("at") < bands, F.col("at")).otherwise(F.lit(bands) + F.floor((F.col("at") - bands) / PIECE).cast("int"))
+    banded = STRETCH // PIECE * bands
+    single = F.lit(bands) + F.floor((F.col("at") - banded) / STRETCH).cast("int")
+    kind = F.when(F.col("at") < banded, F.col("at") % bands).otherwise(single)
     met = asked.where("value IS NOT NULL").withColumn("kind", kind).join(known, ["kind", "value"])
     share = F.when(F.col("kind") > bands, F.lit(1.0)).otherwise(F.size(F.array_intersect("shingles", "around")) / F.size("shingles"))
     return (
