@@ -32,9 +32,9 @@ WORDS = 5
 THRESHOLD = 0.8
 TREES, DEPTH = 20, 6
 RECALL = 0.99999
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 #: Sets in a share of a node or a component, and rows or bytes to a bucket of small ones.
-NODE_SHARE, SET_SHARE = 8192, 1024
+NODE_SHARE, SET_SHARE = 8192, 512
 NODE_BUCKET_ROWS, SET_BUCKET_BYTES = 50_000, 8 << 20
 #: Standard deviations by which a signature may underrate a pair at the threshold.
 _SLACK = 5.5
