@@ -37,13 +37,13 @@ def fit_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 1
     return w[:-1], float(w[-1])
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int = 50) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-3, rounds: int = 50) -> np.ndarray:
     """Weights of a logistic model by Newton's steps; ``x`` has few columns, one of them constant."""
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - y) + penalty * w
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + (penalty + 1e-9) * np.eye(x.shape[1])
+        gradient = x.T @ (weight * (p - y)) + penalty * w
+        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + (penalty + 1e-9) * np.eye(x.shape[1])
         move = np.linalg.solve(hessian, gradient)
         w -= move / max(1.0, np.abs(move).max() / 2)
         if np.abs(move).max() < 1e-6:

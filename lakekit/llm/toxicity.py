@@ -218,8 +218,10 @@ def _each(text: pa.Array) -> Iterator[tuple[int, int, Piece]]:
         yield lo, hi, Piece(text.slice(lo, hi - lo), lower=True).split(_WORD)
 
 
-def _sample(documents: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, sample: int) -> DataFrame:
-    """At most about ``sample`` labelled texts, kept in the shared folder."""
+def _sample(
+    documents: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, sample: int
+) -> tuple[DataFrame, dict[int, int]]:
+    """At most about ``sample`` labelled texts, kept in the shared folder, and how many labels of each kind there are."""
     known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).cast("int").alias("y"))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("y") == 1, sample / 2 / max(1, counts.get(1, 0))).otherwise(sample / 2 / max(1, counts.get(0, 0)))
@@ -228,7 +230,8 @@ def _sample(documents: DataFrame, labels: DataFrame, doc_id: str, text: str, lab
     rows = documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     # The sample has a bound of its own, so its ids may be broadcast.
     rows.join(F.broadcast(picked), "id").write.parquet(folder)
-    return documents.sparkSession.read.schema(f"id {rows.schema['id'].dataType.simpleString()}, text string, y int").parquet(folder)
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, text string, y int"
+    return documents.sparkSession.read.schema(schema).parquet(folder), counts
 
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,7 +287,7 @@ def fit(
     lexicon: int = LEXICON,
 ) -> Model | None:
     """Learn the insults and the patterns' weights; None without labelled texts of both kinds."""
-    rows = _sample(documents, labels, doc_id, text, label, sample)
+    rows, every = _sample(documents, labels, doc_id, text, label, sample)
     counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = counts.get(1, 0), counts.get(0, 0)
     if not n_toxic or not n_clean:
@@ -309,8 +312,9 @@ def fit(
 
     table = rows.mapInArrow(read, "x array<double>, y int").toArrow().to_pydict()
     x, y = np.array(table["x"]), np.array(table["y"])
-    # The sample's share of toxic rows is not that of the labels, so the weights stay those of an even decision.
-    return Model(words, fit_logistic(x, y, penalty=1.0))
+    # The sample holds more toxic rows than the labels do; rows weigh as many as they stand for.
+    stands = np.where(y == 1, every.get(1, 1) / n_toxic, every.get(0, 1) / n_clean)
+    return Model(words, fit_logistic(x, y, stands * len(y) / stands.sum(), penalty=1.0))
 
 
 def score(documents: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
