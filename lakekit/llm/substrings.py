@@ -34,10 +34,10 @@ from lakekit.llm.textblocks import Piece, covered, hash_ranges, mix, pieces
 
 LENGTH = 50
 #: Bytes of text in a block, bytes of text to a bucket of anchors and of contexts, bytes sorted at once.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 ANCHOR_BUCKET_BYTES = 24 << 20
-CONTEXT_BUCKET_BYTES = 4 << 20
-SORT_BYTES = 4 << 20
+CONTEXT_BUCKET_BYTES = 2 << 20
+SORT_BYTES = 1 << 20
 _GRAM = 16
 _STRIDE = 1 << 19
 _NO_ID = (1 << 63) - 1
