@@ -28,7 +28,7 @@ from lakekit.session import scratch_path
 CAPACITY = 2048
 END_ID = 1
 #: Words a worker remembers; then it starts anew.
-_REMEMBER = 1_200_000
+_REMEMBER = 600_000
 _TAIL = b".,;:!?"
 _ENCODERS: dict[str, Encoder] = {}
 
