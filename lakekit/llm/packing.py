@@ -174,7 +174,8 @@ def pack(
 ) -> DataFrame:
     """One row per piece: the document's id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and its ids if asked.
 
-    ``tokenizer`` is the path of a ``tokenizers`` file on every machine whose ids depend on no white space.
+    ``tokenizer`` is the path, on every machine, of a ``tokenizers`` file that lower-cases, drops white space and marks
+    the ends of words, as ``word_bpe_49k.json`` does.
     """
     spark, path = documents.sparkSession, tokenizer or vocabulary_path()
     rows = documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
