@@ -370,7 +370,8 @@ def keep_one(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", *
         F.col(doc_id).alias("id"),
         F.md5(F.coalesce(text, F.lit(""))).alias("h"),
     )
-    met = rows.join(decided, rows["h"].eqNullSafe(decided["own_h"]) & rows["id"].eqNullSafe(decided["own_id"]), "left")
+    # The decisions have no bound, so they are never broadcast, however small a table is.
+    met = rows.join(decided.hint("merge"), rows["h"].eqNullSafe(decided["own_h"]) & rows["id"].eqNullSafe(decided["own_id"]), "left")
     alone = met.where("wins IS NULL OR (wins AND n = 1)").select("row.*")
     several = met.where("wins AND n > 1").groupBy("id", "h").agg(F.first("row").alias("row"))
     return alone.union(several.select("row.*"))
