@@ -1,17 +1,19 @@
 """Operator 5, license scans with MinHash bands over overlapping text windows. Only built-in functions are used.
 
-A text is cut into windows of eight word shingles that overlap by half, templates into pieces of four. A piece that
+Templates are phrases and headers that state a license, and passages of whole license texts (``license_catalogue``). A text
+is cut into windows of eight word shingles that overlap by half, templates into pieces of four. A piece that
 occurs whole lies in some window, where its Jaccard similarity is one half or more; with one hash a band and ``BANDS``
 bands it is retrieved with probability 1 - 2^-BANDS, 0.9998 for twelve. Templates of up to four shingles, all of which
-must occur, are windows of one shingle: equal sets, retrieved with certainty by one band. Bands meet by an equi-join.
+must occur, are looked up by their first shingle, with certainty. Bands meet by an equi-join.
 Each retrieved template is verified by exact containment: the share of its shingles in the stretch of text around the
-window, which reaches a template's length beyond it on either side.
+window, which reaches a template's length beyond it on either side. A notice that names a version needs a shingle that
+covers it, so one of version 2 is no near copy of that of version 3; "GNU General" is no near copy of "GNU Lesser General".
 
 Templates are constants of the caller; their bands are broadcast while there are at most ``BROADCAST_BANDS`` rows.
 
 Cases: null texts and texts of fewer words than a template's shortest shingle hold no license; equal texts are looked
-up once each row and joined by MD5; a license found several times counts once, with its best containment; an empty
-table gives no rows; other columns are ignored.
+up once each row and joined by MD5; a license found several times counts once, with its best containment; a family's name
+without a version is left out beside one with it; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,17 +23,20 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakekit.llm.license_catalogue import BREAK as _BREAK
+from lakekit.llm.license_catalogue import FAMILIES, notices, passages, split
+
 WORDS = 5
 CONTAINMENT = 0.8
 BANDS = 12
 PIECE, WINDOW = 4, 8
 #: Shingles of a stretch, whose windows are verified against it and what surrounds it.
 STRETCH = 64
-BROADCAST_BANDS = 100_000
-#: Short notices as licenses print them.
+BROADCAST_BANDS = 400_000
+#: Short notices as licenses print them; the catalogue's notices and passages are added to them.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    ("Apache-2.0", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     (
@@ -59,7 +64,6 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("All rights reserved", "All rights reserved."),
 ]
-_BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: One mask a band; a window's value is its least shingle hash under the mask.
 _MASKS = [((i + 1) * 0x9E3779B97F4A7C15 ^ (i + 7) * 0xC2B2AE3D27D4EB4F << 7) % (1 << 64) - (1 << 63) for i in range(64)]
 
@@ -82,25 +86,40 @@ def bands_of(window: Column, bands: int) -> list[Column]:
     return [least(mask) for mask in _MASKS[:bands]]
 
 
-def _word_count(text: str) -> int:
-    return len([w for w in re.split(_BREAK, text.lower()) if w])
-
-
-def template_bands(spark: SparkSession, templates: list[tuple[str, str]], words: int, bands: int) -> tuple[DataFrame, list[int], int]:
-    """(template bands, shingle lengths below ``words`` that templates need, shingles of the longest template)."""
-    rows = [(name, text, k := min(words, n), n - k + 1) for name, text in templates if (n := _word_count(text))]
-    short = sorted({k for _, _, k, _ in rows if k < words})
-    table = spark.createDataFrame(rows, "license string, notice string, k int, n int")
+def _must(name: str, words: list[str], k: int) -> list[list[int]]:
+    """Places of the shingles that cover the version, the family, which tell a license from its siblings, and that state it."""
+    digits = [i for i, w in enumerate(words) if re.fullmatch(r"v?\d+", w)] if re.search(r"\d", name) else []
+    version = [(a, next(i for i in range(a, len(words) + 1) if i not in digits)) for a in digits if a - 1 not in digits]
+    family = [(i, i + 2) for i in range(len(words)) if words[i : i + 2] == ["gnu", "general"]]
+    covering = ([i for i in range(len(words) - k + 1) if any(i <= a and b <= i + k for a, b in runs)] for runs in (version, family))
+    return [places for places in (*covering, [0] if words[0] in ("under", "license") else []) if places]
+
+
+def template_bands(
+    spark: SparkSession, named: list[tuple[str, str]], cut: list[tuple[str, str]], words: int, bands: int
+) -> tuple[DataFrame, DataFrame, list[int], int]:
+    """(bands, templates, shingle lengths below ``words`` that templates need, shingles of the longest template).
+
+    The templates are notices and passages of texts; only notices name a version.
+    """
+    rows = []
+    for name, text, notice in [*((*t, True) for t in named), *((*t, False) for t in cut)]:
+        if own := split(text):
+            k = min(words, len(own))
+            rows.append((len(rows), name, text, k, len(own) - k + 1, _must(name, own, k) if notice else []))
+    short = sorted({r[3] for r in rows if r[3] < words})
+    table = spark.createDataFrame(rows, "template int, license string, notice string, k int, n int, must array<array<int>>")
     hashes = F.transform(words_of(F.col("notice")), lambda w: F.xxhash64(w))
     own = F.coalesce(*(F.when(F.col("k") == k, shingles(hashes, k)) for k in [*short, words]))
-    table = table.select("license", "k", "n", F.array_distinct(own).alias("shingles"), own.alias("run"))
-    # Kinds: bands of windows come first, then single shingles of each length.
-    kind = F.lit(bands) + F.array_position(F.array(*map(F.lit, [words, *short])), F.col("k")).cast("int") - 1
-    single = table.where(f"n <= {PIECE}").select("license", "n", "shingles", kind.alias("kind"), F.col("run")[0].alias("value"))
+    table = table.select("template", "license", "k", "n", "must", own.alias("run"))
+    # Kinds: bands of windows come first, then single shingles.
+    single = table.where(f"n <= {PIECE}").select("template", F.lit(bands).alias("kind"), F.col("run")[0].alias("value"), "k")
     starts = F.transform(F.sequence(F.lit(0), F.ceil((F.col("n") - PIECE) / PIECE).cast("int")), lambda q: F.least(q * PIECE, F.col("n") - PIECE))
     pieces = table.where(f"n > {PIECE}").withColumn("start", F.explode(starts)).withColumn("piece", F.slice("run", F.col("start") + 1, PIECE))
-    banded = pieces.select("license", "n", "shingles", F.posexplode(F.array(*bands_of(F.col("piece"), bands))).alias("kind", "value"))
-    return single.union(banded.select(*single.columns)).distinct(), short, max((n for *_, n in rows), default=0)
+    banded = pieces.select("template", F.posexplode(F.array(*bands_of(F.col("piece"), bands))).alias("kind", "value"), "k")
+    must = F.transform("must", lambda places: F.transform(places, lambda i: F.get("run", i)))
+    full = table.select("template", "license", "k", F.array_distinct("run").alias("shingles"), must.alias("must"))
+    return single.union(banded.select(*single.columns)).distinct(), full, short, max((r[4] for r in rows), default=0)
 
 
 def matches(
@@ -113,12 +132,22 @@ def matches(
     bands: int = BANDS,
 ) -> DataFrame:
     """(key, license, containment) for every license that a text holds."""
-    templates = TEMPLATES if templates is None else templates
-    known, short, longest = template_bands(texts.sparkSession, templates, words, bands)
-    if sum(_word_count(t) // PIECE + 1 for _, t in templates) * bands <= BROADCAST_BANDS:
-        known = F.broadcast(known)
+    named, cut = ([*TEMPLATES, *notices()], passages()) if templates is None else (templates, [])
+    known, full, short, longest = template_bands(texts.sparkSession, named, cut, words, bands)
+    if sum(len(split(t)) // PIECE + 1 for _, t in [*named, *cut]) * bands <= BROADCAST_BANDS:
+        known, full = F.broadcast(known), F.broadcast(full)
+    # Single shingles are as few as the templates; only those that a template begins with become rows.
+    firsts: dict[int, list[int]] = {k: [] for k in [*short, words]}
+    for r in known.where(F.col("kind") == bands).select("k", "value").distinct().collect():
+        firsts[r["k"]].append(r["value"])
+
+    def begins(values: Column, k: int) -> Column:
+        return F.filter(values, lambda x: x.isin(firsts[k]))
+
     hashed = texts.select(F.col(key).alias("key"), F.transform(words_of(F.col(text)), lambda w: F.xxhash64(w)).alias("words"))
-    runs = hashed.select("key", shingles(F.col("words"), words).alias("s"), *(shingles(F.col("words"), k).alias(f"s{k}") for k in short))
+    runs = hashed.select(
+        "key", shingles(F.col("words"), words).alias("s"), *(begins(shingles(F.col("words"), k), k).alias(f"s{k}") for k in short)
+    )
     # Stretches of the text keep the shingles around their windows; a short text still has shorter shingles.
     n = F.greatest(F.size("s"), *(F.size(f"s{k}") for k in short), F.lit(0))
     stretches = F.transform(
@@ -130,24 +159,25 @@ def matches(
         ),
     )
     # A filter on what is exploded would be computed once more below; outer explosions have none.
-    cut = runs.select("key", F.explode_outer(F.when(n > 0, stretches)).alias("w")).where("w IS NOT NULL").select("key", "w.*")
+    cut_up = runs.select("key", F.explode_outer(F.when(n > 0, stretches)).alias("w")).where("w IS NOT NULL").select("key", "w.*")
     starts = F.sequence(F.lit(1), F.lit(STRETCH), F.lit(PIECE))
     windows = F.transform(starts, lambda i: F.slice("own", i, WINDOW))
-    filler = F.array_repeat(F.lit(None).cast("bigint"), STRETCH)
-    # Places: the bands of every window, then the single shingles of each length.
+    # Places: the bands of every window, then the single shingles.
     values = F.concat(
         F.flatten(F.transform(windows, lambda w: F.array(*bands_of(w, bands)))),
-        *(F.slice(F.concat(c, filler), 1, STRETCH) for c in ["own", *(f"s{k}" for k in short)]),
+        begins(F.slice("own", 1, STRETCH), words),
+        *(F.col(f"s{k}") for k in short),
     )
-    asked = cut.select("key", "around", values.alias("values")).select("key", "around", F.posexplode_outer("values").alias("at", "value"))
+    asked = cut_up.select("key", "around", values.alias("values")).select("key", "around", F.posexplode_outer("values").alias("at", "value"))
     banded = STRETCH // PIECE * bands
-    single = F.lit(bands) + F.floor((F.col("at") - banded) / STRETCH).cast("int")
-    kind = F.when(F.col("at") < banded, F.col("at") % bands).otherwise(single)
-    met = asked.where("value IS NOT NULL").withColumn("kind", kind).join(known, ["kind", "value"])
-    share = F.when(F.col("kind") > bands, F.lit(1.0)).otherwise(F.size(F.array_intersect("shingles", "around")) / F.size("shingles"))
+    kind = F.when(F.col("at") < banded, F.col("at") % bands).otherwise(F.lit(bands))
+    met = asked.where("value IS NOT NULL").withColumn("kind", kind).join(known.drop("k"), ["kind", "value"]).join(full, "template")
+    whole = F.col("k") < words
+    share = F.when(whole, F.lit(1.0)).otherwise(F.size(F.array_intersect("shingles", "around")) / F.size("shingles"))
+    right = whole | F.forall("must", lambda own: F.arrays_overlap(own, "around"))
     return (
         met.withColumn("containment", share)
-        .where(F.col("containment") >= containment)
+        .where((F.col("containment") >= containment) & right)
         .groupBy("key", "license")
         .agg(F.max("containment").alias("containment"))
     )
@@ -160,6 +190,9 @@ def scan(documents: DataFrame, text: str = "text", **options) -> DataFrame:
     )
     found = matches(rows.where("text IS NOT NULL"), "key", "text", **options)
     found = found.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("license", "containment"))).alias("licenses"))
+    versions = lambda family: F.exists("licenses", lambda x: x["license"].startswith(F.concat(family, F.lit("-"))))
+    kept = F.filter("licenses", lambda x: ~(x["license"].isin(FAMILIES) & versions(x["license"])))
+    found = found.withColumn("licenses", kept)
     none = F.array().cast("array<struct<license:string,containment:double>>")
     return rows.select("row", "key").join(found, "key", "left").select("row", F.coalesce("licenses", none).alias("licenses"))
 

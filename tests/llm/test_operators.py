@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -207,6 +208,44 @@ def test_licenses(odd, none, spark):
     assert got[2] == {} and got[3] == {"All rights reserved": 1.0} and got[4] == {}
 
 
+def test_licenses_beyond_the_short_notices(spark):
+    lines = [
+        ("This work is licensed under the GNU General Public License, version 2.", ["GPL-2.0"]),
+        ("This work is licensed under the GNU General Public License, version 3.", ["GPL-3.0"]),
+        ("Licensed under CC BY 4.0.", ["CC-BY-4.0"]),
+        ("Licensed under CC BY-SA 4.0.", ["CC-BY-SA-4.0"]),
+        ("Licensed under CC BY-NC 4.0.", ["CC-BY-NC-4.0"]),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported License.", ["CC-BY-NC-SA-3.0"]),
+        ("This work is licensed under a Creative Commons Attribution 4.0 International License.", ["CC-BY-4.0"]),
+        ("Released under CC0 1.0, see Creative Commons Zero", ["CC0-1.0"]),
+        ("Licensed under the BSD License.", ["BSD"]),
+        ("You may use it under the ISC License", ["ISC"]),
+        ("available under the zlib license", ["zlib"]),
+        ("under the terms of the GPLv2, as before", ["GPL-2.0"]),
+        ("made available under the Eclipse Public License 2.0", ["EPL-2.0"]),
+        (
+            "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public"
+            " License as published by the Free Software Foundation, either version 2.1 of the License, or any later version",
+            ["LGPL-2.1"],
+        ),
+        ("the students of this summer were under MIT teachers", []),
+    ]
+    folder = Path(licenses.__file__).parent / "license_texts"
+    texts = {p.stem: p.read_text() for p in sorted(folder.glob("*.txt"))}
+    rows = [(i, "some words before " + t + " and after") for i, (t, _) in enumerate(lines)] + [(100 + i, t) for i, t in enumerate(texts.values())]
+    # A passage from within a text, with two words changed.
+    middle = texts["MPL-2.0"].split()[1000:1100]
+    middle[20] = middle[60] = "changed"
+    rows.append((200, " ".join(middle)))
+    got = {r.row.doc_id: [x.license for x in r.licenses] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(lines))] == [names for _, names in lines]
+    for i, name in enumerate(texts):
+        # Most texts name no license but their own.
+        also = {"LGPL-3.0": {"GPL"}, "MPL-1.1": {"All rights reserved"}}.get(name, set())
+        assert set(got[100 + i]) == {name} | also
+    assert got[200] == ["MPL-2.0"]
+
+
 # 6 ---------------------------------------------------------------------------------------------------------------
 
 
