@@ -3,7 +3,8 @@
 Words become symbols: insults and threats, whose weights are learned, and targets, negations, reporting verbs, quotes,
 gaps and clause ends. Four transducers (negation, reported speech, target, and the one that counts) are composed into
 one, which runs over the symbols of each clause and emits matched patterns: an insult that is plain, aimed at somebody,
-negated or reported. A logistic model over the weights of the matched patterns gives the score.
+negated or reported. Quotes are double quotes and guillemets anywhere in the text; blanks around a mark tell whether it opens
+or closes, and a quote without an end lasts up to the line's end. A logistic model over the weights of the matched patterns gives the score.
 
 Learned from at most ``sample`` labelled rows, half of them toxic where there are enough: insults are the whole words
 and word beginnings that mark toxic documents; their weight is the log odds. Every text is scored whole.
@@ -60,11 +61,12 @@ def _negation() -> Table:
 
 
 def _report() -> Table:
-    """A reporting verb colours its clause; a quote colours what follows up to the next quote or the clause's end."""
+    """A reporting verb colours its clause; a quote colours what follows up to its end, or else the clause's."""
     t: Table = {}
     for state in (0, 1):
         t[state, "report"] = (1, "")
         t[state, "quote"] = (1 - state, "")
+        t[state, "open"], t[state, "close"] = (1, ""), (0, "")
         t[state, "break"] = (0, "break")
         for x in ("insult", "threat", "insult-", "threat-"):
             t[state, x] = (state, f"{x[:6]}~" if state else x)
@@ -122,6 +124,48 @@ _WORD = ALNUM.copy()
 _WORD[0x27] = True  # an apostrophe belongs to its word
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[list(b".!?;:\n")] = True
+#: Bytes before a mark that opens a quote, and after one that closes it.
+_LEFT, _RIGHT = np.zeros((2, 256), dtype=bool)
+_LEFT[list(b" \t\r\n([{-")] = True
+_RIGHT[list(b" \t\r\n.,;:!?)]}")] = True
+_CLOSE, _OPEN, _TURN = 0, 1, 2
+#: What a mark does that has blanks on both sides or on none.
+_QUOTES = {'"': _TURN, "“": _OPEN, "”": _CLOSE, "„": _OPEN, "‟": _OPEN, "«": _OPEN, "»": _CLOSE, "‹": _OPEN, "›": _CLOSE}
+_BLANKS = ["\xa0", "\u202f"]
+
+
+def _places(buf: np.ndarray, mark: str) -> np.ndarray:
+    code = mark.encode()
+    at = np.flatnonzero(buf[: len(buf) - 2] == code[0])
+    for i, byte in enumerate(code[1:], 1):
+        at = at[buf[at + i] == byte]
+    return at
+
+
+def quotes(piece: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places where a quote may begin or end, whether a quote is open behind them, and how many quotes came so far.
+
+    Marks of several bytes become blanks, so that they part words.
+    """
+    buf = piece.buf
+    found = [(at, len(mark.encode()), kind) for mark, kind in _QUOTES.items() if len(at := _places(buf, mark))]
+    lines = np.concatenate([piece.doc_start, np.flatnonzero(buf == 0x0A) + 1])
+    place, kind, real = [lines], [np.full(len(lines), _CLOSE)], [np.zeros(len(lines), dtype=np.int64)]
+    for at, size, usual in found:
+        left, right = _LEFT[buf[at - 1]], _RIGHT[buf[at + size]]
+        place.append(at)
+        kind.append(np.where(left & ~right, _OPEN, np.where(right & ~left, _CLOSE, usual)))
+        real.append(np.ones(len(at), dtype=np.int64))
+    for at, size in [*((at, size) for at, size, _ in found if size > 1), *((_places(buf, b), len(b.encode())) for b in _BLANKS)]:
+        for i in range(size):
+            buf[at + i] = 0x20
+    at, kind, real = np.concatenate(place), np.concatenate(kind), np.concatenate(real)
+    order = np.lexsort((real, at))
+    at, kind, real = at[order], kind[order], real[order]
+    # A mark of either kind turns what the last certain one has left.
+    certain = np.maximum.accumulate(np.where(kind == _TURN, 0, np.arange(len(at))))
+    turns = np.cumsum(kind == _TURN)
+    return at, (kind[certain] + turns - turns[certain]) % 2 == 1, np.cumsum(real)
 
 
 class Lexicon:
@@ -158,30 +202,32 @@ class Lexicon:
         live[piece.doc[(weight > 0) | threat]] = True
         out = np.zeros((piece.n_docs, len(PATTERNS) + 1))
         keep = np.flatnonzero(((weight > 0) | (role >= 0)) & live[piece.doc])
-        for doc, own in zip(*_groups(piece.doc[keep], keep), strict=True):
-            for pattern, w in match(self._symbols(piece, own, weight, role)):
+        at, is_open, so_far = piece.quotes
+        last = np.searchsorted(at, piece.start[keep], side="right") - 1
+        inside, quoted = is_open[last], so_far[last]
+        breaks = np.searchsorted(np.flatnonzero(_BREAK[piece.buf]), piece.start[keep])
+        for doc, own in zip(*_groups(piece.doc[keep], np.arange(len(keep))), strict=True):
+            symbols, before = [], None
+            for j in own:
+                i = keep[j]
+                if before is None:
+                    symbols += [("open", 0.0)] * int(inside[j])
+                else:
+                    ended, turned = breaks[j] > breaks[before], quoted[j] > quoted[before]
+                    if i - keep[before] > REACH + 1:
+                        symbols.append(("gap", 0.0))
+                    if ended:
+                        symbols.append(("break", 0.0))
+                    # A quote goes on behind the end of a clause.
+                    if ended and inside[j] or turned:
+                        symbols.append(("open" if inside[j] else "close", 0.0))
+                symbols.append(("insult", weight[i]) if weight[i] > 0 else (self.role_names[role[i]], 1.0))
+                before = j
+            for pattern, w in match(symbols):
                 out[doc, PATTERNS.index(pattern)] += w
                 out[doc, -1] += 1
         return _features(out, piece.counts)
 
-    def _symbols(self, piece: Piece, own: np.ndarray, weight: np.ndarray, role: np.ndarray) -> list[tuple[str, float]]:
-        """The symbols of one document's marked words, with clause ends, quotes and gaps between them."""
-        symbols, before = [], None
-        for i in own:
-            if before is not None:
-                between = piece.buf[piece.end[before] : piece.start[i]]
-                if i - before > REACH + 1:
-                    between = piece.buf[piece.end[before] : piece.start[before + REACH + 1]]
-                    symbols.append(("gap", 0.0))
-                    if _BREAK[piece.buf[piece.end[before] : piece.start[i]]].any():
-                        symbols.append(("break", 0.0))
-                elif _BREAK[between].any():
-                    symbols.append(("break", 0.0))
-                symbols += [("quote", 0.0)] * int((between == 0x22).sum() % 2)
-            symbols.append(("insult", weight[i]) if weight[i] > 0 else (self.role_names[role[i]], 1.0))
-            before = i
-        return symbols
-
 
 def beginnings(piece: Piece, length: int) -> np.ndarray:
     """The first ``length`` bytes of every word as a number; 0 for shorter words."""
@@ -215,7 +261,9 @@ def _features(sums: np.ndarray, n_words: np.ndarray) -> np.ndarray:
 
 def _each(text: pa.Array) -> Iterator[tuple[int, int, Piece]]:
     for lo, hi in pieces(text):
-        yield lo, hi, Piece(text.slice(lo, hi - lo), lower=True).split(_WORD)
+        piece = Piece(text.slice(lo, hi - lo), lower=True)
+        piece.quotes = quotes(piece)
+        yield lo, hi, piece.split(_WORD)
 
 
 def _sample(

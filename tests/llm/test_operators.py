@@ -129,6 +129,28 @@ def test_grammar_tells_roles_apart():
     assert kinds("quote", "threat", "quote", "threat") == ["threat~", "threat"]
 
 
+def test_quotes_are_found_wherever_they_are():
+    key = int(toxicity._hashes(["idiot"])[0])
+    words = toxicity.Lexicon([(0, key, 1.0)])
+
+    def kinds(text):
+        import pyarrow as pa
+
+        _, _, piece = next(toxicity._each(pa.array([text, "after"], pa.large_string())))
+        row = words.read(piece)[0][: len(toxicity.PATTERNS)]
+        return {p: round(math.expm1(v)) for p, v in zip(toxicity.PATTERNS, row) if v > 0}
+
+    far = " and on the other side of the river there was a small house with a garden "
+    assert kinds('The old man by the river replied "you idiot"') == {"insult~": 1}
+    assert kinds('"' + far + ' idiot"' + far + "idiot") == {"insult~": 1, "insult": 1}
+    assert kinds('you saw it' + far + '"idiot" and then' + far + "idiot") == {"insult~": 1, "insult@": 1}
+    assert kinds('He said "go away. What an idiot" and left. An idiot') == {"insult~": 1, "insult": 1}
+    assert kinds('An open "quote\nidiot') == {"insult": 1}
+    for text in ("“idiot”", "„idiot“", "»idiot«", "«\xa0idiot\xa0»", "« idiot »", "«idiot»", "“ idiot ”"):
+        assert kinds("Das war" + far + text + far + "idiot") == {"insult~": 1, "insult": 1}, text
+    assert kinds("what an idiot") == {"insult": 1}
+
+
 def test_toxicity_learns_and_scores_every_row(spark, odd, none, odd_rows):
     words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
     rng = np.random.default_rng(5)
