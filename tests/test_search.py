@@ -113,6 +113,37 @@ def test_addresses(spark):
     assert spark.range(1).select(weblinks.anchors(F.lit(tags))).first()[0] == ["y", "", "p q"]
 
 
+def test_anchors_against_the_standard_parser(spark):
+    from html.parser import HTMLParser
+
+    class Anchors(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            if tag == "a":
+                self.found += [value or "" for name, value in attrs if name == "href"][:1]
+
+    pages = [
+        '<a title="x > y" href="/d.csv">a</a><a href=\'/e?q="1">2\'>',
+        '<a title="see href=no" href=/yes>x</a><a data-href="/no">y</a>',
+        '<a href="/a&#38;b&#x2F;c&eacute;&nbsp;d&#128512;&#x80;.csv">',
+        '<a href="?a=1&amp;b=3&unknown;&#xD800;&lt&#0;&#1;">',
+        "<a title=don't href='/it'>z</a><A HREF = \"/up\" >t</a><a href>",
+        '<a href="/1" href="/2"><area href="/3"><abbr href="/4">',
+    ]
+    expected = []
+    for page in pages:
+        parser = Anchors()
+        parser.found = []
+        parser.feed(page)
+        parser.close()
+        expected.append(parser.found)
+    df = spark.createDataFrame(list(enumerate(pages)), "i int, html string")
+    got = [r.found for r in df.orderBy("i").select(weblinks.anchors(F.col("html")).alias("found")).collect()]
+    assert got == expected
+    # As in browsers, a name without a semicolon is no reference before an equals sign or a letter.
+    page = '<a href="?a=1&copy=2&notit;">'
+    assert spark.range(1).select(weblinks.anchors(F.lit(page))).first()[0] == ["?a=1&copy=2&notit;"]
+
+
 def test_project_links(spark):
     hrefs = ["/", "/search", "/o/n", "/o", "/login/x", "/o/n/tree", "/p/q?z", "x/y", "/seen/it", "plain", "/r/s"]
     links = spark.createDataFrame([(1, i, h) for i, h in enumerate(hrefs)], "id int, position int, href string")
