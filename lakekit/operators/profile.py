@@ -151,19 +151,25 @@ def long_cells(df: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
     return df.select(*keep, F.inline(F.array(*cells)))
 
 
-def date_columns(df: DataFrame, order: str = ROW, columns: list[str] | None = None) -> DataFrame:
-    """Columns where at least 70% of the first 20 cells, and at least 3 cells, read ``dddd-dd-dd``."""
+def date_columns(df: DataFrame, order: str = ROW, columns: list[str] | None = None, rows: int | None = DATE_SAMPLE) -> DataFrame:
+    """Columns where at least 70% of the first ``rows`` cells, and at least 3 cells, read ``dddd-dd-dd``.
+
+    With ``rows=None`` all cells count.
+    """
     columns = columns or data_columns(df)
-    head = df.orderBy(order).limit(DATE_SAMPLE)
-    if CELLS in df.columns:
-        # The head holds every sample unless one of its records is short; only then look at the rest:
-        # the first 20 cells of a column are among the first 20 records of each length.
-        short = head.agg(F.count_if(F.col(CELLS) < len(columns))).scalar()
-        length = F.least(F.col(CELLS), F.lit(len(columns)))
-        rest = first_per_key(df.filter(short > 0).withColumn("_length", length), ["_length"], [F.col(order)], DATE_SAMPLE)
-        head = head.filter(short == 0).unionByName(rest.drop("_length"))
-    cells = long_cells(head, columns, [order]).filter("present")
-    sample = first_per_key(cells, ["position", "column"], [F.col(order)], DATE_SAMPLE)
+    if rows is None:
+        sample = long_cells(df, columns, []).filter("present")
+    else:
+        head = df.orderBy(order).limit(rows)
+        if CELLS in df.columns:
+            # The head holds every sample unless one of its records is short; only then look at the rest:
+            # the first cells of a column are among as many first records of each length.
+            short = head.agg(F.count_if(F.col(CELLS) < len(columns))).scalar()
+            length = F.least(F.col(CELLS), F.lit(len(columns)))
+            rest = first_per_key(df.filter(short > 0).withColumn("_length", length), ["_length"], [F.col(order)], rows)
+            head = head.filter(short == 0).unionByName(rest.drop("_length"))
+        cells = long_cells(head, columns, [order]).filter("present")
+        sample = first_per_key(cells, ["position", "column"], [F.col(order)], rows)
     is_date = F.coalesce(strip(F.col("cell")), F.lit("")).rlike(r"^\d{4}-\d{2}-\d{2}$")
     return (
         sample.groupBy("position", "column")
@@ -173,21 +179,26 @@ def date_columns(df: DataFrame, order: str = ROW, columns: list[str] | None = No
     )
 
 
-def infer_types(df: DataFrame, order: str, columns: list[str] | None = None, rows: int = TYPE_SAMPLE) -> DataFrame:
-    """Type guess per column from the first rows: int, float, date or string, and nullable."""
+def infer_types(df: DataFrame, order: str, columns: list[str] | None = None, rows: int | None = TYPE_SAMPLE) -> DataFrame:
+    """Type guess per column from the first rows, or with ``rows=None`` from all: int, float, date or string, and nullable."""
     columns = columns or [c for c in data_columns(df)]
-    sample = df.orderBy(order).limit(rows)
+    sample = df if rows is None else df.orderBy(order).limit(rows)
     return _guess_types(long_cells(sample, columns, [F.col(order).alias("_order")]), [])
 
 
-def infer_types_batch(tables: dict[str, tuple[DataFrame, str]], rows: int = TYPE_SAMPLE) -> DataFrame:
-    """Type guesses for many tables of ``name: (table, order column)``, as one job.
+def infer_types_batch(tables: dict[str, tuple[DataFrame, str]], rows: int | None = TYPE_SAMPLE) -> DataFrame:
+    """Type guesses for many tables of ``name: (table, order column)``, as one job; ``rows=None`` reads all rows.
 
     A table that cannot be analysed gives one row with its error.
     """
-    samples, errors = [], []
+    guesses, samples, errors = [], [], []
     for name, (df, order) in tables.items():
         try:
+            if rows is None:
+                # Each table is reduced by its own aggregate, so rows of any number need no common order.
+                own = infer_types(df, order, rows=None)
+                guesses.append(own.select(F.lit(name).alias("table"), *own.columns))
+                continue
             # Order columns of any type meet in one column as the numbers of the few sampled rows.
             place = F.row_number().over(Window.orderBy(order)).alias("_order")
             head = df.orderBy(order).limit(rows).select("*", place)
@@ -197,9 +208,12 @@ def infer_types_batch(tables: dict[str, tuple[DataFrame, str]], rows: int = TYPE
     guessed = None
     for cells in samples:
         guessed = cells if guessed is None else guessed.unionByName(cells)
-    result = None
     if guessed is not None:
-        result = _guess_types(guessed, ["table"]).withColumn("error", F.lit(None).cast("string"))
+        guesses.append(_guess_types(guessed, ["table"]))
+    result = None
+    for own in guesses:
+        own = own.withColumn("error", F.lit(None).cast("string"))
+        result = own if result is None else result.unionByName(own)
     if errors:
         spark = next(iter(tables.values()))[0].sparkSession
         bad = spark.createDataFrame(errors, "table string, error string")

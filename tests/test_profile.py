@@ -164,6 +164,21 @@ def test_date_columns_of_short_records_against_a_model(spark, seed):
     assert sorted(r["column"] for r in profile.date_columns(df).collect()) == expected
 
 
+def test_whole_columns_on_request(spark):
+    data = [(i, str(i), "2024-01-01" if i < 20 else "later") for i in range(60)]
+    data[40] = (40, "", "later")
+    data[50] = (50, "1.5", None)
+    df = spark.createDataFrame(data, "k int, n string, d string").repartition(3)
+    assert [r["column"] for r in profile.date_columns(df, "k").collect()] == ["d"]
+    assert profile.date_columns(df, "k", rows=None).collect() == []
+    found = {r["column"]: (r.type_guess, r.nullable) for r in profile.infer_types(df, "k", ["n", "d"], rows=None).collect()}
+    assert found == {"n": ("float", True), "d": ("string", True)}
+    two = spark.createDataFrame([("b", "2")], "k string, n string")
+    many = profile.infer_types_batch({"one": (df, "k"), "two": (two, "k"), "bad": (two, "missing")}, rows=None).collect()
+    found = {(r.table, r["column"]): r.type_guess for r in many}
+    assert found[("one", "n")] == "float" and found[("two", "n")] == "int" and found[("bad", None)] is None
+
+
 def test_many_rows_per_key(spark):
     df = spark.range(5000).select((F.col("id") % 2).alias("k"), "id").repartition(5)
     found = first_per_key(df, ["k"], [F.col("id")], 1500)
