@@ -3,23 +3,27 @@
 from __future__ import annotations
 
 import html as standard
-import json
+import re
+from collections.abc import Iterator
 from html.entities import html5
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakekit.functions.fixed import DATA_LINK_SUFFIXES, NON_PROJECT_PARTS
 from lakekit.operators.ordering import first_per_key
 
-# Parts of a page that hold no links, tags of links, and their attributes. Nothing here backtracks over a page.
-_SILENT = r"(?is)<!--.*?-->|<script\b[^>]*+>.*?</script\s*+>|<style\b[^>]*+>.*?</style\s*+>"
+# Parts of a page that hold no links (the last may lack its end), tags of links, and their attributes. Nothing here
+# backtracks over a page.
+_SILENT = (
+    r"(?is)<!--.*?(?:--\s*+>|\z)|<script(?=[\s/>])[^>]*+(?<!/)>.*?(?:</script\s*+>|\z)"
+    r"|<style(?=[\s/>])[^>]*+(?<!/)>.*?(?:</style\s*+>|\z)"
+)
 _TAG = r"""(?i)<a(?=[\s/])((?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+)>"""
 _ATTRIBUTE = r"""([^\s/>][^\s/=>]*+)(?:\s*+=++\s*+("[^"]*+"|'[^']*+'|(?!["'])[^>\s]*+))?"""
 # Character references in values; a name without its semicolon is none before an equals sign.
-_REFERENCE = r"&(#[0-9]++;?|#[xX][0-9a-fA-F]++;?|[A-Za-z][A-Za-z0-9]*+(?:;|(?!=)))"
-# Numbers below 160, some of which stand for other characters or none.
-_LOW = [standard.unescape(f"&#{n};") for n in range(160)]
+_REFERENCE = re.compile(r"&(?:#[0-9]++;?|#[xX][0-9a-fA-F]++;?|[A-Za-z][A-Za-z0-9]*+(?:;|(?!=)))")
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*+:"
 
 
@@ -58,29 +62,18 @@ def absolute(base: Column, href: Column) -> Column:
     )
 
 
-def _referred(reference: Column) -> Column:
-    """The characters that a reference stands for, itself where it is unknown."""
-    named = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
-    low = F.from_json(F.lit(json.dumps(_LOW)), "array<string>")
-    digits = F.regexp_extract(reference, r"^#[xX]?0*+([0-9a-fA-F]*+)", 1)
-    base = F.when(F.lower(F.substr(reference, F.lit(2), F.lit(1))) == "x", F.conv(digits, 16, 10)).otherwise(digits)
-    n = F.when(F.length(digits) > 8, F.lit(0x110000)).when(digits == "", F.lit(0)).otherwise(base.cast("long"))
-    letter = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
-    number = (
-        F.when(n < len(_LOW), F.get(low, n.cast("int")))
-        .when((n > 0x10FFFF) | n.between(0xD800, 0xDFFF), "\ufffd")
-        .when(n.between(0xFDD0, 0xFDEF) | (n % 0x10000 >= 0xFFFE), "")
-        .otherwise(letter)
-    )
-    return F.when(reference.startswith("#"), number).otherwise(F.coalesce(F.try_element_at(named, reference), F.concat(F.lit("&"), reference)))
+def _decode(text: str) -> str:
+    def letters(found: re.Match) -> str:
+        reference = found.group()
+        return standard.unescape(reference) if reference[1] == "#" else html5.get(reference[1:], reference)
+
+    return _REFERENCE.sub(letters, text)
 
 
-def unescape(value: Column) -> Column:
-    """``value`` with its numeric and named character references decoded."""
-    references = F.transform(F.regexp_extract_all(value, F.lit(_REFERENCE), 1), _referred)
-    between = F.split(value, _REFERENCE)
-    joined = F.array_join(F.zip_with(between, references, lambda text, letters: F.concat(text, F.coalesce(letters, F.lit("")))), "")
-    return F.when(value.contains("&"), joined).otherwise(value)
+def _decode_all(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Addresses of pages with their references decoded; most hold none and are handed through."""
+    for pages in batches:
+        yield pages.map(lambda values: [_decode(v) if "&" in v else v for v in values], na_action="ignore")
 
 
 def anchors(html: Column) -> Column:
@@ -92,9 +85,11 @@ def anchors(html: Column) -> Column:
 
     def value(tag: Column) -> Column:
         found = F.get(F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), 2), place(tag).cast("int") - 1)
-        return unescape(F.regexp_replace(found, r"""(?s)^(["'])(.*)\1$""", "$2"))
+        return F.coalesce(F.regexp_replace(found, r"""(?s)^(["'])(.*)\1$""", "$2"), F.lit(""))
 
-    return F.transform(F.filter(tags, lambda t: place(t) > 0), value)
+    # Two thousand named references belong in no plan, so Python decodes the values; pages never go there.
+    decoded = F.pandas_udf(_decode_all, "array<string>")
+    return decoded(F.transform(F.filter(tags, lambda t: place(t) > 0), value))
 
 
 def page_links(pages: DataFrame, key: str, url: str = "url", html: str = "html") -> DataFrame:
