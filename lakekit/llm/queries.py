@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from lakekit.llm import decontaminate, jaccard, language, licenses, packing, quality, scoring, substrings, toxicity, urlfilter
+from lakekit.llm import (
+    bytebpe,
+    decontaminate,
+    jaccard,
+    language,
+    licenses,
+    packing,
+    quality,
+    scoring,
+    substrings,
+    toxicity,
+    urlfilter,
+)
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,6 +27,7 @@ QUERIES = {
     "op8_language": language.op8_language,
     "op9_url_filter": urlfilter.op9_url_filter,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
+    "op11_byte_bpe": bytebpe.op11_byte_bpe,
 }
 
 ORACLES = {
