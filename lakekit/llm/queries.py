@@ -5,6 +5,8 @@ from __future__ import annotations
 from lakekit.llm import (
     bytebpe,
     decontaminate,
+    filteraudit,
+    hardnegatives,
     jaccard,
     language,
     licenses,
@@ -28,10 +30,14 @@ QUERIES = {
     "op9_url_filter": urlfilter.op9_url_filter,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
     "op11_byte_bpe": bytebpe.op11_byte_bpe,
+    "op12_hard_negatives": hardnegatives.op12_hard_negatives,
+    "op13_filter_audit": filteraudit.op13_filter_audit,
 }
 
 ORACLES = {
     "op1_decontaminate": decontaminate.OP1_SQL,
     "op2_repetition": quality.OP2_SQL,
     "op9_url_filter": urlfilter.OP9_SQL,
+    "op12_hard_negatives": hardnegatives.OP12_SQL,
+    "op13_filter_audit": filteraudit.OP13_SQL,
 }
