@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 from lakekit.functions.text import table_name
 from lakekit.operators.statements import is_read_only
 from lakekit.sources import sinks
-from lakekit.sources.csv import read_csv, read_csv_directory
+from lakekit.sources.csv import read_csv
+from lakekit.sources.inspect import read_csv_directory
 from lakekit.sources.tables import read_json, read_parquet
 
 NO_TABLES = "No tables registered."

@@ -256,8 +256,37 @@ _CUSTOMER = "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationke
 _SUPPLIER = "SELECT s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey, s_acctbal FROM supplier"
 _PART = "SELECT p_partkey, p_name, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size, p_retailprice FROM part"
 
+_DOCUMENT = "SELECT doc_id, sha256(text) AS text_hash, lang, source, n_chars FROM documents"
+
+
+def _column_types(tables: dict[str, list[str]]) -> str:
+    """The narrowest type that holds the text of all values of every column."""
+    parts = []
+    for name, columns in tables.items():
+        for position, column in enumerate(columns):
+            text = f"CAST({column} AS VARCHAR)"
+            parts.append(f"""SELECT '{name}' AS "table", count(*) AS rows, CAST({position} AS BIGINT) AS position, '{column}' AS "column",
+                CASE WHEN bool_and(typeof({column}) LIKE 'TIMESTAMP%') THEN 'timestamp'
+                     WHEN bool_and(try_cast({text} AS INTEGER) IS NOT NULL AND NOT contains({text}, '.')) THEN 'int'
+                     WHEN bool_and(try_cast({text} AS DOUBLE) IS NOT NULL) THEN 'double' ELSE 'string' END AS type FROM {name}""")
+    return " UNION ALL ".join(parts)
+
+
 ORACLES: dict[str, str] = {
     # sources
+    "csv_quoted_table": "SELECT *, (SELECT count(*) FROM documents) AS rows FROM (" + _DOCUMENT + ")",
+    "csv_quoted_to_parquet": _DOCUMENT,
+    "csv_damaged": """SELECT CAST(CASE WHEN event_id % 9 = 0 THEN 2 ELSE 5 END AS BIGINT) AS pieces, count(*) AS records,
+        CAST(sum(event_id) AS BIGINT) AS ids FROM events WHERE event_id % 9 < 2 GROUP BY 1""",
+    "csv_tree_types": _column_types({
+        "nation": ["n_nationkey", "n_name", "n_regionkey"],
+        "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"],
+        "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
+        "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
+        "documents": ["doc_id", "text", "lang", "source", "n_chars"],
+    }),
+    "json_batch_convert": """SELECT 'o_orderkey' AS key, o_orderkey AS id, o_totalprice AS amount FROM orders
+        UNION ALL SELECT 's_suppkey', s_suppkey, s_acctbal FROM supplier""",
     "csv_table": _CUSTOMER,
     "csv_directory": """SELECT 'region' AS "table", count(*) AS rows, CAST(2 AS BIGINT) AS columns FROM region
         UNION ALL SELECT 'nation', count(*), 3 FROM nation UNION ALL SELECT 'supplier', count(*), 4 FROM supplier

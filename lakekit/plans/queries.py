@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakekit import lake
 from lakekit.catalog import Catalog, canonical_type
@@ -89,6 +90,75 @@ def csv_raw_multiline(spark, sf_dir):
     return raw.select("doc_id", F.sha2("text", 256).alias("text_hash"), "lang", "source", "n_chars")
 
 
+def _documents_csv(spark, sf_dir) -> str:
+    """Documents as CSV, whose texts hold line breaks."""
+    path = scratch_path(spark, "documents")
+    sinks.export_csv(table(spark, sf_dir, "documents"), path)
+    return path
+
+
+def _document_columns(df: DataFrame) -> DataFrame:
+    return df.select(
+        F.col("doc_id").cast("bigint"), F.sha2("text", 256).alias("text_hash"), "lang", "source", F.col("n_chars").cast("bigint")
+    )
+
+
+@query
+def csv_quoted_table(spark, sf_dir):
+    """A typed table out of files with line breaks inside quotes."""
+    catalog = Catalog(spark)
+    rows = catalog.ingest_csv("documents-csv", _documents_csv(spark, sf_dir))
+    return _document_columns(spark.table("documents_csv")).withColumn("rows", F.lit(rows).cast("bigint"))
+
+
+@query
+def csv_quoted_to_parquet(spark, sf_dir):
+    target = scratch_path(spark, "converted")
+    sinks.csv_to_parquet(spark, _documents_csv(spark, sf_dir), target)
+    return _document_columns(spark.read.parquet(target))
+
+
+@query
+def csv_damaged(spark, sf_dir):
+    """The records of a CSV file that are too short or too long, by their length."""
+    path = scratch_path(spark, "ragged")
+    views.ragged_lines(spark, sf_dir).write.text(path)
+    schema = "id string, kind string, value string, day string"
+    bad = csv.damaged_records(spark, path, T.StructType.fromDDL(schema), False, ",")
+    cells = F.split("record", ",")
+    return bad.groupBy(F.size(cells).cast("bigint").alias("pieces")).agg(
+        F.count("*").alias("records"), F.sum(cells[0].cast("bigint")).alias("ids")
+    )
+
+
+@query
+def csv_tree_types(spark, sf_dir):
+    """Types of the columns of all CSV tables of a folder, each table of several files, found together."""
+    root = scratch_path(spark, "tree")
+    for name in ("nation", "supplier", "customer", "orders", "documents"):
+        sinks.export_csv(table(spark, sf_dir, name).repartition(3), f"{root}/{name[0]}/{name}.csv")
+    catalog = Catalog(spark)
+    catalog.ingest_csv_directory(root)
+    found = catalog.table_columns()
+    return found.select("table", "rows", F.col("position").cast("bigint"), "column", "type")
+
+
+@query
+def json_batch_convert(spark, sf_dir):
+    """JSON Lines files of several columns converted together; types are those of each file."""
+    source, target = scratch_path(spark, "tree"), scratch_path(spark, "converted")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
+    sinks.export_json(orders.repartition(4), f"{source}/orders")
+    sinks.export_json(table(spark, sf_dir, "supplier"), f"{source}/supplier")
+    sinks.batch_convert(spark, source, target, "*.json")
+    rows = []
+    for folder in sinks.child_names(spark, target):
+        df = spark.read.parquet(f"{target}/{folder}")
+        keys = ("o_orderkey", "o_totalprice") if "o_orderkey" in df.columns else ("s_suppkey", "s_acctbal")
+        rows.append(df.select(F.lit(keys[0]).alias("key"), F.col(keys[0]).cast("bigint").alias("id"), F.col(keys[1]).cast("double").alias("amount")))
+    return csv.union_all(rows)
+
+
 @query
 def parquet_table(spark, sf_dir):
     catalog = Catalog(spark)

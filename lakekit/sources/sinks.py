@@ -3,26 +3,28 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import logging
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakekit.functions.text import license_or_unknown, suffix
 from lakekit.operators.browse import rows_filter
 from lakekit.operators.merge import merge_rows
 from lakekit.operators.ordering import number_rows
-from lakekit.sources.csv import csv_header, likely_delimiter, read_csv
+from lakekit.sources.csv import csv_delimiter, damaged_records, has_quoted_breaks, parse_records, read_csv
 from lakekit.sources.files import list_objects
-from lakekit.sources.tables import json_lines, read_json
+from lakekit.sources.inspect import FileForm, inspect_files, merged_schema
+from lakekit.sources.records import file_names, is_blank_record, plain_path, quoted_records
+from lakekit.sources.tables import is_json_lines, read_json
 from lakekit.storage import child_names, delete_path, path_exists, qualified
 
 log = logging.getLogger(__name__)
 
 # Row groups are sized in bytes by the Parquet writer; files are capped in rows.
 MAX_ROWS_PER_FILE = 10_000_000
-HEADER_THREADS = 16
 
 
 def export_parquet(df: DataFrame, path: str, compression: str = "zstd", mode: str = "overwrite") -> None:
@@ -39,12 +41,38 @@ def export_json(df: DataFrame, path: str, column: str | None = None, value: str
     kept.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
-def csv_to_parquet(spark: SparkSession, source: str, target: str, compression: str = "zstd", **read) -> None:
-    export_parquet(read_csv(spark, source, **read), target, compression)
-
-
-def json_to_parquet(spark: SparkSession, source: str, target: str, compression: str = "zstd", **read) -> None:
-    export_parquet(read_json(spark, source, **read), target, compression)
+def csv_to_parquet(spark: SparkSession, source: str, target: str, compression: str = "zstd", damaged: str = "raise", **read) -> None:
+    """Convert one CSV table. Damaged records raise before anything is written, or are left out with ``damaged="drop"``;
+    :func:`damaged_records` shows them."""
+    delimiter = read.pop("delimiter", None) or csv_delimiter(spark, source)
+    breaks = read.pop("multi_line", None)
+    breaks = has_quoted_breaks(spark, source, delimiter) if breaks is None else breaks
+    table = read_csv(spark, source, multi_line=breaks, delimiter=delimiter, damaged=damaged, **read)
+    if damaged == "raise":
+        n = damaged_records(spark, source, table.schema, breaks, delimiter).count()
+        if n:
+            raise ValueError(f"{source} has {n} damaged records")
+    export_parquet(table, target, compression)
+
+
+def json_to_parquet(spark: SparkSession, source: str, target: str, compression: str = "zstd", damaged: str = "raise", **read) -> None:
+    """Convert one JSON table. Damaged values raise before anything is written, or are left out with ``damaged="drop"``."""
+    schema = read.pop("schema", None)
+    if read.get("lines") is None:
+        read["lines"] = is_json_lines(spark, source)
+    if schema is None:
+        schema = read_json(spark, source, **read).schema
+    elif isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    fields = [f for f in schema if f.name != _CORRUPT]
+    if not fields:
+        raise ValueError(f"{source} holds no JSON objects")
+    marked = read_json(spark, source, schema=T.StructType([*fields, T.StructField(_CORRUPT, T.StringType())]), **read)
+    # The reader refuses queries on the corrupt column alone, so a data column is named too.
+    bad = F.col(_CORRUPT).isNotNull() & (F.coalesce(F.length(F.col(_quoted(fields[0].name)).cast("string")), F.lit(0)) >= 0)
+    if damaged == "raise" and (n := marked.where(bad).count()):
+        raise ValueError(f"{source} has {n} damaged values")
+    export_parquet(marked.where(~bad).drop(_CORRUPT), target, compression)
 
 
 def conversion_sizes(spark: SparkSession, source: str, target: str) -> DataFrame:
@@ -84,48 +112,6 @@ def _stem(relative: Column) -> Column:
     return F.regexp_replace(relative, r"\.[^./]+$", "")
 
 
-def _unescaped(text: Column) -> Column:
-    """Text of an escaped path; a plus sign stands for itself there."""
-    return F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
-
-
-def file_facts(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Per text file, from one scan of all: first two lines with text, lines, quotes, and lines with an odd number of them."""
-    lines = spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("path"),
-        F.struct("_metadata.file_block_start", F.monotonically_increasing_id().alias("at")).alias("place"),
-        F.regexp_replace("value", r"^\x{FEFF}", "").alias("value"),
-    )
-    full = F.when(F.trim("value") != "", F.col("place"))
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
-    firsts = lines.where(full.isNotNull()).groupBy("path").agg(F.min("place").alias("first"))
-    rest = lines.join(firsts, "path", "left")
-    return rest.groupBy("path").agg(
-        F.min_by("value", full).alias("head"),
-        F.min_by("value", F.when(F.col("place") > F.col("first"), full)).alias("second"),
-        F.sum(quotes).alias("quotes"),
-        F.count_if(quotes % 2 == 1).alias("odd"),
-    )
-
-
-def _cell_types(cells: DataFrame) -> DataFrame:
-    """The narrowest type that holds all cells of each (path, position)."""
-    cell = F.col("cell")
-    number = cell.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
-    whole = cell.rlike(r"^[+-]?\d+$")
-    fits = {
-        "int": whole & cell.try_cast("int").isNotNull(),
-        "bigint": whole & cell.try_cast("bigint").isNotNull(),
-        "double": number,
-        "date": cell.rlike(r"^\d{4}-\d{2}-\d{2}$") & cell.try_cast("date").isNotNull(),
-        "timestamp": cell.rlike(r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}") & cell.try_cast("timestamp").isNotNull(),
-        "boolean": F.lower(cell).isin("true", "false"),
-    }
-    facts = cells.where(cell.isNotNull()).groupBy("path", "position").agg(*(F.bool_and(v).alias(k) for k, v in fits.items()))
-    kind = F.coalesce(*(F.when(F.col(k), F.lit(k)) for k in fits), F.lit("string"))
-    return facts.select("path", "position", kind.alias("kind"))
-
-
 def batch_convert(
     spark: SparkSession, source: str, target: str, pattern: str = "*.csv", delete_original: bool = False
 ) -> dict:
@@ -156,19 +142,18 @@ def batch_convert(
     before = {(r["stem"], r["folder"]) for r in outputs.select("stem", "folder").distinct().collect()} if counts else set()
     groups: dict[tuple, list] = {}
     failed: dict[str, str] = {}
-    for path, form in _forms(spark, list(fresh)):
-        if form is None:
-            failed[path] = "no readable records"
+    for path, form in inspect_files(spark, list(fresh)).items():
+        if form.error:
+            failed[path] = form.error
         else:
-            groups.setdefault(form, []).append(path)
-    for path in fresh.keys() - failed.keys() - {p for g in groups.values() for p in g}:
-        failed[path] = "empty"
+            schema = merged_schema([form.schema]) if form.kind == ".csv" else form.schema
+            groups.setdefault((form.kind, form.delimiter, form.whole, schema.json()), []).append(path)
     rows: dict[str, int] = {}
     folders: dict[str, str] = {}
-    for form, paths in groups.items():
+    for (kind, delimiter, whole, schema), paths in groups.items():
         try:
-            for schema, own in _schemas(spark, form, paths, failed).items():
-                _convert(spark, form, schema, own, source, target, rows, folders, failed)
+            form = FileForm(kind, delimiter, whole, T.StructType.fromJson(json.loads(schema)))
+            _convert(spark, form, paths, source, target, rows, folders, failed)
         except Exception as error:  # noqa: BLE001 - one bad group must not stop the others
             log.warning("cannot convert %d files: %s", len(paths), error)
             failed |= {p: str(error).split("\n")[0] for p in paths if p not in rows}
@@ -194,88 +179,35 @@ def batch_convert(
     return stats
 
 
-def _plain(path: Column) -> Column:
-    """A path from file metadata as a listing names it."""
-    return F.regexp_replace(_unescaped(path), "^file:/+", "file:/")
-
-
-def _forms(spark: SparkSession, paths: list[str]) -> list[tuple[str, tuple | None]]:
-    """How to read each file: (kind, delimiter or "", whole, header); None if it cannot be read."""
-    facts = file_facts(spark, paths).withColumn("path", _plain(F.col("path"))).withColumn("delimiter", likely_delimiter(F.col("head")))
-    out = []
-    for r in facts.collect():
-        if r["head"] is None:
-            out.append((r["path"], None))
-        elif r["path"].lower().endswith(".json"):
-            out.append((r["path"], (".json", "", not json_lines(r["head"], r["second"]), "")))
-        else:
-            # An odd number of quotes in all means that one is never closed.
-            out.append((r["path"], None if r["quotes"] % 2 else (".csv", r["delimiter"], r["odd"] > 0, r["head"])))
-    return out
-
-
 _CORRUPT = "_corrupt_record"
 
 
-def _reader(spark: SparkSession, form: tuple):
-    kind, delimiter, whole, _ = form
-    reader = spark.read.option("multiLine", whole).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _CORRUPT)
-    return reader.options(header=True, quote='"', escape='"', sep=delimiter, enforceSchema=True, columnPruning=False) if kind == ".csv" else reader
-
-
-def _load(spark: SparkSession, form: tuple, schema: str, paths: list[str]) -> DataFrame:
-    """The records with ``path``; ``_corrupt_record`` holds those that do not fit the schema."""
-    reader = _reader(spark, form).schema(f"{schema}, `{_CORRUPT}` string")
-    loaded = reader.csv(paths) if form[0] == ".csv" else reader.json(paths)
-    return loaded.withColumn("_path", _plain(F.col("_metadata.file_path")))
+def _load(spark: SparkSession, form: FileForm, paths: list[str]) -> DataFrame:
+    """The records with ``_path``; ``_corrupt_record`` holds those that do not fit the schema."""
+    schema = T.StructType([*form.schema.fields, T.StructField(_CORRUPT, T.StringType())])
+    if form.kind == ".csv" and form.whole:
+        records, _ = quoted_records(spark, paths, form.delimiter)
+        names = file_names(spark, paths).withColumnRenamed("path", "_path")
+        kept = records.where(~F.col("header") & ~is_blank_record(F.col("record"))).join(names, "file")
+        return kept.select(parse_records(F.col("record"), schema, form.delimiter).alias("r"), "_path").select("r.*", "_path")
+    reader = spark.read.options(mode="PERMISSIVE", columnNameOfCorruptRecord=_CORRUPT).schema(schema)
+    if form.kind == ".csv":
+        reader = reader.options(header=True, quote='"', escape='"', sep=form.delimiter, enforceSchema=True, columnPruning=False)
+    loaded = reader.csv(paths) if form.kind == ".csv" else reader.option("multiLine", form.whole).json(paths)
+    return loaded.withColumn("_path", plain_path(F.col("_metadata.file_path")))
 
 
 def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def _schemas(spark: SparkSession, form: tuple, paths: list[str], failed: dict[str, str]) -> dict[str, list[str]]:
-    """Files by schema; a file with a damaged record goes to ``failed``."""
-    out: dict[str, list[str]] = {}
-    if form[0] == ".json":
-        # A look at a file's fields is a job of its own, so many run at once.
-        def fields(path: str) -> tuple[str, str | None]:
-            found = _reader(spark, form).json(path).schema
-            return path, None if _CORRUPT in found.names or not found.names else ", ".join(f"{_quoted(f.name)} {f.dataType.simpleString()}" for f in found)
-
-        with ThreadPoolExecutor(HEADER_THREADS) as pool:
-            for path, schema in pool.map(fields, paths):
-                if schema is None:
-                    failed[path] = "damaged JSON"
-                else:
-                    out.setdefault(schema, []).append(path)
-        return out
-    names = csv_header(spark, paths[0], form[1])
-    text = ", ".join(f"{_quoted(n)} string" for n in names)
-    records = _load(spark, form, text, paths)
-    # The reader refuses queries on the corrupt column alone.
-    damaged = F.col(_CORRUPT).isNotNull() & (F.coalesce(F.length(_quoted(names[0])), F.lit(0)) >= 0)
-    for r in records.groupBy("_path").agg(F.count_if(damaged).alias("n")).where("n > 0").collect():
-        failed[r["_path"]] = f"{r['n']} damaged records"
-    cells = records.select(F.col("_path").alias("path"), F.posexplode(F.array(*(_quoted(n) for n in names))).alias("position", "cell"))
-    kinds: dict[str, dict[int, str]] = {}
-    for r in _cell_types(cells).collect():
-        kinds.setdefault(r["path"], {})[r["position"]] = r["kind"]
-    for path in paths:
-        if path not in failed:
-            own = kinds.get(path, {})
-            schema = ", ".join(f"{_quoted(n)} {own.get(i, 'string')}" for i, n in enumerate(names))
-            out.setdefault(schema, []).append(path)
-    return out
-
-
 def _convert(
-    spark: SparkSession, form: tuple, schema: str, paths: list[str], source: str, target: str,
+    spark: SparkSession, form: FileForm, paths: list[str], source: str, target: str,
     rows: dict[str, int], folders: dict[str, str], failed: dict[str, str],
 ) -> None:
     """Write files of one form and schema, and count the rows of each in the output against those read."""
-    records = _load(spark, form, schema, paths)
-    first = records.columns[0]
+    records = _load(spark, form, paths)
+    first = form.schema.names[0]
     broken = F.col(_CORRUPT).isNotNull() & (F.coalesce(F.length(F.col(_quoted(first)).cast("string")), F.lit(0)) >= 0)
     read = {r["_path"]: r for r in records.groupBy("_path").agg(F.count("*").alias("n"), F.count_if(broken).alias("bad")).collect()}
     for path, r in read.items():
@@ -284,9 +216,10 @@ def _convert(
     good = [p for p in paths if p not in failed]
     if not good:
         return
-    name = f"{form[0][1:]}-{_digest([schema])}"
+    schema = ", ".join(f"{_quoted(f.name)} {f.dataType.simpleString()}" for f in form.schema)
+    name = f"{form.kind[1:]}-{_digest([schema])}"
     folder = f"{target.rstrip('/')}/{name}"
-    table = _load(spark, form, schema, good).drop(_CORRUPT)
+    table = (records if len(good) == len(paths) else _load(spark, form, good)).drop(_CORRUPT)
     (
         table.withColumn("source", _stem(_below(spark, F.col("_path"), source)))
         .drop("_path")
@@ -322,7 +255,7 @@ def _written(spark: SparkSession, target: str) -> DataFrame:
         return spark.createDataFrame([], "stem string, mtime timestamp, size bigint, folder string")
     folder = F.regexp_extract("path", r"/source=([^/]+)/", 1)
     return list_objects(spark, target, "*.parquet").select(
-        _unescaped(folder).alias("stem"),
+        plain_path(folder).alias("stem"),
         F.col("last_modified").alias("mtime"),
         "size",
         F.regexp_extract("path", r"/([^/]+)/source=[^/]+/", 1).alias("folder"),
