@@ -65,8 +65,11 @@ def is_number_like(cell: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Lower-case runs of word characters, in order; empty pieces included."""
-    return F.split(F.lower(text), r"(?U)\W+")
+    """Lower-case runs of word characters, in order; empty pieces included.
+
+    Numerals such as a raised two are word characters, and so are those that Java does not know yet.
+    """
+    return F.split(F.lower(text), r"(?U)[^\w\p{No}\p{Cn}]+")
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -16,22 +16,22 @@ from lakekit.operators.ordering import first_per_key
 NAME_SPLIT = r"(?U)[\s\-_/.,]+"
 
 
-def _name_parts() -> Column:
+def name_parts() -> Column:
     """Pieces of the name, and the tags and data types as they are, in lower case."""
     labels = F.transform(F.concat("tags", "data_types"), lambda v: strip(F.lower(v)))
     return F.concat(F.split(F.lower("repo_name"), NAME_SPLIT), labels)
 
 
-def _long_words(text: Column) -> Column:
+def long_words(text: Column) -> Column:
     return F.filter(words(F.coalesce(text, F.lit(""))), lambda w: F.length(w) > 2)
 
 
 def repo_tokens() -> Column:
     """Distinct index tokens of a project record."""
     pieces = F.concat(
-        _name_parts(),
-        _long_words(F.col("description")),
-        _long_words(F.col("structure_summary")),
+        name_parts(),
+        long_words(F.col("description")),
+        long_words(F.col("structure_summary")),
     )
     return F.array_remove(F.array_distinct(pieces), "")
 
@@ -86,7 +86,7 @@ def _prepared(repos: DataFrame) -> DataFrame:
             "_name": F.lower("repo_name"),
             "_description": F.lower(F.coalesce("description", F.lit(""))),
             "_summary": F.lower(F.coalesce("structure_summary", F.lit(""))),
-            "_parts": _name_parts(),
+            "_parts": name_parts(),
         }
     )
 
@@ -98,7 +98,7 @@ def _score(query: str) -> Column:
         in_index = F.array_contains("_parts", token)
         if len(token) > 2:
             # Plain search first: the word test only runs where the letters occur.
-            word = rf"(?U)(?<!\w){token}(?!\w)"
+            word = rf"(?U)(?<![\w\p{{No}}\p{{Cn}}]){token}(?![\w\p{{No}}\p{{Cn}}])"
             for column in ("_description", "_summary"):
                 in_index = in_index | (F.col(column).contains(token) & F.col(column).rlike(word))
         score = score + F.when(in_index, 1.0).otherwise(0.0)
@@ -206,19 +206,23 @@ def search_substring(repos: DataFrame, query: str) -> DataFrame:
     )
 
 
-def search_sidebar(repos: DataFrame, query: str) -> DataFrame:
-    """Records with the query in name, description, tags or data types; a blank query keeps all."""
-    wanted = query.lower().strip()
-    if not wanted:
-        return repos
-    text = F.concat_ws(
+def sidebar_text() -> Column:
+    """What the side-bar search looks into."""
+    return F.concat_ws(
         " ",
         "repo_name",
         F.coalesce("description", F.lit("")),
         F.array_join("tags", " "),
         F.array_join("data_types", " "),
     )
-    return repos.filter(F.lower(text).contains(wanted))
+
+
+def search_sidebar(repos: DataFrame, query: str) -> DataFrame:
+    """Records with the query in name, description, tags or data types; a blank query keeps all."""
+    wanted = query.lower().strip()
+    if not wanted:
+        return repos
+    return repos.filter(F.lower(sidebar_text()).contains(wanted))
 
 
 def lake_stats(repos: DataFrame) -> DataFrame:

@@ -682,3 +682,16 @@ ORACLES: dict[str, str] = {
 
 for _name, (_spark_sql, _check) in conformance.STATEMENTS.items():
     ORACLES[_name] = _check or _spark_sql
+
+# The stored indexes answer the same questions as the scans.
+for _name in ("search_topk", "search_batch", "search_substring", "search_sidebar"):
+    ORACLES[f"index_{_name}"] = ORACLES[_name]
+_RUNS = r"""list_filter(list_distinct(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{M}}\p{{N}}_]+')), lambda w: w <> '')"""
+ORACLES["term_index"] = using(
+    "repo_meta",
+    body=" UNION ALL ".join(
+        f"""SELECT '{place}' AS place, count(DISTINCT w) AS terms, count(*) AS entries
+        FROM (SELECT unnest({_RUNS.format(column)}) AS w FROM repo_meta)"""
+        for place, column in (("name", "repo_name"), ("description", "description"))
+    ),
+)

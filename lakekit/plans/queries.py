@@ -20,6 +20,7 @@ from lakekit.operators import (
     profile,
     quality,
     search,
+    searchindex,
     statements,
     weblinks,
 )
@@ -124,7 +125,7 @@ def csv_damaged(spark, sf_dir):
     path = scratch_path(spark, "ragged")
     views.ragged_lines(spark, sf_dir).write.text(path)
     schema = "id string, kind string, value string, day string"
-    bad = csv.damaged_records(spark, path, T.StructType.fromDDL(schema), False, ",")
+    bad = csv.damaged_records(spark, path, T.StructType.fromDDL(schema), False, ",", header=False)
     cells = F.split("record", ",")
     return bad.groupBy(F.size(cells).cast("bigint").alias("pieces")).agg(
         F.count("*").alias("records"), F.sum(cells[0].cast("bigint")).alias("ids")
@@ -833,6 +834,32 @@ def index_lookup(spark, sf_dir):
     return search.lookup(spark.read.parquet(path), ["the", "src1", "csv", ".csv", "leaux"])
 
 
+_INDEXES: dict[tuple, searchindex.TermIndex | searchindex.TextIndex] = {}
+
+
+def _index(spark, sf_dir, kind):
+    """The stored index of a table, written once in a session."""
+    at = (spark.sparkContext.applicationId, sf_dir, kind)
+    if at not in _INDEXES:
+        _INDEXES[at] = kind.build(views.repo_meta(spark, sf_dir), scratch_path(spark, "search-index"))
+    return _INDEXES[at]
+
+
+@query
+def term_index(spark, sf_dir):
+    """What the stored index of terms holds: by kind of place, its terms, and the records that have them."""
+    postings = _index(spark, sf_dir, searchindex.TermIndex).postings
+    entries = postings.select("term", F.explode("entries").alias("e"))
+    place = F.when(F.col("e").bitwiseAND(searchindex.NAMED) != 0, "name").when(F.col("e").bitwiseAND(searchindex.DESCRIBED) != 0, "description")
+    return entries.where(place.isNotNull()).groupBy(place.alias("place")).agg(F.count_distinct("term").alias("terms"), F.count("*").alias("entries"))
+
+
+@query
+def index_search_topk(spark, sf_dir):
+    found = _index(spark, sf_dir, searchindex.TermIndex).search("the reaux csv API src1")
+    return found.withColumn("score", F.round("score", 6))
+
+
 @query
 def search_topk(spark, sf_dir):
     found = search.search(views.repo_meta(spark, sf_dir), "the reaux csv API src1")
@@ -848,12 +875,29 @@ BATCH_QUERIES = {
 }
 
 
+@query
+def index_search_batch(spark, sf_dir):
+    found = _index(spark, sf_dir, searchindex.TermIndex).search_batch(BATCH_QUERIES)
+    return found.withColumn("score", F.round("score", 6))
+
+
 @query
 def search_batch(spark, sf_dir):
     found = search.search_batch(views.repo_meta(spark, sf_dir), BATCH_QUERIES)
     return found.withColumn("score", F.round("score", 6))
 
 
+@query
+def index_search_substring(spark, sf_dir):
+    found = _index(spark, sf_dir, searchindex.TextIndex).search_substring("Thanedble")
+    return found.select("seq", "repo_name", "quality_score")
+
+
+@query
+def index_search_sidebar(spark, sf_dir):
+    return _index(spark, sf_dir, searchindex.TextIndex).search_sidebar("de src1").select("seq", "repo_name")
+
+
 @query
 def search_substring(spark, sf_dir):
     return search.search_substring(views.repo_meta(spark, sf_dir), "Thanedble").select("seq", "repo_name", "quality_score")

@@ -141,16 +141,18 @@ def _read_quoted(
     return parsed.where(good).select(*(F.col(f"c{i}").alias(f.name) for i, f in enumerate(schema)))
 
 
-def damaged_records(spark: SparkSession, path: str | list[str], schema: T.StructType, multi_line: bool, delimiter: str) -> DataFrame:
+def damaged_records(
+    spark: SparkSession, path: str | list[str], schema: T.StructType, multi_line: bool, delimiter: str, header: bool = True
+) -> DataFrame:
     """The records, as text, that do not fit ``schema``."""
     kept = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(schema)] + [T.StructField(CORRUPT, T.StringType())])
     if multi_line:
         records, _ = quoted_records(spark, path, delimiter)
-        records = records.where(~F.col("header") & ~is_blank_record(F.col("record")))
+        records = records.where(~(F.col("header") & F.lit(header)) & ~is_blank_record(F.col("record")))
         parsed = records.select(parse_records(F.col("record"), kept, delimiter).alias("r")).select("r.*")
     else:
         options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "columnPruning": False, "enforceSchema": True}
-        parsed = spark.read.options(**_DIALECT, sep=delimiter, **options).schema(kept).csv(path)
+        parsed = spark.read.options(**{**_DIALECT, "header": header}, sep=delimiter, **options).schema(kept).csv(path)
     # The reader refuses queries on the corrupt column alone, so a data column is named too.
     bad = F.col(CORRUPT).isNotNull() & (F.coalesce(F.length(F.col("c0").cast("string")), F.lit(0)) >= 0)
     return parsed.where(bad).select(F.col(CORRUPT).alias("record"))
