@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakekit.session import scratch_path
 
 
+#: Tasks that the nodes of one label are spread over.
+SALTS = 16
+
+
+def salted(left: DataFrame, right: DataFrame, key: str, spread: Column, salts: int) -> DataFrame:
+    """``left`` joined with the one row that ``right`` has for its ``key``; rows of one key meet it in several tasks."""
+    dealt = left.withColumn("_salt", F.pmod(spread, F.lit(salts)))
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return dealt.join(copies, [key, "_salt"]).drop("_salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of ``edges`` (columns a and b); the label is the least node of its component.
 
@@ -23,8 +34,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels, both["a"] == labels["node"]).groupBy("b").agg(F.min("label").alias("near"))
         best = labels.join(near, labels["node"] == near["b"]).select("node", "label", F.least("label", "near").alias("next"))
-        jump = labels.select(F.col("node").alias("at"), F.col("label").alias("further"))
-        moved = best.join(jump, best["next"] == jump["at"]).select(
+        # Only labels that are used, each once; the nodes of a large component share one.
+        jump = labels.select(F.col("node").alias("next"), F.col("label").alias("further")).join(best.select("next").distinct(), "next")
+        moved = salted(best, jump, "next", F.xxhash64("node"), SALTS).select(
             "node", F.least("next", "further").alias("label"), (F.least("next", "further") != F.col("label")).alias("changed")
         )
         folder = scratch_path(spark, "labels")

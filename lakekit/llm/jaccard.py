@@ -1,9 +1,11 @@
 """Operator 10, joining documents whose sets of word n-grams have a Jaccard similarity of at least 0.8.
 
-MinHash signatures form a forest of prefix tries, one for each run of hash functions. Starting from the whole run, the
-prefix that must match is shortened until a pair at the threshold shares one in some tree with the target recall.
-Documents under one trie node meet; their signatures tell which of them may be close, and these become components of
-candidates. Inside a component all pairs are verified exactly from their n-gram sets.
+MinHash signatures form a forest of prefix tries, one for each run of hash functions. A set asks each tree for the others
+under its longest prefix. That alone misses too many pairs at the threshold, so a set shortens prefixes, one tree at a
+time, until a pair at the threshold shares one with the target recall. It first shortens where that adds the fewest sets for
+the recall gained: a set in a crowded part of one tree keeps a long prefix there and makes up for it in others.
+Documents under a node that is asked for meet; their signatures tell which of them may be close, and these become
+components of candidates. Inside a component all pairs are verified exactly from their n-gram sets.
 
 Only distinct sets take part; copies are counted. No pair is ever a row: a node sends a spanning forest of its likely
 pairs, and a component's task sends, for each set, its number of links and a spanning forest of the verified links.
@@ -24,18 +26,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakekit.llm.blocks import as_table, pack, ranges, split_by, unpack
-from lakekit.llm.components import components
+from lakekit.llm.components import components, salted
 from lakekit.llm.textblocks import ALNUM, Piece, mix, pieces
 from lakekit.session import scratch_path
 
 WORDS = 5
 THRESHOLD = 0.8
-TREES, DEPTH = 20, 6
+TREES, DEPTH = 20, 5
 RECALL = 0.99999
 BLOCK_BYTES = 6 << 20
 #: Sets in a share of a node or a component, and rows or bytes to a bucket of small ones.
 NODE_SHARE, SET_SHARE = 8192, 512
 NODE_BUCKET_ROWS, SET_BUCKET_BYTES = 50_000, 8 << 20
+#: Rows of nodes that a task chooses prefixes from.
+CHOICE_BUCKET_ROWS = 400_000
+#: Tasks that the rows of one class or component are spread over in a join.
+SALTS = 16
 #: Standard deviations by which a signature may underrate a pair at the threshold.
 _SLACK = 5.5
 _RARE = 32
@@ -44,13 +50,47 @@ _OFFSETS = np.random.default_rng(21).integers(0, 1 << 32, 4096, dtype=np.int64).
 
 
 def prefix_depth(threshold: float, trees: int, depth: int, recall: float) -> int:
-    """The longest prefix by which a pair at the threshold meets in some tree with the target recall."""
+    """The longest prefix by which a pair at the threshold meets in some tree with the target recall, if all trees use it."""
     for d in range(depth, 1, -1):
         if 1 - (1 - threshold**d) ** trees >= recall:
             return d
     return 1
 
 
+def choose_levels(sizes: np.ndarray, threshold: float, depth: int, recall: float) -> np.ndarray:
+    """By how much each set shortens its prefix in each tree.
+
+    ``sizes`` (sets, trees, levels) says how many sets are under the prefixes of length ``depth``, ``depth - 1`` and so on.
+    A pair at the threshold is missed by a tree with a chance of one minus the threshold to the power of the length, so
+    the logarithms of these chances add up, and prefixes are shortened until the sum reaches the recall.
+    """
+    n, trees, levels = sizes.shape
+    worth = -np.log(1 - threshold ** np.arange(depth, depth - levels, -1.0))
+    gain = np.diff(worth)
+    missing = -np.log(max(1 - recall, 1e-300)) - trees * worth[0]
+    if levels == 1 or missing <= 0:
+        return np.zeros((n, trees), dtype=np.int64)
+    # Sets met for the recall gained; a step never comes before the one that it follows.
+    price = np.maximum.accumulate(np.diff(sizes, axis=2) / gain, axis=2).reshape(n, -1)
+    order = np.argsort(price, axis=1, kind="stable")
+    reached = np.cumsum(np.tile(gain, trees)[order], axis=1)
+    steps = np.minimum((reached < missing).sum(axis=1) + 1, trees * (levels - 1))
+    taken = np.zeros((n, trees * (levels - 1)), dtype=bool)
+    np.put_along_axis(taken, order, np.arange(trees * (levels - 1)) < steps[:, None], axis=1)
+    return taken.reshape(n, trees, levels - 1).sum(axis=2)
+
+
+def _choose(table: pa.Table, trees: int, threshold: float, depth: int, levels: int, recall: float) -> pa.Table:
+    """The nodes that the sets of a bucket ask for, among those that hold several sets."""
+    sets, own = np.unique(np.array(table.column("set").to_pylist(), dtype="S32"), return_inverse=True)
+    place, n, node = (table.column(c).to_numpy() for c in ("place", "n", "node"))
+    sizes = np.ones((len(sets), trees * levels), dtype=np.int64)
+    sizes[own, place] = n
+    chosen = choose_levels(sizes.reshape(-1, trees, levels), threshold, depth, recall)
+    asked = chosen[own, place // levels] == place % levels
+    return pa.table([pa.array(np.unique(node[asked]))], ["node"])
+
+
 def least_agreement(threshold: float, n: int) -> float:
     """The share of equal signature values below which a pair cannot be at the threshold, but for chance."""
     return threshold - _SLACK * (threshold * (1 - threshold) / n) ** 0.5
@@ -102,8 +142,11 @@ class _Sets:
         return out
 
 
-def _sign(table: pa.Table, n: int, trees: int, depth: int, prefix: int) -> pa.Table:
-    """A row for each distinct text: its set, the set's size, its copies, trie nodes, and a byte of each hash."""
+def _sign(table: pa.Table, n: int, trees: int, depth: int, least: int) -> pa.Table:
+    """A row for each distinct text: its set, the set's size, its copies, trie nodes, and a byte of each hash.
+
+    A tree's nodes are those of its prefixes from the longest down to ``least`` hashes.
+    """
     h, copies, text = unpack(table, np.add)
     sets, sizes, nodes, sketches = [], [], [], []
     for lo, hi in pieces(text, 1 << 21):
@@ -114,10 +157,11 @@ def _sign(table: pa.Table, n: int, trees: int, depth: int, prefix: int) -> pa.Ta
         sketches += [row.tobytes() for row in (signature & 0xFF).astype(np.uint8)]
         node = []
         for tree in range(trees):
-            key = np.full(hi - lo, tree, dtype=np.uint64)
-            for d in range(prefix):
+            key, path = np.full(hi - lo, tree, dtype=np.uint64), []
+            for d in range(depth):
                 key = mix(key, signature[:, tree * depth + d].astype(np.uint64))
-            node.append(key.view(np.int64))
+                path.append(key.view(np.int64))
+            node += path[: least - 2 if least > 1 else None : -1]
         nodes += list(np.stack(node, axis=1))
     columns = [pa.array(h, pa.string()), pa.array(sets, pa.string()), pa.array(np.concatenate(sizes) if sizes else [], pa.int64())]
     columns += [pa.array(copies), pa.array(nodes, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
@@ -257,7 +301,8 @@ def join_similar(
     ``class`` names the class (null for a text without words, which stands alone), ``class_id`` is the least id among documents that are linked, directly or through others; ``n_links`` counts the
     documents at the threshold or above, copies included, ``n_set_links`` the different sets among them.
     """
-    spark, prefix, n_hashes = documents.sparkSession, prefix_depth(threshold, trees, depth, recall), trees * depth
+    shortest, n_hashes = prefix_depth(threshold, trees, depth, recall), trees * depth
+    levels = depth - shortest + 1
     rows = documents.select(
         F.struct(*(documents[c] for c in documents.columns)).alias("row"),
         F.col(doc_id).alias("id"),
@@ -269,7 +314,7 @@ def join_similar(
 
     # 1. A row for each distinct text.
     schema = "h string, set string, size long, copies long, nodes array<long>, sketch binary"
-    signed = packed.groupBy("block").applyInArrow(lambda table: _sign(table, words, trees, depth, prefix), schema)
+    signed = packed.groupBy("block").applyInArrow(lambda table: _sign(table, words, trees, depth, shortest), schema)
     signed = _kept(signed, "signed", schema)
     full = signed.where("set IS NOT NULL")
     sets = full.groupBy("set").agg(
@@ -277,11 +322,17 @@ def join_similar(
     )
     sets = _kept(sets, "sets", "set string, h string, copies long, nodes array<long>, sketch binary")
 
-    # 2. Sets that meet under a node, and which of them are likely pairs.
-    members = sets.select("set", F.explode("nodes").alias("node"))
+    # 2. Sets that meet under a node that one of them asks for, and which of them are likely pairs.
+    members = sets.select("set", F.posexplode("nodes").alias("place", "node"))
     crowded = members.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-    met = _kept(members.join(crowded, "node"), "nodes", "node long, set string, n long")
-    dealt = _deal(met.join(sets.select("set", "sketch"), "set"), "node", "set", "n", NODE_SHARE, met.count() // NODE_BUCKET_ROWS + 1)
+    met = _kept(members.join(crowded, "node"), "nodes", "node long, set string, place int, n long")
+    n_met = met.count()
+    bucket = F.pmod(F.xxhash64("set"), F.lit(n_met // CHOICE_BUCKET_ROWS + 1))
+    asked = met.groupBy(bucket.alias("bucket")).applyInArrow(
+        lambda table: _choose(table, trees, threshold, depth, levels, recall), "node long"
+    )
+    wanted = met.join(asked.distinct(), "node", "left_semi").select("node", "set", "n")
+    dealt = _deal(wanted.join(sets.select("set", "sketch"), "set"), "node", "set", "n", NODE_SHARE, n_met // NODE_BUCKET_ROWS + 1)
     least = least_agreement(threshold, n_hashes)
     likely = dealt.select("task", "node", "i", "j", "own", "set", "sketch").groupBy("task").applyInArrow(
         lambda table: _likely(table, least), "a string, b string"
@@ -360,7 +411,7 @@ def keep_one(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     members = found.groupBy("id", "text_hash", "class").agg(F.count("*").alias("n"))
     first = F.struct(F.col("id").isNull(), "id", "text_hash")
     winners = members.groupBy("class").agg(F.min(first).alias("first"))
-    decided = members.join(winners, "class").select(
+    decided = salted(members, winners, "class", F.xxhash64("id", "text_hash"), SALTS).select(
         F.col("id").alias("own_id"), F.col("text_hash").alias("own_h"), (F.col("first") == first).alias("wins"), "n"
     )
     types = light.schema["id"].dataType.simpleString()

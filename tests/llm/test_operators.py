@@ -454,3 +454,33 @@ def test_similar_documents(spark, odd, none, odd_rows, monkeypatch, small):
 def test_prefixes_reach_the_recall():
     d = jaccard.prefix_depth(0.8, 20, 6, 0.99999)
     assert 1 - (1 - 0.8**d) ** 20 >= 0.99999 > 1 - (1 - 0.8 ** (d + 1)) ** 20
+
+
+def test_sets_stop_at_depths_of_their_own():
+    """Every set reaches the recall, with short prefixes where few others are met and long ones in crowded trees."""
+    rng = np.random.default_rng(2)
+    sizes = np.cumsum(rng.integers(0, 50, (200, 20, 3)), axis=2) + 1
+    sizes[0] = 1
+    sizes[1, :10] = [1, 1, 1]
+    sizes[1, 10:] = [1, 1000, 2000]
+    chosen = jaccard.choose_levels(sizes, 0.8, 5, 0.99999)
+    missed = np.prod(1 - 0.8 ** (5.0 - chosen), axis=1)
+    assert (missed <= 1e-5).all() and (missed > 1e-7).all()
+    assert (chosen[1, :10] == 2).all() and chosen[1, 10:].sum() < 20
+    assert len({tuple(sorted(c)) for c in chosen}) > 3 and chosen.min() == 0 and chosen.max() == 2
+    # One step less in any tree would miss the recall for some set, so prefixes are no shorter than need be.
+    for row in chosen[2:]:
+        tree = np.argmax(row)
+        assert np.prod(1 - 0.8 ** (5.0 - np.where(np.arange(20) == tree, row - 2, row))) > 1e-5
+
+
+def test_recall_of_the_forest_by_depth():
+    """Measured on signatures of pairs at the threshold: longest prefixes miss some, the chosen ones none."""
+    rng = np.random.default_rng(4)
+    n, trees, depth = 2000, 20, 5
+    same = rng.random((n, trees, depth)) < 0.8
+    common = np.cumprod(same, axis=2).sum(axis=2)
+    recall = {d: (common >= d).any(axis=1).mean() for d in (5, 4, 3)}
+    assert 0.99 < recall[5] < 1 and recall[5] <= recall[4] <= recall[3] == 1
+    chosen = jaccard.choose_levels(np.cumsum(rng.integers(0, 9, (n, trees, 3)), axis=2) + 1, 0.8, depth, 0.99999)
+    assert (common >= depth - chosen).any(axis=1).all()
