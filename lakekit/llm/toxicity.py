@@ -1,13 +1,17 @@
 """Operator 3, toxicity by a weighted finite-state pattern grammar.
 
-Words become symbols: insults and threats, whose weights are learned, and targets, negations, reporting verbs, quotes,
-gaps and clause ends. Four transducers (negation, reported speech, target, and the one that counts) are composed into
-one, which runs over the symbols of each clause and emits matched patterns: an insult that is plain, aimed at somebody,
-negated or reported. Quotes are double quotes and guillemets anywhere in the text; blanks around a mark tell whether it opens
+Words become symbols: insults and verbs of violence, whose weights are learned, and targets, copulas, agents, modals,
+conditions, negations, reporting verbs, quotes, gaps and clause ends. Five transducers are composed into one, which runs
+over the symbols of each clause. The insult transducer tells an insult that is said of somebody ("you are an X") from a
+bare one; the threat transducer makes a threat of a verb that an agent intends ("I will X you") or that a condition
+carries ("stop or X"), and leaves any other as mere force; negation, reported speech and target mark what they
+reach. What comes out are matched patterns: an insult, a jibe, a threat or force that is plain, aimed at somebody, negated
+or reported. Quotes are double quotes and guillemets anywhere in the text; blanks around a mark tell whether it opens
 or closes, and a quote without an end lasts up to the line's end. A logistic model over the weights of the matched patterns gives the score.
 
 Learned from at most ``sample`` labelled rows, half of them toxic where there are enough: insults are the whole words
-and word beginnings that mark toxic documents; their weight is the log odds. Every text is scored whole.
+and word beginnings that mark toxic documents; verbs are those that do so behind a modal, besides a few known ones; weights are log odds. Every text is
+scored whole.
 
 Cases: null and empty texts have no pattern and get the score of a text without one; a document with several labels is
 toxic if any says so; labels that are null or no 0 or 1 are not used; without labels of both kinds every score is 0;
@@ -18,12 +22,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakekit.llm.columns import fields, named
 from lakekit.llm.linear import chance, fit_logistic, fold
 from lakekit.llm.textblocks import _MASKS, ALNUM, Piece, as_text, pieces
 from lakekit.session import scratch_path
@@ -32,12 +38,17 @@ SAMPLE = 12_000
 LEXICON = 1000
 #: Lengths in bytes of the word beginnings that may be learned; 0 stands for whole words.
 LENGTHS = [0, 4, 5, 6, 7, 8]
+#: Stands for a whole word one or two places behind a modal.
+VERB = -1
 #: A negation reaches over so many words.
 REACH = 3
 
-# Function words that give a pattern its role.
+# Function words that give a pattern its role, and verbs that need no learning.
 ROLES = {
-    "threat": "kill murder hurt destroy beat shoot stab burn hang umbringen töten schlagen matar golpear tuer frapper",
+    "agent": "i we i'll we'll ich wir yo nosotros je nous",
+    "modal": "will shall gonna going must i'll we'll werde werden wirst voy vamos vais vas allons",
+    "condition": "if unless else wenn falls sonst si sino sinon",
+    "copula": "are is am was were be bist seid ist sind war eres sois está estás est êtes",
     "target": "you your yours yourself he she they them du dich dir dein deine ihr euch sie tú ti usted ustedes ellos"
     " vosotros toi vous ton ta tes ils elles",
     "negation": "not no never nobody nothing neither nor cannot don't isn't nicht kein keine nie niemals ningún nunca"
@@ -45,18 +56,48 @@ ROLES = {
     "report": "said says say told tells wrote writes called calls claimed quoted reported sagte sagt schrieb nannte"
     " behauptete dijo dice escribió llamó dit écrit disait appelé",
 }
+VERBS = "kill murder hurt destroy beat shoot stab burn hang umbringen töten schlagen matar golpear tuer frapper"
+#: A word of two roles stands for both, in this order.
+BOTH = {"you're": ("target", "copula"), "youre": ("target", "copula"), "i'll": ("agent", "modal"), "we'll": ("agent", "modal")}
 
 Table = dict[tuple[int, str], tuple[int, str]]
 
 
+KINDS = ("insult", "jibe", "threat", "force")
+
+
+def _insult() -> Table:
+    """An insult behind a copula of its clause is a jibe."""
+    t: Table = {}
+    for state in (0, 1):
+        t[state, "copula"] = (1, "")
+        t[state, "insult"] = (0, "jibe" if state else "insult")
+        t[state, "gap"], t[state, "break"] = (0, "gap"), (0, "break")
+    return t
+
+
+def _threat() -> Table:
+    """A verb is a threat when an agent intends it or a condition of its clause carries it, and else mere force."""
+    none, agent, intends, condition = range(4)
+    t: Table = {}
+    for state in range(4):
+        t[state, "agent"] = (state if state == condition else agent, "")
+        t[state, "modal"] = (intends if state == agent else state, "")
+        t[state, "condition"] = (condition, "")
+        t[state, "verb"] = (state, "threat" if state in (intends, condition) else "force")
+        t[state, "gap"] = (condition if state == condition else none, "gap")
+        t[state, "break"] = (none, "break")
+    return t
+
+
 def _negation() -> Table:
     t: Table = {}
     for state in (0, 1):
         t[state, "negation"] = (1, "")
-        t[state, "gap"] = t[state, "break"] = (0, "")
-        for x in ("insult", "threat"):
+        t[state, "gap"] = (0, "")
+        t[state, "break"] = (0, "break")
+        for x in KINDS:
             t[state, x] = (state, f"{x}-" if state else x)
-    t[0, "break"] = t[1, "break"] = (0, "break")
     return t
 
 
@@ -68,8 +109,9 @@ def _report() -> Table:
         t[state, "quote"] = (1 - state, "")
         t[state, "open"], t[state, "close"] = (1, ""), (0, "")
         t[state, "break"] = (0, "break")
-        for x in ("insult", "threat", "insult-", "threat-"):
-            t[state, x] = (state, f"{x[:6]}~" if state else x)
+        for x in KINDS:
+            t[state, x] = (state, f"{x}~" if state else x)
+            t[state, f"{x}-"] = (state, f"{x}~" if state else f"{x}-")
     return t
 
 
@@ -79,8 +121,9 @@ def _target() -> Table:
     for state in (0, 1):
         t[state, "target"] = (1, "target")
         t[state, "break"] = (0, "break")
-        for x in ("insult", "threat", "insult-", "threat-", "insult~", "threat~"):
-            t[state, x] = (state, f"{x}@" if state and x in ("insult", "threat") else x)
+        for x in KINDS:
+            t[state, x] = (state, f"{x}@" if state else x)
+            t[state, f"{x}-"], t[state, f"{x}~"] = (state, f"{x}-"), (state, f"{x}~")
     return t
 
 
@@ -98,8 +141,9 @@ def compose(first: Table, second: Table) -> Table:
     return out
 
 
-GRAMMAR = compose(compose(_negation(), _report()), _target())
-PATTERNS = ["insult", "insult@", "insult-", "insult~", "threat", "threat@", "threat-", "threat~"]
+CASCADE = [_insult(), _threat(), _negation(), _report(), _target()]
+GRAMMAR = reduce(compose, CASCADE)
+PATTERNS = [f"{kind}{mark}" for kind in KINDS for mark in ("", "@", "-", "~")]
 
 
 def match(symbols: list[tuple[str, float]]) -> list[tuple[str, float]]:
@@ -110,7 +154,7 @@ def match(symbols: list[tuple[str, float]]) -> list[tuple[str, float]]:
         if said in PATTERNS:
             out.append((said, weight))
         elif said == "target":
-            out[clause:] = [(f"{p}@" if p in ("insult", "threat") else p, w) for p, w in out[clause:]]
+            out[clause:] = [(f"{p}@" if p in KINDS else p, w) for p, w in out[clause:]]
         elif said == "break":
             clause = len(out)
     return out
@@ -169,7 +213,7 @@ def quotes(piece: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Lexicon:
-    """Weighted insults by whole word and by beginning, and the words of each role."""
+    """Weighted insults by whole word and by beginning, weighted verbs, and the words of each role."""
 
     def __init__(self, entries: list[tuple[int, int, float]]):
         self.tables = []
@@ -177,9 +221,13 @@ class Lexicon:
             own = sorted((key % (1 << 64), w) for k, key, w in entries if k == length)
             if own:
                 self.tables.append((length, np.array([k for k, _ in own], np.uint64), np.array([w for _, w in own])))
-        roles = {h: role for role, words in ROLES.items() for h in _hashes(words.split())}
+        roles = {h: (role,) for role, words in ROLES.items() for h in _hashes(words.split())}
+        roles |= dict(zip(_hashes(list(BOTH)), BOTH.values(), strict=True))
         self.role_keys = np.array(sorted(roles), dtype=np.uint64)
         self.role_names = [roles[k] for k in sorted(roles)]
+        verbs = dict.fromkeys(_hashes(VERBS.split()).tolist(), 1.0) | {key % (1 << 64): w for k, key, w in entries if k == VERB}
+        self.verb_keys = np.array(sorted(verbs), dtype=np.uint64)
+        self.verb_weights = np.array([verbs[k] for k in sorted(verbs)])
 
     def weights(self, piece: Piece, words: np.ndarray) -> np.ndarray:
         """The weight of every word; 0 where it is no insult."""
@@ -197,11 +245,12 @@ class Lexicon:
         weight = self.weights(piece, words)
         place = np.minimum(np.searchsorted(self.role_keys, words), len(self.role_keys) - 1)
         role = np.where(self.role_keys[place] == words, place, -1)
-        threat = np.array([n == "threat" for n in self.role_names])[role] & (role >= 0)
+        place = np.minimum(np.searchsorted(self.verb_keys, words), len(self.verb_keys) - 1)
+        force = np.where(self.verb_keys[place] == words, self.verb_weights[place], 0.0)
         live = np.zeros(piece.n_docs, dtype=bool)
-        live[piece.doc[(weight > 0) | threat]] = True
+        live[piece.doc[(weight > 0) | (force > 0)]] = True
         out = np.zeros((piece.n_docs, len(PATTERNS) + 1))
-        keep = np.flatnonzero(((weight > 0) | (role >= 0)) & live[piece.doc])
+        keep = np.flatnonzero(((weight > 0) | (force > 0) | (role >= 0)) & live[piece.doc])
         at, is_open, so_far = piece.quotes
         last = np.searchsorted(at, piece.start[keep], side="right") - 1
         inside, quoted = is_open[last], so_far[last]
@@ -221,7 +270,12 @@ class Lexicon:
                     # A quote goes on behind the end of a clause.
                     if ended and inside[j] or turned:
                         symbols.append(("open" if inside[j] else "close", 0.0))
-                symbols.append(("insult", weight[i]) if weight[i] > 0 else (self.role_names[role[i]], 1.0))
+                if weight[i] > 0:
+                    symbols.append(("insult", weight[i]))
+                elif force[i] > 0:
+                    symbols.append(("verb", force[i]))
+                else:
+                    symbols += [(name, 1.0) for name in self.role_names[role[i]]]
                 before = j
             for pattern, w in match(symbols):
                 out[doc, PATTERNS.index(pattern)] += w
@@ -275,10 +329,10 @@ def _sample(
     share = F.when(F.col("y") == 1, sample / 2 / max(1, counts.get(1, 0))).otherwise(sample / 2 / max(1, counts.get(0, 0)))
     picked = known.where(chance(F.col("id")) < share)
     folder = scratch_path(documents.sparkSession, "labelled")
-    rows = documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    rows = documents.select(named(doc_id).alias("id"), named(text).alias("text"))
     # The sample has a bound of its own, so its ids may be broadcast.
     rows.join(F.broadcast(picked), "id").write.parquet(folder)
-    schema = f"id {rows.schema['id'].dataType.simpleString()}, text string, y int"
+    schema = fields(id=rows.schema["id"].dataType, text="string", y="int")
     return documents.sparkSession.read.schema(schema).parquet(folder), counts
 
 
@@ -288,8 +342,10 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         y = batch.column("y").to_numpy()
         for lo, hi, piece in _each(as_text(batch.column("text"))):
             words = piece.word_hashes()
-            for length in LENGTHS:
-                values = words if not length else beginnings(piece, length)
+            for length in [VERB, *LENGTHS]:
+                values = words if length < 1 else beginnings(piece, length)
+                if length == VERB:
+                    values = np.where(_behind_modals(piece, words), values, np.uint64(0))
                 pair = np.unique(np.stack([values, piece.doc.astype(np.uint64)]), axis=1) if len(values) else np.zeros((2, 0), np.uint64)
                 pair = pair[:, pair[0] != 0]
                 keys, at = np.unique(pair[0], return_inverse=True)
@@ -299,15 +355,24 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["length", "key", "toxic", "clean"])
 
 
+def _behind_modals(piece: Piece, words: np.ndarray) -> np.ndarray:
+    """Which words are one or two places behind a modal and have no role themselves."""
+    modal, known = np.isin(words, _hashes(ROLES["modal"].split())), np.isin(words, _hashes(" ".join(ROLES.values()).split()))
+    out = np.zeros(len(words), dtype=bool)
+    for step in (1, 2):
+        out[step:] |= modal[:-step] & (piece.doc[:-step] == piece.doc[step:])
+    return out & ~known
+
+
 def _choose(rows: list, n_toxic: int, n_clean: int) -> list[tuple[int, int, float]]:
     """Entries with their weights, without those that a longer or shorter one makes needless."""
     chosen: list = []
     for row in sorted(rows, key=lambda r: (-r["toxic"], r["clean"], -(r["length"] or 99))):
-        key, mask = row["key"] % (1 << 64), (1 << (8 * row["length"])) - 1
+        key, mask = row["key"] % (1 << 64), (1 << (8 * max(row["length"], 0))) - 1
         nested = [
             c
             for c in chosen
-            if row["length"] and c["length"] and (c["key"] % (1 << 64)) & mask == key & ((1 << (8 * c["length"])) - 1) & mask
+            if row["length"] > 0 and c["length"] > 0 and (c["key"] % (1 << 64)) & mask == key & ((1 << (8 * c["length"])) - 1) & mask
         ]
         if not any(c["toxic"] >= row["toxic"] and c["clean"] <= 1.5 * row["clean"] + 1 for c in nested):
             chosen.append(row)
@@ -367,7 +432,7 @@ def fit(
 
 def score(documents: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """``documents`` as struct ``row`` with the score."""
-    rows = documents.select(F.struct(*(documents[c] for c in documents.columns)).alias("row"), F.col(text).alias("text"))
+    rows = documents.select(F.struct(*(named(c) for c in documents.columns)).alias("row"), named(text).alias("text"))
     held = documents.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,7 +442,7 @@ def score(documents: DataFrame, model: Model | None, text: str = "text") -> Data
                 parts.append(held.value.score(piece) if held.value else np.zeros(hi - lo))
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.concatenate(parts))], ["row", "score"])
 
-    return rows.mapInArrow(judge, f"row {rows.schema['row'].dataType.simpleString()}, score double")
+    return rows.mapInArrow(judge, fields(row=rows.schema["row"].dataType, score="double"))
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -129,6 +129,55 @@ def test_grammar_tells_roles_apart():
     assert kinds("quote", "threat", "quote", "threat") == ["threat~", "threat"]
 
 
+def test_insults_and_threats_are_told_from_bare_words():
+    def kinds(*symbols):
+        return [p for p, _ in toxicity.match([(s, 1.0) for s in symbols])]
+
+    assert kinds("target", "copula", "insult") == ["jibe@"] and kinds("copula", "gap", "insult") == ["insult"]
+    assert kinds("target", "copula", "negation", "insult") == ["jibe-"] and kinds("report", "target", "copula", "insult") == ["jibe~"]
+    assert kinds("agent", "modal", "verb", "target") == ["threat@"] and kinds("verb") == kinds("modal", "verb") == ["force"]
+    assert kinds("condition", "gap", "verb") == ["threat"] and kinds("condition", "break", "verb") == ["force"]
+    assert kinds("agent", "modal", "negation", "verb", "target") == ["threat-"] and kinds("agent", "modal", "gap", "verb") == ["force"]
+    assert kinds("open", "agent", "modal", "verb", "target", "close") == ["threat~"]
+
+
+def test_composed_grammar_equals_a_cascade_of_its_transducers():
+    """Symbols fed through the five transducers one after the other, each with a state of its own."""
+    symbols = sorted({x for table in toxicity.CASCADE for _, x in table if x.isalpha()})
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        text = rng.choice(symbols, int(rng.integers(1, 25))).tolist()
+        states, composed = [0] * 5, 0
+        for x in text:
+            composed, out = toxicity.GRAMMAR.get((composed, x), (composed, ""))
+            y = x
+            for i, table in enumerate(toxicity.CASCADE):
+                if y:
+                    states[i], y = table.get((states[i], y), (states[i], y))
+            assert out == y, (text, x)
+
+
+def test_threats_are_learned_behind_modals(spark):
+    rng = np.random.default_rng(6)
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    rows = []
+    for i in range(300):
+        text = rng.choice(words, 20).tolist()
+        # "zork" is no insult: it stands in other texts too, but not behind a modal.
+        text[3:3] = ["i", "will", "zork", "you"] if i % 5 == 0 else ["zork", "and", "i", "will", "go"] if i % 2 else []
+        rows.append((i, " ".join(text), int(i % 5 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    model = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", F.col("y").alias("toxic")))
+    verb = int(toxicity._hashes(["zork"])[0])
+    at = int(np.searchsorted(model.lexicon.verb_keys, np.uint64(verb)))
+    assert int(model.lexicon.verb_keys[at]) == verb and model.lexicon.verb_weights[at] > 1
+    got = {r.row.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert all((got[i] > 0.5) == bool(y) for i, _, y in rows)
+    odd = docs.selectExpr("doc_id AS `my id`", "text AS `a.b`", "y AS `x-y`")
+    named = toxicity.fit(odd, docs.selectExpr("doc_id AS `my id`", "y AS toxic"), "my id", "a.b")
+    assert toxicity.score(odd, named, "a.b").count() == 300
+
+
 def test_quotes_are_found_wherever_they_are():
     key = int(toxicity._hashes(["idiot"])[0])
     words = toxicity.Lexicon([(0, key, 1.0)])
