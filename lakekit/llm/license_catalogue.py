@@ -167,16 +167,21 @@ def notices() -> list[tuple[str, str]]:
 
 @cache
 def passages() -> list[tuple[str, str]]:
-    """(license, passage) of the whole texts, without passages that texts share."""
+    """(license, passage) of the whole texts; a passage that versions of one family share stands for the family."""
     texts = {p.stem: split(p.read_text(encoding="utf-8")) for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
 
     def runs(words: list[str]) -> set[tuple[str, ...]]:
         return {tuple(words[i : i + RUN]) for i in range(len(words) - RUN + 1)}
 
-    known, out = {name: runs(words) for name, words in texts.items()}, []
+    known, out = {name: runs(words) for name, words in texts.items()}, {}
     for name, words in texts.items():
         for at in range(0, len(words) - RUN, PASSAGE):
             own = runs(words[at : at + PASSAGE])
-            if len(own) > RUN and all(2 * len(own & known[n]) < len(own) for n in known if n != name):
-                out.append((name, " ".join(words[at : at + PASSAGE])))
-    return out
+            owners = {n for n in known if n == name or 2 * len(own & known[n]) >= len(own)}
+            family = name.rsplit("-", 1)[0]
+            # What versions of one family share names the family; what families share names none.
+            shared = family if family in FAMILIES and all(n.rsplit("-", 1)[0] == family for n in owners) else None
+            license = name if len(owners) == 1 else shared
+            if len(own) > RUN and license:
+                out[license, " ".join(words[at : at + PASSAGE])] = None
+    return list(out)

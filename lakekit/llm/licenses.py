@@ -3,7 +3,7 @@
 Templates are phrases and headers that state a license, and passages of whole license texts (``license_catalogue``). A text
 is cut into windows of eight word shingles that overlap by half, templates into pieces of four. A piece that
 occurs whole lies in some window, where its Jaccard similarity is one half or more; with one hash a band and ``BANDS``
-bands it is retrieved with probability 1 - 2^-BANDS, 0.9998 for twelve. Templates of up to four shingles, all of which
+bands, each of its own, it is retrieved with probability 1 - 2^-BANDS, 0.9998 for twelve. Templates of up to four shingles, all of which
 must occur, are looked up by their first shingle, with certainty. Bands meet by an equi-join.
 Each retrieved template is verified by exact containment: the share of its shingles in the stretch of text around the
 window, which reaches a template's length beyond it on either side. A notice that names a version needs a shingle that
@@ -19,10 +19,13 @@ without a version is left out beside one with it; an empty table gives no rows;
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakekit.functions.text import bind
+from lakekit.llm.columns import named
 from lakekit.llm.license_catalogue import BREAK as _BREAK
 from lakekit.llm.license_catalogue import FAMILIES, notices, passages, split
 
@@ -64,10 +67,6 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("All rights reserved", "All rights reserved."),
 ]
-#: One mask a band; a window's value is its least shingle hash under the mask.
-_MASKS = [((i + 1) * 0x9E3779B97F4A7C15 ^ (i + 7) * 0xC2B2AE3D27D4EB4F << 7) % (1 << 64) - (1 << 63) for i in range(64)]
-
-
 def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), _BREAK), lambda w: w != "")
 
@@ -79,11 +78,27 @@ def shingles(hashes: Column, k: int) -> Column:
     return F.when(last >= 0, runs).otherwise(F.array().cast("array<bigint>"))
 
 
-def bands_of(window: Column, bands: int) -> list[Column]:
-    def least(mask: int) -> Column:
-        return F.array_min(F.transform(window, lambda x: x.bitwiseXOR(F.lit(mask))))
+def bands_of(piece: Column, bands: int) -> list[Column]:
+    """A piece's value in each band: its least shingle under a hash of the band's own."""
+    return [F.array_min(F.transform(piece, _hash_of(band))) for band in range(bands)]
+
+
+def _hash_of(band: int) -> Callable[[Column], Column]:
+    return lambda x: F.xxhash64(x, F.lit(band))
+
+
+def window_bands(own: Column, bands: int) -> Column:
+    """The values of all windows of a stretch, band by band. A shingle is hashed once a band, and a window's least hash is
+    that of the two pieces that make it up."""
+
+    def of_band(band: int) -> Column:
+        hashed = F.transform(own, _hash_of(band))
+        starts = F.sequence(F.lit(1), F.lit(STRETCH + WINDOW - PIECE), F.lit(PIECE))
+        leasts = bind(hashed, lambda h: F.transform(starts, lambda i: F.array_min(F.slice(h, i, PIECE))))
+        windows = F.sequence(F.lit(0), F.lit(STRETCH // PIECE - 1))
+        return bind(leasts, lambda m: F.transform(windows, lambda q: F.least(F.get(m, q), F.get(m, q + 1))))
 
-    return [least(mask) for mask in _MASKS[:bands]]
+    return F.flatten(F.array(*(of_band(band) for band in range(bands))))
 
 
 def _must(name: str, words: list[str], k: int) -> list[list[int]]:
@@ -96,14 +111,14 @@ def _must(name: str, words: list[str], k: int) -> list[list[int]]:
 
 
 def template_bands(
-    spark: SparkSession, named: list[tuple[str, str]], cut: list[tuple[str, str]], words: int, bands: int
+    spark: SparkSession, stated: list[tuple[str, str]], cut: list[tuple[str, str]], words: int, bands: int
 ) -> tuple[DataFrame, DataFrame, list[int], int]:
     """(bands, templates, shingle lengths below ``words`` that templates need, shingles of the longest template).
 
     The templates are notices and passages of texts; only notices name a version.
     """
     rows = []
-    for name, text, notice in [*((*t, True) for t in named), *((*t, False) for t in cut)]:
+    for name, text, notice in [*((*t, True) for t in stated), *((*t, False) for t in cut)]:
         if own := split(text):
             k = min(words, len(own))
             rows.append((len(rows), name, text, k, len(own) - k + 1, _must(name, own, k) if notice else []))
@@ -132,9 +147,9 @@ def matches(
     bands: int = BANDS,
 ) -> DataFrame:
     """(key, license, containment) for every license that a text holds."""
-    named, cut = ([*TEMPLATES, *notices()], passages()) if templates is None else (templates, [])
-    known, full, short, longest = template_bands(texts.sparkSession, named, cut, words, bands)
-    if sum(len(split(t)) // PIECE + 1 for _, t in [*named, *cut]) * bands <= BROADCAST_BANDS:
+    stated, cut = ([*TEMPLATES, *notices()], passages()) if templates is None else (templates, [])
+    known, full, short, longest = template_bands(texts.sparkSession, stated, cut, words, bands)
+    if sum(len(split(t)) // PIECE + 1 for _, t in [*stated, *cut]) * bands <= BROADCAST_BANDS:
         known, full = F.broadcast(known), F.broadcast(full)
     # Single shingles are as few as the templates; only those that a template begins with become rows.
     firsts: dict[int, list[int]] = {k: [] for k in [*short, words]}
@@ -144,7 +159,7 @@ def matches(
     def begins(values: Column, k: int) -> Column:
         return F.filter(values, lambda x: x.isin(firsts[k]))
 
-    hashed = texts.select(F.col(key).alias("key"), F.transform(words_of(F.col(text)), lambda w: F.xxhash64(w)).alias("words"))
+    hashed = texts.select(named(key).alias("key"), F.transform(words_of(named(text)), lambda w: F.xxhash64(w)).alias("words"))
     runs = hashed.select(
         "key", shingles(F.col("words"), words).alias("s"), *(begins(shingles(F.col("words"), k), k).alias(f"s{k}") for k in short)
     )
@@ -160,17 +175,15 @@ def matches(
     )
     # A filter on what is exploded would be computed once more below; outer explosions have none.
     cut_up = runs.select("key", F.explode_outer(F.when(n > 0, stretches)).alias("w")).where("w IS NOT NULL").select("key", "w.*")
-    starts = F.sequence(F.lit(1), F.lit(STRETCH), F.lit(PIECE))
-    windows = F.transform(starts, lambda i: F.slice("own", i, WINDOW))
-    # Places: the bands of every window, then the single shingles.
+    # Places: the windows in every band, then the single shingles.
     values = F.concat(
-        F.flatten(F.transform(windows, lambda w: F.array(*bands_of(w, bands)))),
+        window_bands(F.col("own"), bands),
         begins(F.slice("own", 1, STRETCH), words),
         *(F.col(f"s{k}") for k in short),
     )
     asked = cut_up.select("key", "around", values.alias("values")).select("key", "around", F.posexplode_outer("values").alias("at", "value"))
-    banded = STRETCH // PIECE * bands
-    kind = F.when(F.col("at") < banded, F.col("at") % bands).otherwise(F.lit(bands))
+    n_windows = STRETCH // PIECE
+    kind = F.when(F.col("at") < n_windows * bands, F.floor(F.col("at") / n_windows).cast("int")).otherwise(F.lit(bands))
     met = asked.where("value IS NOT NULL").withColumn("kind", kind).join(known.drop("k"), ["kind", "value"]).join(full, "template")
     whole = F.col("k") < words
     share = F.when(whole, F.lit(1.0)).otherwise(F.size(F.array_intersect("shingles", "around")) / F.size("shingles"))
@@ -186,7 +199,7 @@ def matches(
 def scan(documents: DataFrame, text: str = "text", **options) -> DataFrame:
     """``documents`` as struct ``row`` with licenses: sorted (license, containment) structs, empty if there are none."""
     rows = documents.select(
-        F.struct(*(documents[c] for c in documents.columns)).alias("row"), F.col(text).alias("text"), F.md5(text).alias("key")
+        F.struct(*(named(c) for c in documents.columns)).alias("row"), named(text).alias("text"), F.md5(named(text)).alias("key")
     )
     found = matches(rows.where("text IS NOT NULL"), "key", "text", **options)
     found = found.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("license", "containment"))).alias("licenses"))

@@ -317,6 +317,64 @@ def test_licenses_beyond_the_short_notices(spark):
     assert got[200] == ["MPL-2.0"]
 
 
+def test_half_a_window_is_retrieved_as_stated(spark):
+    """Windows that share half their shingles with a piece miss it in all bands with a chance of 2^-bands."""
+
+    def random(seed):
+        return F.transform(F.sequence(F.lit(1), F.lit(licenses.PIECE)), lambda i: F.xxhash64("id", i, F.lit(seed)))
+
+    assert licenses.WINDOW == 2 * licenses.PIECE
+    draws = spark.range(0, 40_000, 1, 4).select(random(1).alias("piece"), random(2).alias("rest"))
+    for bands in (4, 12):
+        own = F.array(*licenses.bands_of(F.col("piece"), bands))
+        window = F.array(*licenses.bands_of(F.concat("piece", "rest"), bands))
+        missed = draws.where(F.forall(F.zip_with(own, window, lambda a, b: a != b), lambda x: x)).count()
+        expected = 40_000 * 2.0**-bands
+        assert abs(missed - expected) < 5 * expected**0.5 + 1, (bands, missed, expected)
+
+
+def test_windows_of_a_stretch_equal_single_windows(spark):
+    rows = spark.range(0, 20).select(F.transform(F.sequence(F.lit(0), F.pmod(F.col("id") * 7, F.lit(68)).cast("int")), lambda i: F.xxhash64("id", i)).alias("own"))
+    single = F.flatten(F.array(*(
+        F.array(*(F.array_min(F.transform(F.slice("own", 1 + q * licenses.PIECE, licenses.WINDOW), licenses._hash_of(b)))
+                  for q in range(licenses.STRETCH // licenses.PIECE)))
+        for b in range(3))))
+    assert rows.where(~licenses.window_bands(F.col("own"), 3).eqNullSafe(single)).count() == 0
+
+
+def test_licenses_equal_plain_containment(spark):
+    """Scans against word shingles compared one by one, over texts cut from templates and columns of odd names."""
+    rng = np.random.default_rng(12)
+    notices = [t for t in licenses.TEMPLATES if t[0] in ("GPL", "MIT", "BSD", "MPL-2.0")]
+    rows = []
+    for i in range(60):
+        words = notices[i % len(notices)][1].split()
+        for _ in range(int(rng.integers(0, 4))):
+            words[int(rng.integers(0, len(words)))] = f"other{i}"
+        rows.append((i, " ".join(["filler"] * int(rng.integers(0, 90)) + words + ["end"] * int(rng.integers(0, 9)))))
+    docs = spark.createDataFrame(rows, "`my id` long, `a.b` string")
+
+    def shingles(text):
+        words = licenses.split(text)
+        k = min(5, len(words))
+        return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)}, k
+
+    expected = {}
+    for i, text in rows:
+        best = {}
+        for name, notice in notices:
+            own, k = shingles(notice)
+            words = licenses.split(text)
+            have = {tuple(words[j : j + k]) for j in range(len(words) - k + 1)}
+            share = len(own & have) / len(own)
+            if share >= (1.0 if len(own) <= licenses.PIECE else 0.8) and (len(own) > licenses.PIECE or own <= have):
+                best[name] = max(share, best.get(name, 0))
+        expected[i] = best
+    got = {r.row["my id"]: {x.license: x.containment for x in r.licenses} for r in licenses.scan(docs, "a.b", templates=notices).collect()}
+    same = sum(got[i].keys() == expected[i].keys() and all(abs(got[i][k] - v) < 1e-9 for k, v in expected[i].items()) for i, _ in rows)
+    assert same == len(rows)
+
+
 # 6 ---------------------------------------------------------------------------------------------------------------
 
 
