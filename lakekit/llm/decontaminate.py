@@ -21,7 +21,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lakekit.llm.columns import named
 from lakekit.llm.textblocks import ALNUM, Piece, as_text, covered, per_doc_sum, pieces
 
 WINDOW = 10
@@ -63,7 +65,7 @@ def _words(piece: Piece, at: int, size: int) -> str:
 
 def benchmark_windows(benchmark: DataFrame, n: int, item_id: str, text: str) -> DataFrame:
     """Distinct windows with the ids of their items: size, hash, words, items."""
-    rows = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text"))
+    rows = benchmark.select(named(item_id).cast("string").alias("item"), named(text).alias("text"))
     found = rows.mapInArrow(lambda it: _windows(it, n), "item string, size int, hash long, words string")
     return found.groupBy("size", "hash", "words").agg(F.collect_set("item").alias("items"))
 
@@ -137,9 +139,9 @@ def find(
 ) -> DataFrame:
     """``documents`` as struct ``row``, with n_words, n_hit, the ids of the items found (sorted) and byte spans of hits."""
     windows = benchmark_windows(benchmark, n, item_id, item_text)
-    rows = documents.select(F.struct(*(documents[c] for c in documents.columns)).alias("row"), F.col(text).alias("text"))
-    schema = f"row {rows.schema['row'].dataType.simpleString()}, {_HIT}"
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length(item_text)), F.lit(0))).first()[0]
+    rows = documents.select(F.struct(*(named(c) for c in documents.columns)).alias("row"), named(text).alias("text"))
+    schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), *T.StructType.fromDDL(_HIT)])
+    size = benchmark.agg(F.coalesce(F.sum(F.octet_length(named(item_text))), F.lit(0))).first()[0]
     if size * n <= broadcast_bytes:
         held = documents.sparkSession.sparkContext.broadcast(
             [(r["size"], r["hash"], r["words"], r["items"]) for r in windows.collect()]
@@ -155,7 +157,7 @@ def find(
     return _find_by_join(rows, windows, schema)
 
 
-def _find_by_join(rows: DataFrame, windows: DataFrame, schema: str) -> DataFrame:
+def _find_by_join(rows: DataFrame, windows: DataFrame, schema: T.StructType) -> DataFrame:
     """The same by a shuffle: documents meet the windows of which they hold the hash, then verify these only."""
     sizes = [r["size"] for r in windows.select("size").distinct().collect()]  # at most n of them
 
@@ -212,9 +214,9 @@ def remove(documents: DataFrame, benchmark: DataFrame, action: str = "documents"
     def cut(texts, spans):
         return pd.Series([_cut(t, s) for t, s in zip(texts, spans, strict=True)])
 
-    kept = found.withColumn("cut", F.when(F.col("n_hit") > 0, cut(F.col(f"row.`{text}`"), F.col("spans"))))
-    new = F.when(F.col("n_hit") > 0, F.col("cut")).otherwise(F.col(f"row.`{text}`"))
-    return kept.select(*(new.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in documents.columns))
+    kept = found.withColumn("cut", F.when(F.col("n_hit") > 0, cut(F.col("row").getField(text), F.col("spans"))))
+    new = F.when(F.col("n_hit") > 0, F.col("cut")).otherwise(F.col("row").getField(text))
+    return kept.select(*(new.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in documents.columns))
 
 
 def _cut(text: str | None, spans) -> str | None:

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakekit.llm.blocks import as_table, pack, ranges, split_by, unpack
+from lakekit.llm.columns import named
 from lakekit.llm.components import components, salted
 from lakekit.llm.textblocks import ALNUM, Piece, mix, pieces
 from lakekit.session import scratch_path
@@ -304,9 +305,9 @@ def join_similar(
     shortest, n_hashes = prefix_depth(threshold, trees, depth, recall), trees * depth
     levels = depth - shortest + 1
     rows = documents.select(
-        F.struct(*(documents[c] for c in documents.columns)).alias("row"),
-        F.col(doc_id).alias("id"),
-        F.coalesce(text, F.lit("")).alias("text"),
+        F.struct(*(named(c) for c in documents.columns)).alias("row"),
+        named(doc_id).alias("id"),
+        F.coalesce(named(text), F.lit("")).alias("text"),
     ).withColumn("h", F.md5("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     block = F.pmod(F.xxhash64("h"), F.lit(total // BLOCK_BYTES + 1))
@@ -406,7 +407,7 @@ def keep_one(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", *
 
     Classes are found from ids and texts alone; the decisions then meet the rows, whose texts travel once.
     """
-    light = documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    light = documents.select(named(doc_id).alias("id"), named(text).alias("text"))
     found = join_similar(light, "id", "text", **options).where("class_size > 1").select("row.id", "text_hash", "class")
     members = found.groupBy("id", "text_hash", "class").agg(F.count("*").alias("n"))
     first = F.struct(F.col("id").isNull(), "id", "text_hash")
@@ -417,9 +418,9 @@ def keep_one(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     types = light.schema["id"].dataType.simpleString()
     decided = _kept(decided, "decisions", f"own_id {types}, own_h string, wins boolean, n long")
     rows = documents.select(
-        F.struct(*(documents[c] for c in documents.columns)).alias("row"),
-        F.col(doc_id).alias("id"),
-        F.md5(F.coalesce(text, F.lit(""))).alias("h"),
+        F.struct(*(named(c) for c in documents.columns)).alias("row"),
+        named(doc_id).alias("id"),
+        F.md5(F.coalesce(named(text), F.lit(""))).alias("h"),
     )
     # The decisions have no bound, so they are never broadcast, however small a table is.
     met = rows.join(decided.hint("merge"), rows["h"].eqNullSafe(decided["own_h"]) & rows["id"].eqNullSafe(decided["own_id"]), "left")

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakekit.llm.columns import fields, named
 from lakekit.llm.linear import chance, fit_svm, fold
 from lakekit.llm.textblocks import LOWER, Piece, as_text, pieces
 
@@ -125,15 +126,15 @@ class Model:
 
 def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model | None:
     """Fit on at most ``sample`` of the rows; None if no row has both a label and a letter."""
-    counts = labelled.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n"))
+    counts = labelled.where(named(lang).isNotNull()).groupBy(named(lang).alias("lang")).agg(F.count("*").alias("n"))
     # At most `sample` languages can have a row in the sample.
     counts = {r["lang"]: r["n"] for r in counts.orderBy(F.desc("n"), "lang").limit(sample).collect()}
     if not counts:
         return None
     each = max(1, sample // len(counts))
     share = F.create_map(*(F.lit(v) for k, n in counts.items() for v in (k, min(1.0, 1.2 * each / n + 20 / n))))
-    picked = labelled.where(chance(F.col(doc_id), F.col(text)) < share[F.col(lang)]).select(
-        F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(doc_id, text).alias("at")
+    picked = labelled.where(chance(named(doc_id), named(text)) < share[named(lang)]).select(
+        named(lang).alias("lang"), named(text).alias("text"), F.xxhash64(named(doc_id), named(text)).alias("at")
     )
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +167,7 @@ def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
 
 def predict(documents: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """``documents`` as struct ``row`` with lang_pred and score."""
-    rows = documents.select(F.struct(*(documents[c] for c in documents.columns)).alias("row"), F.col(text).alias("text"))
+    rows = documents.select(F.struct(*(named(c) for c in documents.columns)).alias("row"), named(text).alias("text"))
     held = documents.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +188,7 @@ def predict(documents: DataFrame, model: Model | None, text: str = "text") -> Da
                 ["row", "lang_pred", "score"],
             )
 
-    return rows.mapInArrow(judge, f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double")
+    return rows.mapInArrow(judge, fields(row=rows.schema["row"].dataType, lang_pred="string", score="double"))
 
 
 def op8_language(spark, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakekit.llm.columns import fields, named
 from lakekit.llm.textblocks import VISIBLE, Piece, as_text, covered, mix, per_doc_sum, pieces
 
 MIN_WORDS = 10
@@ -126,15 +127,14 @@ def _dup_lines(text: bytes) -> int:
 
 def measure(documents: DataFrame, text: str = "text", repeat_words: int = REPEAT_WORDS) -> DataFrame:
     """``documents`` as struct ``row`` with its counts of words, symbols, lines and repeats."""
-    rows = documents.select(F.struct(*(documents[c] for c in documents.columns)).alias("row"), F.col(text).alias("text"))
+    rows = documents.select(F.struct(*(named(c) for c in documents.columns)).alias("row"), named(text).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = _measure(as_text(batch.column("text")), repeat_words)
             yield pa.RecordBatch.from_arrays([batch.column("row"), *map(pa.array, values)], ["row", *_FIELDS])
 
-    fields = ", ".join(f"{f} long" for f in _FIELDS)
-    return rows.mapInArrow(count, f"row {rows.schema['row'].dataType.simpleString()}, {fields}")
+    return rows.mapInArrow(count, fields(row=rows.schema["row"].dataType, **dict.fromkeys(_FIELDS, "long")))
 
 
 def verdict(

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakekit.llm.blocks import as_table, pack, split_by, unpack
+from lakekit.llm.columns import named
 from lakekit.llm.linear import fold
 from lakekit.llm.textblocks import VISIBLE, Piece, mix, pieces
 from lakekit.session import scratch_path
@@ -145,10 +146,10 @@ def _divide(a: np.ndarray, b: np.ndarray | float) -> np.ndarray:
 def score(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``documents`` as struct ``row`` with held_out, n_tokens, n_known, train_tokens, base_score and score."""
     spark = documents.sparkSession
-    part = fold(F.col(doc_id), FOLDS)
+    part = fold(named(doc_id), FOLDS)
     rows = documents.select(
-        F.struct(*(documents[c] for c in documents.columns)).alias("row"),
-        F.coalesce(text, F.lit("")).alias("text"),
+        F.struct(*(named(c) for c in documents.columns)).alias("row"),
+        F.coalesce(named(text), F.lit("")).alias("text"),
         (part == HELD).alias("held_out"),
         (part == DELETED).alias("deleted"),
     ).withColumn("h", F.md5("text"))

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakekit.llm.blocks import as_table, pack, ranges, split_by, unpack
+from lakekit.llm.columns import named
 from lakekit.llm.suffixes import Strings, common_prefixes, suffix_array
 from lakekit.llm.textblocks import Piece, covered, hash_ranges, mix, pieces
 
@@ -255,7 +256,7 @@ def _judge(documents: DataFrame, doc_id: str, text: str, length: int, with_text:
     if not 2 * _GRAM <= length <= 4096:
         raise ValueError(f"strings of {length} bytes are not supported")
     rows = documents.select(
-        F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("id"), F.coalesce(text, F.lit("")).alias("text")
+        F.coalesce(named(doc_id).cast("long"), F.lit(_NO_ID)).alias("id"), F.coalesce(named(text), F.lit("")).alias("text")
     )
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks, n_anchors, n_contexts = (total // size + 1 for size in (BLOCK_BYTES, ANCHOR_BUCKET_BYTES, CONTEXT_BUCKET_BYTES))
@@ -298,11 +299,11 @@ def repeated(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     """
     columns = [c for c in documents.columns if not (with_text and c == text)]
     rows = documents.select(
-        F.struct(*(documents[c] for c in columns)).alias("row"),
-        F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("id"),
-        F.md5(F.coalesce(text, F.lit(""))).alias("h"),
-        F.octet_length(F.coalesce(text, F.lit(""))).cast("long").alias("n_bytes"),
-        F.col(text).isNull().alias("was_null"),
+        F.struct(*(named(c) for c in columns)).alias("row"),
+        F.coalesce(named(doc_id).cast("long"), F.lit(_NO_ID)).alias("id"),
+        F.md5(F.coalesce(named(text), F.lit(""))).alias("h"),
+        F.octet_length(F.coalesce(named(text), F.lit(""))).cast("long").alias("n_bytes"),
+        named(text).isNull().alias("was_null"),
     )
     found = rows.join(_judge(documents, doc_id, text, length, with_text), "h")
     # A later copy of a text has nothing new in it.
@@ -322,7 +323,7 @@ def repeated(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", l
 def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """``documents`` with the repeated strings cut out of ``text``; rows of which nothing is left go."""
     found = repeated(documents, doc_id, text, length, with_text=True).where("n_removed = 0 OR n_removed < n_bytes")
-    return found.select(*(F.col("kept").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in documents.columns))
+    return found.select(*(F.col("kept").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in documents.columns))
 
 
 def op7_substrings(spark, sf_dir: str) -> DataFrame:

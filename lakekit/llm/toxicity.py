@@ -324,7 +324,7 @@ def _sample(
     documents: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, sample: int
 ) -> tuple[DataFrame, dict[int, int]]:
     """At most about ``sample`` labelled texts, kept in the shared folder, and how many labels of each kind there are."""
-    known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).cast("int").alias("y"))
+    known = labels.where(named(label).isin(0, 1)).groupBy(named(doc_id).alias("id")).agg(F.max(named(label)).cast("int").alias("y"))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("y") == 1, sample / 2 / max(1, counts.get(1, 0))).otherwise(sample / 2 / max(1, counts.get(0, 0)))
     picked = known.where(chance(F.col("id")) < share)

@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakekit.llm.columns import named
+
 BROADCAST_RULES = 100_000
 SALTS = 64
 RULES = [
@@ -55,8 +57,8 @@ def judge(
     # The lengths that rules' paths have: few, however many rules there are.
     lengths = sorted(r["n"] for r in rules.where("path IS NOT NULL").select(F.length("path").alias("n")).distinct().collect())
     longest = max(lengths, default=0)
-    host, path = host_and_path(F.col(url))
-    rows = pages.select(F.struct(*(pages[c] for c in pages.columns)).alias("row"), host.alias("host"), path.alias("path"))
+    host, path = host_and_path(named(url))
+    rows = pages.select(F.struct(*(named(c) for c in pages.columns)).alias("row"), host.alias("host"), path.alias("path"))
     rows = rows.withColumn("path_head", F.substring("path", 1, longest))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)))
     keys = rows.select("host", "path_head", "salt").distinct()
