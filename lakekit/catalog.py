@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from contextlib import contextmanager
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,18 +27,21 @@ class Catalog:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.tables: dict[str, DataFrame] = {}
+        self.stored: set[str] = set()
 
-    def register(self, name: str, df: DataFrame) -> str:
+    def register(self, name: str, df: DataFrame, stored: bool = False) -> str:
+        """Name a table; ``stored`` says that it is all rows of Parquet files, which can be counted by their footers."""
         name = table_name(name)
         df.createOrReplaceTempView(name)
         self.tables[name] = df
+        (self.stored.add if stored else self.stored.discard)(name)
         return name
 
     def ingest_csv(self, name: str, path: str, **read) -> int:
         return self.spark.table(self.register(name, read_csv(self.spark, path, **read))).count()
 
     def ingest_parquet(self, name: str, path: str) -> int:
-        return self.spark.table(self.register(name, read_parquet(self.spark, path))).count()
+        return self.spark.table(self.register(name, read_parquet(self.spark, path), stored=True)).count()
 
     def ingest_json(self, name: str, path: str, **read) -> int:
         return self.spark.table(self.register(name, read_json(self.spark, path, **read))).count()
@@ -57,28 +62,33 @@ class Catalog:
         sinks.export_csv(self.tables[name], path)
 
     def list_tables(self) -> DataFrame:
-        """Every table with its row count and columns ``(name, type)``; one job counts all."""
-        parts = []
-        for name, df in self.tables.items():
-            columns = F.array(
-                *[
-                    F.struct(F.lit(f.name).alias("name"), F.lit(f.dataType.simpleString()).alias("type"))
-                    for f in df.schema.fields
-                ]
-            )
-            parts.append(
-                df.agg(F.count("*").alias("rows")).select(
-                    F.lit(name).alias("table"), "rows", columns.alias("columns")
-                )
-            )
-        if not parts:
-            return self.spark.createDataFrame(
-                [], "table string, rows bigint, columns array<struct<name:string,type:string>>"
-            )
-        result = parts[0]
+        """Every table with its row count and columns ``(name, type)``; one job counts all.
+
+        Tables out of Parquet files are counted by one scan of all their footers, whatever their number.
+        """
+        kinds = "array<struct<name:string,type:string>>"
+        if not self.tables:
+            return self.spark.createDataFrame([], f"table string, rows bigint, columns {kinds}")
+        schemas = [(name, [(f.name, f.dataType.simpleString()) for f in df.schema]) for name, df in self.tables.items()]
+        columns = self.spark.createDataFrame(schemas, f"table string, columns {kinds}")
+        parts = [df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), "rows") for name, df in self.tables.items() if name not in self.stored]
+        if self.stored:
+            parts.append(self._stored_rows())
+        counts = parts[0]
         for part in parts[1:]:
-            result = result.unionByName(part)
-        return result
+            counts = counts.unionByName(part)
+        return columns.join(counts, "table", "left").select("table", F.coalesce("rows", F.lit(0)).alias("rows"), "columns")
+
+    def _stored_rows(self) -> DataFrame:
+        """(table, rows) of the tables out of Parquet files, with no column read."""
+        files = [(re.sub("^file:/+", "file:/", uri), name) for name in sorted(self.stored) for uri in self.tables[name].inputFiles()]
+        owners = self.spark.createDataFrame(files, "file string, table string")
+        if not files:
+            return owners.select("table", F.lit(0).cast("bigint").alias("rows"))
+        # A column that no file has: the reader takes the number of rows from the footers.
+        rows = self.spark.read.schema("`\u0001` int").parquet(*sorted({unquote(uri) for uri, _ in files}))
+        counted = rows.groupBy(F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias("file")).agg(F.count("*").alias("n"))
+        return owners.join(counted, "file").groupBy("table").agg(F.sum("n").alias("rows"))
 
     def table_columns(self) -> DataFrame:
         """One row per table and column."""
@@ -93,9 +103,12 @@ class Catalog:
             return None
         return [{"name": f.name, "type": f.dataType.simpleString()} for f in df.schema.fields]
 
-    def schema_lines(self) -> DataFrame:
-        """One line per table: name, rows, columns and canonical types."""
-        parts = F.transform("columns", lambda c: F.concat(c["name"], F.lit(" ("), c["type"], F.lit(")")))
+    def schema_lines(self, canonical: bool = False) -> DataFrame:
+        """One line per table: name, rows, columns and their types, as Spark names them or by canonical names."""
+        types = {f.dataType.simpleString(): canonical_type(f.dataType) for df in self.tables.values() for f in df.schema}
+        names = F.create_map(*(F.lit(x) for pair in sorted(types.items()) for x in pair)) if canonical and types else None
+        kind = (lambda c: names[c["type"]]) if names is not None else (lambda c: c["type"])
+        parts = F.transform("columns", lambda c: F.concat(c["name"], F.lit(" ("), kind(c), F.lit(")")))
         return self.list_tables().select(
             "table", F.format_string("Table '%s' (%d rows): %s", "table", "rows", F.array_join(parts, ", ")).alias("line")
         )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lakekit.functions.fixed import API_DOC_NAMES, DATA_SUFFIXES, LICENSE_NAMES, SAMPLE_NAME_STARTS
 from lakekit.operators.corpus import file_checks
 from lakekit.operators.governance import license_of, mentions_api, rank_in, readme_rank, root_name
+from lakekit.operators.keyfilter import FILTER_FROM, without_keys
 from lakekit.operators.ordering import first_per_key
 
 
@@ -130,18 +131,17 @@ def quality_gate(repos: DataFrame, minimum: float = 5.0) -> DataFrame:
 
 
 def candidate_select(
-    results: DataFrame, blacklist: DataFrame, seeds: DataFrame, min_stars: int, order: str = "seq"
+    results: DataFrame, blacklist: DataFrame, seeds: DataFrame, min_stars: int, order: str = "seq", filter_from: int = FILTER_FROM
 ) -> DataFrame:
     """Search results worth fetching, then the seed projects.
 
     Results below ``min_stars`` or on the blacklist are dropped and the first
     of each URL kept. Seeds on the blacklist are dropped; a seed that is also
-    a result stays twice.
+    a result stays twice. A blacklist of ``filter_from`` URLs or more is asked by a Bloom filter first.
     """
-    blocked = blacklist.select("repo_url").distinct()
-    unique = first_per_key(results.filter(F.col("stars") >= min_stars), ["repo_url"], [F.col(order)])
-    kept = unique.join(blocked, "repo_url", "left_anti").withColumn("origin", F.lit("search"))
-    known = seeds.join(blocked, "repo_url", "left_anti").withColumn("origin", F.lit("seed"))
+    wanted = without_keys(results.filter(F.col("stars") >= min_stars), blacklist, "repo_url", filter_from)
+    kept = first_per_key(wanted, ["repo_url"], [F.col(order)]).withColumn("origin", F.lit("search"))
+    known = without_keys(seeds, blacklist, "repo_url", filter_from).withColumn("origin", F.lit("seed"))
     return kept.unionByName(known, allowMissingColumns=True)
 
 

@@ -683,6 +683,7 @@ ORACLES: dict[str, str] = {
 for _name, (_spark_sql, _check) in conformance.STATEMENTS.items():
     ORACLES[_name] = _check or _spark_sql
 
+ORACLES["candidate_select_filtered"] = ORACLES["candidate_select"]
 # The stored indexes answer the same questions as the scans.
 for _name in ("search_topk", "search_batch", "search_substring", "search_sidebar"):
     ORACLES[f"index_{_name}"] = ORACLES[_name]

@@ -377,14 +377,8 @@ def list_tables(spark, sf_dir):
 def schema_context(spark, sf_dir):
     catalog = Catalog(spark)
     for name in _CATALOG:
-        df = table(spark, sf_dir, name)
-        catalog.register(name, df)
-    lines = []
-    for name in _CATALOG:
-        fields = ", ".join(f"{f.name} ({canonical_type(f.dataType)})" for f in catalog.tables[name].schema.fields)
-        counted = catalog.tables[name].agg(F.count("*").alias("rows"))
-        lines.append(counted.select(F.format_string(f"Table '{name}' (%d rows): {fields}", "rows").alias("line")))
-    return csv.union_all(lines)
+        catalog.ingest_parquet(name, f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return catalog.schema_lines(canonical=True).select("line")
 
 
 # --- browse ----------------------------------------------------------------
@@ -681,8 +675,7 @@ def quality_gate(spark, sf_dir):
     return quality.quality_gate(_quality(spark, sf_dir)).select("repo", "quality_score")
 
 
-@query
-def candidate_select(spark, sf_dir):
+def _candidates(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Orders as search results per customer page, one market segment blacklisted, suppliers as seeds."""
 
     def url(column):
@@ -697,7 +690,18 @@ def candidate_select(spark, sf_dir):
     seeds = table(spark, sf_dir, "supplier").select(
         url("s_suppkey").alias("repo_url"), F.col("s_acctbal").cast("bigint").alias("stars"), F.col("s_suppkey").alias("seq")
     )
-    return quality.candidate_select(results, blacklist, seeds, min_stars=200_000)
+    return results, blacklist, seeds
+
+
+@query
+def candidate_select(spark, sf_dir):
+    return quality.candidate_select(*_candidates(spark, sf_dir), min_stars=200_000)
+
+
+@query
+def candidate_select_filtered(spark, sf_dir):
+    """The same with a Bloom filter before the blacklist, as for a huge one."""
+    return quality.candidate_select(*_candidates(spark, sf_dir), min_stars=200_000, filter_from=0)
 
 
 @query
