@@ -493,16 +493,25 @@ def csv_profile(spark, sf_dir):
     return _stats(profile.csv_profile(_ragged(spark, sf_dir)))
 
 
-@query
-def date_columns(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select(
+def _dated(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(
         "o_orderkey",
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"),
         F.when(F.col("o_orderkey") % 4 == 0, "").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("gaps"),
         F.when(F.col("o_orderkey") % 2 == 0, "").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("holes"),
         "o_orderstatus",
     )
-    return _stats(profile.date_columns(orders, "o_orderkey"))
+
+
+@query
+def date_columns(spark, sf_dir):
+    return _stats(profile.date_columns(_dated(spark, sf_dir), "o_orderkey"))
+
+
+@query
+def date_columns_whole(spark, sf_dir):
+    """The same by all cells of every column."""
+    return _stats(profile.date_columns(_dated(spark, sf_dir), "o_orderkey", rows=None))
 
 
 def _guessable(spark, sf_dir) -> DataFrame:
@@ -523,10 +532,25 @@ def infer_types(spark, sf_dir):
     return _stats(profile.infer_types(_guessable(spark, sf_dir), "o_orderkey"))
 
 
+@query
+def infer_types_whole(spark, sf_dir):
+    """The same by all rows."""
+    return _stats(profile.infer_types(_guessable(spark, sf_dir), "o_orderkey", rows=None))
+
+
+def _guessed_tables(spark, sf_dir) -> dict:
+    return {"customer": (_customer_text(spark, sf_dir), "c_custkey"), "orders": (_guessable(spark, sf_dir), "o_orderkey")}
+
+
 @query
 def infer_types_batch(spark, sf_dir):
-    customers, orders = _customer_text(spark, sf_dir), _guessable(spark, sf_dir)
-    return _stats(profile.infer_types_batch({"customer": (customers, "c_custkey"), "orders": (orders, "o_orderkey")}))
+    return _stats(profile.infer_types_batch(_guessed_tables(spark, sf_dir)))
+
+
+@query
+def infer_types_batch_whole(spark, sf_dir):
+    """The same by all rows."""
+    return _stats(profile.infer_types_batch(_guessed_tables(spark, sf_dir), rows=None))
 
 
 @query
@@ -534,6 +558,12 @@ def schema_json(spark, sf_dir):
     return profile.schema_json(profile.infer_types(_guessable(spark, sf_dir), "o_orderkey"), "orders-1")
 
 
+@query
+def schema_json_whole(spark, sf_dir):
+    """The same by all rows."""
+    return profile.schema_json(profile.infer_types(_guessable(spark, sf_dir), "o_orderkey", rows=None), "orders-1")
+
+
 @query
 def chart_suggestion(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
