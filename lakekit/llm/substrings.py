@@ -10,10 +10,11 @@ megabytes, which talk to each other through two shuffles of packed arrays:
    each block and content. There their suffixes are sorted in two stages; neighbours that share ``length`` bytes are
    one string, and the smallest id that holds it goes back to the blocks.
 
-Then each block cuts its texts. Blocks and buckets have a bounded size, identical content travels once for a block,
-and what a frequent passage sends follows the number of blocks and its variants, not its copies.
+Then each block cuts its texts. Blocks have a bounded size, identical content travels once for a block, and what a
+frequent passage sends follows the number of blocks and its variants, not its copies. A bucket holds all surroundings of
+its anchors, so one gram with very many different surroundings is one large sort.
 
-Cases: a null text is an empty one; a null id is larger than all others and equal ids are not smaller than each other;
+Cases: ids are whole numbers; a null text is an empty one; a null id is larger than all others and equal ids are not smaller than each other;
 texts shorter than ``length`` stay; repeated rows are judged alike; an empty table gives no rows. Texts and contexts
 are told apart by MD5 and by 64-bit hashes, strings by their bytes.
 """
