@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,15 +21,19 @@ def salted(left: DataFrame, right: DataFrame, key: str, spread: Column, salts: i
     return dealt.join(copies, [key, "_salt"]).drop("_salt")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: str | None = None) -> DataFrame:
     """(node, label) for every node of ``edges`` (columns a and b); the label is the least node of its component.
 
     Each round takes the least label among a node's neighbours, then that label's own label, so long chains shrink
-    by half. Rounds end in a table in the shared folder; the last is one that changes nothing.
+    by half. Rounds end in a table in the shared folder, below ``scratch`` if given; the last is one that changes nothing.
     """
     spark, kind = edges.sparkSession, edges.schema["a"].dataType.simpleString()
+
+    def place(label: str) -> str:
+        return f"{scratch}/{label}-{uuid.uuid4().hex}" if scratch else scratch_path(spark, label)
+
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct()
-    folder = scratch_path(spark, "edges")
+    folder = place("edges")
     both.write.parquet(folder)
     both = spark.read.schema(f"a {kind}, b {kind}").parquet(folder)
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label"))
@@ -39,7 +45,7 @@ def components(edges: DataFrame) -> DataFrame:
         moved = salted(best, jump, "next", F.xxhash64("node"), SALTS).select(
             "node", F.least("next", "further").alias("label"), (F.least("next", "further") != F.col("label")).alias("changed")
         )
-        folder = scratch_path(spark, "labels")
+        folder = place("labels")
         moved.write.parquet(folder)
         moved = spark.read.schema(f"node {kind}, label {kind}, changed boolean").parquet(folder)
         labels = moved.select("node", "label")

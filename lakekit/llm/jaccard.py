@@ -30,6 +30,7 @@ from lakekit.llm.columns import named
 from lakekit.llm.components import components, salted
 from lakekit.llm.textblocks import ALNUM, Piece, mix, pieces
 from lakekit.session import scratch_path
+from lakekit.storage import delete_path
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -296,12 +297,15 @@ def join_similar(
     trees: int = TREES,
     depth: int = DEPTH,
     recall: float = RECALL,
+    scratch: str | None = None,
 ) -> DataFrame:
     """``documents`` as struct ``row`` with text_hash, class, class_id, class_size, n_links and n_set_links.
 
     ``class`` names the class (null for a text without words, which stands alone), ``class_id`` is the least id among documents that are linked, directly or through others; ``n_links`` counts the
-    documents at the threshold or above, copies included, ``n_set_links`` the different sets among them.
+    documents at the threshold or above, copies included, ``n_set_links`` the different sets among them. The result reads
+    tables that are written below ``scratch``, a folder of its own in the shared one unless given.
     """
+    scratch = scratch or scratch_path(documents.sparkSession, "jaccard")
     shortest, n_hashes = prefix_depth(threshold, trees, depth, recall), trees * depth
     levels = depth - shortest + 1
     rows = documents.select(
@@ -316,17 +320,17 @@ def join_similar(
     # 1. A row for each distinct text.
     schema = "h string, set string, size long, copies long, nodes array<long>, sketch binary"
     signed = packed.groupBy("block").applyInArrow(lambda table: _sign(table, words, trees, depth, shortest), schema)
-    signed = _kept(signed, "signed", schema)
+    signed = _kept(signed, f"{scratch}/signed", schema)
     full = signed.where("set IS NOT NULL")
     sets = full.groupBy("set").agg(
         F.min("h").alias("h"), F.sum("copies").alias("copies"), F.first("nodes").alias("nodes"), F.first("sketch").alias("sketch")
     )
-    sets = _kept(sets, "sets", "set string, h string, copies long, nodes array<long>, sketch binary")
+    sets = _kept(sets, f"{scratch}/sets", "set string, h string, copies long, nodes array<long>, sketch binary")
 
     # 2. Sets that meet under a node that one of them asks for, and which of them are likely pairs.
     members = sets.select("set", F.posexplode("nodes").alias("place", "node"))
     crowded = members.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-    met = _kept(members.join(crowded, "node"), "nodes", "node long, set string, place int, n long")
+    met = _kept(members.join(crowded, "node"), f"{scratch}/nodes", "node long, set string, place int, n long")
     n_met = met.count()
     bucket = F.pmod(F.xxhash64("set"), F.lit(n_met // CHOICE_BUCKET_ROWS + 1))
     asked = met.groupBy(bucket.alias("bucket")).applyInArrow(
@@ -338,12 +342,12 @@ def join_similar(
     likely = dealt.select("task", "node", "i", "j", "own", "set", "sketch").groupBy("task").applyInArrow(
         lambda table: _likely(table, least), "a string, b string"
     )
-    candidates = components(likely)
+    candidates = components(likely, scratch)
 
     # 3. Exact similarities within each component of likely pairs.
     crowd = candidates.groupBy("label").agg(F.count("*").alias("n"))
     wanted = candidates.join(crowd, "label").join(sets, F.col("node") == F.col("set")).select("set", "h", "copies", F.col("label").alias("component"), "n")
-    wanted = _kept(wanted, "candidates", "set string, h string, copies long, component string, n long")
+    wanted = _kept(wanted, f"{scratch}/candidates", "set string, h string, copies long, component string, n long")
     wanted_at = wanted.withColumn("block", F.pmod(F.xxhash64("h"), F.lit(total // BLOCK_BYTES + 1)))
     found = packed.groupBy("block").cogroup(wanted_at.groupBy("block")).applyInArrow(
         lambda texts, asked: _grams(texts, asked, words), "set string, copies long, component string, n long, grams binary"
@@ -352,9 +356,9 @@ def join_similar(
     verified = dealt.select("task", "component", "i", "j", "own", "set", "copies", "grams").groupBy("task").applyInArrow(
         lambda table: _verify(table, threshold), "set string, root string, documents long, sets long"
     )
-    verified = _kept(verified, "links", "set string, root string, documents long, sets long")
+    verified = _kept(verified, f"{scratch}/links", "set string, root string, documents long, sets long")
     links = verified.groupBy("set").agg(F.sum("documents").alias("documents"), F.sum("sets").alias("sets"))
-    classes = components(verified.select(F.col("set").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "set")
+    classes = components(verified.select(F.col("set").alias("a"), F.col("root").alias("b")), scratch).withColumnRenamed("node", "set")
 
     # 4. Back to the documents.
     by_text = signed.join(links, "set", "left").join(classes, "set", "left").select(
@@ -365,7 +369,7 @@ def join_similar(
     # Texts without words stand alone, each row by itself.
     heads = own.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
     # From a table of its own, so that the join below may split the rows of a large class.
-    heads = _kept(heads, "classes", f"class string, class_id {own.schema['id'].dataType.simpleString()}, class_size long")
+    heads = _kept(heads, f"{scratch}/classes", f"class string, class_id {own.schema['id'].dataType.simpleString()}, class_size long")
     done = own.join(heads, "class", "left").join(copies, "set", "left")
     return done.select(
         "row",
@@ -378,9 +382,8 @@ def join_similar(
     )
 
 
-def _kept(frame: DataFrame, label: str, schema: str) -> DataFrame:
+def _kept(frame: DataFrame, folder: str, schema: str) -> DataFrame:
     """The frame as a table in the shared folder."""
-    folder = scratch_path(frame.sparkSession, label)
     names = [f.split()[0] for f in schema.split(", ")]
     frame.select(*names).write.option("compression", "zstd").parquet(folder)
     return frame.sparkSession.read.schema(schema).parquet(folder)
@@ -405,10 +408,13 @@ def _grams(texts: pa.Table, asked: pa.Table, n: int) -> pa.Table:
 def keep_one(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One document of every class, with its own columns: the least id, then the least MD5 of the text; of equal rows, one.
 
-    Classes are found from ids and texts alone; the decisions then meet the rows, whose texts travel once.
+    Classes are found from ids and texts alone; the decisions then meet the rows, whose texts travel once. What the join
+    wrote on its way goes when the decisions are written.
     """
+    spark = documents.sparkSession
+    scratch = scratch_path(spark, "jaccard")
     light = documents.select(named(doc_id).alias("id"), named(text).alias("text"))
-    found = join_similar(light, "id", "text", **options).where("class_size > 1").select("row.id", "text_hash", "class")
+    found = join_similar(light, "id", "text", **options, scratch=scratch).where("class_size > 1").select("row.id", "text_hash", "class")
     members = found.groupBy("id", "text_hash", "class").agg(F.count("*").alias("n"))
     first = F.struct(F.col("id").isNull(), "id", "text_hash")
     winners = members.groupBy("class").agg(F.min(first).alias("first"))
@@ -416,7 +422,8 @@ def keep_one(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", *
         F.col("id").alias("own_id"), F.col("text_hash").alias("own_h"), (F.col("first") == first).alias("wins"), "n"
     )
     types = light.schema["id"].dataType.simpleString()
-    decided = _kept(decided, "decisions", f"own_id {types}, own_h string, wins boolean, n long")
+    decided = _kept(decided, scratch_path(spark, "decisions"), f"own_id {types}, own_h string, wins boolean, n long")
+    delete_path(spark, scratch)
     rows = documents.select(
         F.struct(*(named(c) for c in documents.columns)).alias("row"),
         named(doc_id).alias("id"),
