@@ -227,20 +227,28 @@ def _trigrams(text: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substr(text, i, F.lit(3))))
 
 
+#: Bytes of text whose trigrams are sorted at once, whatever the size of an Arrow batch or of a text.
+_TEXT_BYTES = 1 << 20
+#: Pairs of a trigram and a record that are gathered before they are listed.
+_PAIRS = 2 << 20
+
+
+def _pairs(data: np.ndarray, ends: np.ndarray, first: int) -> np.ndarray:
+    """Distinct ``trigram << 32 | row`` of texts that lie one behind the other; their rows count from ``first``."""
+    if len(data) < 3:
+        return np.zeros(0, np.int64)
+    row = np.repeat(np.arange(first, first + len(ends) - 1), np.diff(ends))
+    code = data[:-2].astype(np.int64) << 48 | data[1:-1].astype(np.int64) << 40 | data[2:].astype(np.int64) << 32 | row[:-2]
+    return np.unique(code[row[:-2] == row[2:]])
+
+
 def _byte_trigrams(batches: Iterator[pa.RecordBatch], key: str, width: int) -> Iterator[pa.RecordBatch]:
     """(gram, block, offsets) of texts: which records of a block of keys hold three bytes in a row."""
 
-    def lists(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(held).sort_by(key)
-        keys = table.column(key).to_numpy()
-        text = table.column("text").combine_chunks().cast(pa.large_binary())
-        size = pc.binary_length(text).to_numpy()
-        ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
-        data = np.frombuffer(text.buffers()[2], np.uint8)[ends[0] : ends[-1]].astype(np.int64) if ends[-1] > ends[0] else np.zeros(0, np.int64)
-        row = np.repeat(np.arange(len(keys)), size)
-        gram = (data[:-2] << 16) | (data[1:-1] << 8) | data[2:] if len(data) > 2 else np.zeros(0, np.int64)
-        inside = row[: len(gram)] == row[2:] if len(data) > 2 else np.zeros(0, bool)
-        code = np.unique((gram[inside] << 32) | row[: len(gram)][inside])
+    def lists(held: list[np.ndarray], owners: list[np.ndarray]) -> pa.RecordBatch:
+        keys, rank = np.unique(np.concatenate(owners), return_inverse=True)
+        code = np.concatenate(held)
+        code = np.unique(code >> 32 << 32 | rank[code & 0xFFFFFFFF])
         gram, row = code >> 32, code & 0xFFFFFFFF
         block, offset = keys[row] // width, (keys[row] % width).astype("<u2")
         cut = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (block[1:] != block[:-1])])) if len(code) else np.zeros(0, np.int64)
@@ -248,19 +256,36 @@ def _byte_trigrams(batches: Iterator[pa.RecordBatch], key: str, width: int) -> I
         offsets = pa.BinaryArray.from_buffers(pa.binary(), len(cut), [None, bounds.buffers()[1], pa.py_buffer(offset.tobytes())])
         return pa.RecordBatch.from_arrays([pa.array(gram[cut].astype(np.int32)), pa.array(block[cut]), offsets], ["gram", "block", "offsets"])
 
-    held, taken = [], 0
+    def pieces(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(bytes, ends, keys) of few texts each; a longer text comes in pieces that share two bytes."""
+        keys, text = batch.column(key).to_numpy(), batch.column("text").cast(pa.large_binary())
+        if not len(text):
+            return
+        ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+        data = np.frombuffer(text.buffers()[2] or b"", np.uint8)
+        at = 0
+        while at < len(keys):
+            to = int(np.searchsorted(ends, ends[at] + _TEXT_BYTES, "right")) - 1
+            if to > at:
+                yield data[ends[at] : ends[to]], ends[at : to + 1], keys[at:to]
+            else:
+                to = at + 1
+                for begin in range(ends[at], ends[to], _TEXT_BYTES):
+                    piece = data[begin : min(begin + _TEXT_BYTES + 2, ends[to])]
+                    yield piece, np.array([0, len(piece)]), keys[at:to]
+            at = to
+
+    held, owners, taken, rows = [], [], 0, 0
     for batch in batches:
-        held.append(batch)
-        taken += pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
-        if taken >= _TEXT_BYTES:
-            yield lists(held)
-            held, taken = [], 0
+        for data, ends, keys in pieces(batch):
+            held.append(_pairs(data, ends, rows))
+            owners.append(keys)
+            taken, rows = taken + len(held[-1]), rows + len(keys)
+            if taken >= _PAIRS:
+                yield lists(held, owners)
+                held, owners, taken, rows = [], [], 0, 0
     if held:
-        yield lists(held)
-
-
-#: Bytes of text whose trigrams are sorted at once.
-_TEXT_BYTES = 8 << 20
+        yield lists(held, owners)
 
 
 def _intersect(key: str, width: int):
@@ -302,7 +327,8 @@ class TextIndex:
         listed = kept.select(F.col(key).cast("long").alias("key"), text.alias("text")).mapInArrow(
             lambda it: _byte_trigrams(it, "key", width), "gram int, block long, offsets binary"
         )
-        parts = listed.withColumn("part", F.col("gram") % PARTS).repartition(PARTS, "part").sortWithinPartitions("part", "gram", "block")
+        # As many tasks as the lists need; one folder may take several.
+        parts = listed.withColumn("part", F.col("gram") % PARTS).hint("rebalance", "part").sortWithinPartitions("part", "gram", "block")
         parts.write.mode("overwrite").partitionBy("part").parquet(f"{path}/grams")
         return cls(spark, path, key)
 

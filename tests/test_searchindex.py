@@ -1,7 +1,10 @@
 """Stored indexes against the scanning search."""
 
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_search import COLUMNS, EXPECTED, RECORDS, ranked
@@ -110,3 +113,35 @@ def test_only_candidates_are_read(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(searchindex, "LOOKED_UP", 3)
     assert sorted(r.seq for r in made.search_substring("needle").collect()) == list(range(7, 3000, 500))
 
+
+
+def listed_trigrams(texts, keys, width=4096):
+    batch = pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(texts)], ["key", "text"])
+    out = set()
+    for b in searchindex._byte_trigrams(iter([batch.slice(1), batch.slice(0, 1), batch.slice(0, 0)]), "key", width):
+        for gram, block, offsets in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            out |= {(gram, block * width + int(o)) for o in np.frombuffer(offsets, "<u2")}
+    return out
+
+
+@pytest.mark.parametrize(("piece", "pairs"), [(1 << 20, 2 << 20), (7, 5), (3, 1), (40, 1 << 20)])
+def test_trigrams_of_pieces_against_a_model(monkeypatch, piece, pairs):
+    monkeypatch.setattr(searchindex, "_TEXT_BYTES", piece)
+    monkeypatch.setattr(searchindex, "_PAIRS", pairs, raising=False)
+    texts = ["first", "", "städte am Fluß " * 5, "ab", "한국어", "abc", "abcabcabcabc", "", "z" * 50]
+    keys = [-3, 9000, 4095, 4096, 17, 18, 2, 5, -4097]
+    expected = {(int.from_bytes(t.encode()[i : i + 3], "big"), k) for t, k in zip(texts, keys, strict=True) for i in range(len(t.encode()) - 2)}
+    assert listed_trigrams(texts, keys) == expected
+
+
+def test_trigrams_of_large_batches_take_bounded_memory():
+    """One batch of many texts and one long text: memory follows the piece, not the batch."""
+    rnd = random.Random(1)
+    words = ["".join(rnd.choices("abcdefgh", k=6)) for _ in range(500)]
+    texts = [" ".join(rnd.choices(words, k=700)) for _ in range(2000)] + [" ".join(rnd.choices(words, k=1_000_000))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["key", "text"])
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in searchindex._byte_trigrams(iter([batch]), "key", 4096))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows > 500 and peak < 200e6
