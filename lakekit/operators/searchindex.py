@@ -41,19 +41,74 @@ def _part(value: Column | str) -> Column:
     return F.pmod(F.xxhash64(value), F.lit(PARTS)).cast("int")
 
 
-def _term_rows(repos: DataFrame, *columns: Column) -> DataFrame:
-    """``columns`` with (term, flag) for a record's index tokens and the runs of word characters in name and description."""
-    runs = F.array_distinct(words(F.coalesce("description", F.lit(""))))
-    others = F.array_distinct(F.concat(name_parts(), long_words(F.col("structure_summary"))))
-    names = F.array_distinct(words(F.coalesce("repo_name", F.lit(""))))
-    three = repos.select(*columns, runs.alias("runs"), others.alias("others"), names.alias("names"))
-    at, last = F.size("runs"), F.size("runs") + F.size("others")
-    kept = [F.col(c) for c in three.columns[: len(columns)]]
-    rows = three.select(*kept, at.alias("at"), last.alias("last"), F.posexplode(F.concat("runs", "others", "names")).alias("place", "term"))
-    # Every run of a description with more than two characters is an index token too.
-    own = F.when(F.length("term") > 2, LISTED | DESCRIBED).otherwise(DESCRIBED)
-    flag = F.when(F.col("place") < F.col("at"), own).when(F.col("place") < F.col("last"), LISTED).otherwise(NAMED)
-    return rows.where("term != ''").select(*kept, "term", flag.alias("flag"))
+#: Terms of records that are sorted into lists at once.
+_TERMS = 1 << 19
+
+
+def _term_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, block, entries, flags) of stretches of records, so that a shuffle carries lists instead of single entries.
+
+    A term may have several lists for a block, one from each stretch that holds records of it.
+    """
+
+    def lists(terms: list[pa.Array], blocks: list[np.ndarray], entries: list[np.ndarray]) -> pa.RecordBatch:
+        coded = pa.concat_arrays(terms).dictionary_encode()
+        kinds, rank = np.unique(np.concatenate(blocks), return_inverse=True)
+        # An entry is below 2^15.
+        code = np.sort(coded.indices.to_numpy().astype(np.int64) << 40 | rank << 15 | np.concatenate(entries))
+        cut = np.flatnonzero(np.concatenate([[True], code[1:] >> 15 != code[:-1] >> 15])) if len(code) else np.zeros(0, np.int64)
+        entry, first = (code & 0x7FFF).astype(np.int32), code[cut]
+        flags = np.bitwise_or.reduceat(entry & 7, cut) if len(code) else np.zeros(0, np.int32)
+        columns = [
+            coded.dictionary.take(pa.array(first >> 40)),
+            pa.array(kinds[first >> 15 & 0x1FFFFFF]),
+            pa.ListArray.from_arrays(pa.array(np.append(cut, len(code)), pa.int32()), pa.array(entry)),
+            pa.array(flags, pa.int32()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["term", "block", "entries", "flags"])
+
+    held, taken = ([], [], []), 0
+    for batch in batches:
+        sizes = [pc.fill_null(pc.list_value_length(batch.column(c)), 0).to_numpy() for c in ("runs", "others", "names")]
+        ends = np.cumsum(sum(sizes, np.zeros(batch.num_rows, np.int64)))
+        block, offset = batch.column("block").to_numpy(), batch.column("offset").to_numpy()
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            to = max(int(np.searchsorted(ends, before + _TERMS, "right")), at + 1)
+            for name, size in zip(("runs", "others", "names"), sizes, strict=True):
+                terms, row = batch.column(name).slice(at, to - at).flatten(), np.repeat(np.arange(at, to), size[at:to])
+                if name == "runs":
+                    # Every run of a description with more than two characters is an index token too.
+                    flag = np.where(pc.utf8_length(terms).to_numpy() > 2, LISTED | DESCRIBED, DESCRIBED)
+                else:
+                    flag = LISTED if name == "others" else NAMED
+                for column, value in zip(held, (terms, block[row], offset[row] * 8 + flag), strict=True):
+                    column.append(value)
+            taken += int(ends[to - 1] - before)
+            if taken >= _TERMS:
+                yield lists(*held)
+                held, taken = ([], [], []), 0
+            at = to
+    if taken:
+        yield lists(*held)
+
+
+def _term_postings(repos: DataFrame, block: Column, key: str) -> DataFrame:
+    """Lists of a record's index tokens and the runs of word characters in name and description."""
+
+    def distinct(terms: Column) -> Column:
+        return F.filter(F.array_distinct(terms), lambda t: t != "")
+
+    none = F.array().cast("array<string>")
+    three = repos.select(
+        block.alias("block"),
+        F.pmod(F.col(key), F.lit(BLOCK)).cast("long").alias("offset"),
+        distinct(words(F.coalesce("description", F.lit("")))).alias("runs"),
+        distinct(F.concat(F.coalesce(name_parts(), none), long_words(F.col("structure_summary")))).alias("others"),
+        distinct(words(F.coalesce("repo_name", F.lit("")))).alias("names"),
+    )
+    return three.mapInArrow(_term_lists, "term string, block long, entries array<int>, flags int")
 
 
 def _base(types: list[str], api: bool) -> Column:
@@ -98,19 +153,15 @@ class TermIndex:
             F.bool_or("api_docs_found").alias("api_docs_found"),
         )
         kept.write.mode("overwrite").parquet(f"{path}/blocks")
-        rows = _term_rows(repos, block.alias("block"), F.col(key)).select(
-            _part("term").alias("part"), "term", "block", (F.pmod(F.col(key), F.lit(BLOCK)) * 8 + F.col("flag")).cast("int").alias("entry")
-        )
-        # A term has a list for each block, which bounds every list.
-        lists = rows.repartition(PARTS, "part").groupBy("part", "term", "block").agg(F.collect_list("entry").alias("entries"))
-        flags = F.aggregate("entries", F.lit(0), lambda a, e: a.bitwiseOR(e.bitwiseAND(7)))
-        postings = lists.withColumn("flags", flags).sortWithinPartitions("part", "term", "block")
+        # A list holds one block at most, which bounds it; a folder takes as many tasks as its lists need.
+        lists = _term_postings(repos, block, key).withColumn("part", _part("term"))
+        postings = lists.hint("rebalance", "part").sortWithinPartitions("part", "term", "block")
         postings.write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
         # The trigrams of the terms that lie in names or descriptions.
         terms = spark.read.schema("term string, flags int, part int").parquet(f"{path}/postings").where(F.col("flags").bitwiseAND(NAMED | DESCRIBED) != 0).select("term").distinct()
         grams = terms.where(F.length("term") > 2).select("term", F.explode(_trigrams(F.col("term"))).alias("gram")).withColumn("part", _part("gram"))
         short = terms.where(F.length("term") == 2).select("term", F.col("term").alias("gram")).withColumn("part", _part("gram"))
-        every = grams.unionByName(short).repartition(PARTS, "part").sortWithinPartitions("part", "gram", "term")
+        every = grams.unionByName(short).hint("rebalance", "part").sortWithinPartitions("part", "gram", "term")
         every.write.mode("overwrite").partitionBy("part").parquet(f"{path}/grams")
         return cls(spark, path, key)
 

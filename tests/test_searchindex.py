@@ -145,3 +145,43 @@ def test_trigrams_of_large_batches_take_bounded_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert rows > 500 and peak < 200e6
+
+
+def test_terms_are_sent_as_lists(spark, monkeypatch):
+    """What is shuffled is a list for each term and block, not a row for each record that holds the term."""
+    monkeypatch.setattr(searchindex, "BLOCK", 4096)
+    rows = [(i, f"o/n{i}", "u", "tide runs far", [], [], [], False, 1.0, "Language: de", None) for i in range(3000)]
+    repos = spark.createDataFrame(rows, COLUMNS).coalesce(2)
+    lists = searchindex._term_postings(repos, F.floor(F.col("seq") / 4096).cast("long"), "seq").where("term = 'tide'").collect()
+    assert len(lists) <= 2 and {r.flags for r in lists} == {searchindex.LISTED | searchindex.DESCRIBED}
+    assert sorted(e for r in lists for e in r.entries) == [8 * i + 5 for i in range(3000)]
+
+
+@pytest.mark.parametrize("terms", [1, 5, 1 << 19])
+def test_lists_of_short_stretches_against_a_model(monkeypatch, terms):
+    monkeypatch.setattr(searchindex, "_TERMS", terms)
+    rows = [(7, 3, ["a", "tide", "été"], ["csv"], ["o"]), (7, 4, [], None, ["tide"]), (1 << 44, 4095, ["tide"], ["tide"], ["tide", "sea"]), (8, 0, None, [], [])]
+    texts = pa.list_(pa.string())
+    kinds = dict(zip(("block", "offset", "runs", "others", "names"), (pa.int64(), pa.int64(), texts, texts, texts), strict=True))
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], list(kinds))
+    found = []
+    for out in searchindex._term_lists(iter([batch.slice(0, 1), batch.slice(1), batch.slice(0, 0)])):
+        for term, block, entries, flags in zip(*(c.to_pylist() for c in out.columns), strict=True):
+            assert entries == sorted(entries) and flags == int(np.bitwise_or.reduce([e & 7 for e in entries]))
+            found += [(term, block, e) for e in entries]
+    expected = [(t, r[0], r[1] * 8 + (5 if len(t) > 2 else 4)) for r in rows for t in r[2] or []]
+    expected += [(t, r[0], r[1] * 8 + 1) for r in rows for t in r[3] or []] + [(t, r[0], r[1] * 8 + 2) for r in rows for t in r[4]]
+    assert sorted(found) == sorted(expected)
+
+
+def test_no_fixed_number_of_tasks(many, tmp_path, monkeypatch):
+    """Folders of the index are dealt out by size; a fixed number of tasks would grow with the input."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def refuse(self, n, *columns):
+        assert not isinstance(n, int), "a fixed number of partitions"
+        return DataFrame.repartition(self, n, *columns)
+
+    monkeypatch.setattr(type(many), "repartition", refuse)
+    searchindex.TermIndex.build(many, str(tmp_path / "a"))
+    searchindex.TextIndex.build(many, str(tmp_path / "b"))
