@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakekit.sources.csv import DELIMITERS, column_names, csv_tables, likely_delimiter, read_csv, split_record
-from lakekit.sources.records import BROADCAST_SPLITS, breaks_inside_quotes, file_names, is_blank_record, lines_of, quoted_records, runs
+from lakekit.sources.records import BROADCAST_SPLITS, breaks_inside_quotes, file_names, is_blank_record, lines_of, pieces, quoted_records, runs
 from lakekit.sources.tables import json_lines
 
 log = logging.getLogger(__name__)
@@ -96,7 +96,7 @@ def _cell_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays(columns, ["file", "lead", "position", "cell"])
 
     key, led = None, False
-    for batch in batches:
+    for batch in pieces(batches, "record"):
         files, starts, records, delimiters, widths = (batch.column(c).to_pylist() for c in ("file", "start", "record", "delimiter", "width"))
         blank = pc.match_substring_regex(batch.column("record"), r"\A[\x00-\x20]*\z").to_pylist()
         out: tuple[list, ...] = ([], [], [], [])

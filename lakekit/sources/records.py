@@ -29,6 +29,8 @@ from lakekit.session import scratch_path
 
 #: Up to so many splits, a row of some 50 bytes each, their states are broadcast; beyond that they are joined by a shuffle.
 BROADCAST_SPLITS = 500_000
+#: Bytes of text that Python takes out of an Arrow batch at once.
+PIECE = 1 << 20
 
 _SUMMARY = (
     "file long, start long, first_id long, n long, full long, end_out boolean, tail_out long, end_in boolean, head_in long, tail_in long"
@@ -92,6 +94,17 @@ def _steps(values: pa.Array, steps: tuple[re.Pattern, re.Pattern]) -> Iterator[t
         yield i, (steps[0].match(line) is not None, steps[1].match(line) is not None)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """Stretches of rows with few bytes of text, whatever Spark puts into a batch; a longer text is a stretch of its own."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            to = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECE, "right")), at + 1)
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def runs(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, int]]:
     """(file, start, first row, row after the last) of each stretch of rows of one split."""
     file, start = batch.column("file").to_numpy(), batch.column("start").to_numpy()
@@ -135,7 +148,7 @@ def _summary(batches: Iterator[pa.RecordBatch], delimiter: str) -> Iterator[pa.R
         columns = zip(*(w.row() for w in done), strict=True)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    for batch in batches:
+    for batch in pieces(batches, "value"):
         done, ids = [], batch.column("id")
         for file, start, a, b in runs(batch):
             if walk is None or walk.key != (file, start):
@@ -191,7 +204,7 @@ def split_states(lines: DataFrame, delimiter: str = ",") -> DataFrame:
 def _cut(batches: Iterator[pa.RecordBatch], delimiter: str) -> Iterator[pa.RecordBatch]:
     """The records that lie within one split: those between its shared first and last lines."""
     steps, key, at, inside, held, held_at = quote_steps(delimiter), None, 0, False, [], 0
-    for batch in batches:
+    for batch in pieces(batches, "value"):
         out = []
         for file, start, a, b in runs(batch):
             head, tail = batch.column("head")[a].as_py(), batch.column("tail")[a].as_py()

@@ -3,8 +3,10 @@
 import csv as python_csv
 import io
 import random
+import tracemalloc
 import uuid
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -230,3 +232,22 @@ def test_directory_of_part_files_and_damaged_tables(spark, tmp_path):
     assert dict(texts["t"].dtypes) == {"x": "string", "d": "string"}
     assert profile.column_stats(tables["t"]).count() == 2
     assert tables["t"].agg(F.sum("x")).first()[0] == 6.5
+
+
+def test_memory_of_python_follows_a_piece_and_not_the_batch():
+    """One batch of 32 MB of quoted lines goes through each step, and every record comes out."""
+    n, line = 4000, '"' + "é, " * 2000 + '",7'
+    numbers = {c: pa.array([v] * n, pa.int64()) for c, v in {"file": 1, "start": 0, "first_id": 0, "id": 0, "head": 0, "tail": n, "width": 2}.items()}
+    columns = numbers | {"value": pa.array([line] * n), "record": pa.array([line] * n), "delimiter": pa.array([","] * n)}
+    steps = {
+        "walked": (lambda it: records._summary(it, ","), ("value", "file", "start", "id"), 1),
+        "cut": (lambda it: records._cut(it, ","), ("value", "file", "start", "head", "tail"), n),
+        "cells": (inspect._cell_rows, ("file", "start", "record", "delimiter", "width"), 2 * n),
+    }
+    for name, (step, taken, rows) in steps.items():
+        batch = pa.RecordBatch.from_arrays([columns[c] for c in taken], list(taken))
+        tracemalloc.start()
+        assert sum(b.num_rows for b in step(iter([batch]))) == rows, name
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 12e6, (name, peak)
