@@ -4,7 +4,10 @@ Templates are phrases and headers that state a license, and passages of whole li
 is cut into windows of eight word shingles that overlap by half, templates into pieces of four. A piece that
 occurs whole lies in some window, where its Jaccard similarity is one half or more; with one hash a band and ``BANDS``
 bands, each of its own, it is retrieved with probability 1 - 2^-BANDS, 0.9998 for twelve. Templates of up to four shingles, all of which
-must occur, are looked up by their first shingle, with certainty. Bands meet by an equi-join.
+must occur, are looked up by their first shingle, with certainty.
+Two bands are equal when the shingles that give them are. So a text's shingles meet those that give a template's bands by an
+equi-join, and only where one is found is it asked whether it is the least of its window in that band: words that no
+template holds cost a lookup, not ``BANDS`` hashes, and no window is left out by it.
 Each retrieved template is verified by exact containment: the share of its shingles in the stretch of text around the
 window, which reaches a template's length beyond it on either side. A notice that names a version needs a shingle that
 covers it, so one of version 2 is no near copy of that of version 3; "GNU General" is no near copy of "GNU Lesser General".
@@ -68,7 +71,7 @@ TEMPLATES = [
     ("All rights reserved", "All rights reserved."),
 ]
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), _BREAK), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), _BREAK), "")
 
 
 def shingles(hashes: Column, k: int) -> Column:
@@ -88,8 +91,8 @@ def _hash_of(band: int) -> Callable[[Column], Column]:
 
 
 def window_bands(own: Column, bands: int) -> Column:
-    """The values of all windows of a stretch, band by band. A shingle is hashed once a band, and a window's least hash is
-    that of the two pieces that make it up."""
+    """The values of all windows of a stretch, band by band: what ``retrieved`` must agree with. A shingle is hashed once a
+    band, and a window's least hash is that of the two pieces that make it up."""
 
     def of_band(band: int) -> Column:
         hashed = F.transform(own, _hash_of(band))
@@ -113,7 +116,7 @@ def _must(name: str, words: list[str], k: int) -> list[list[int]]:
 def template_bands(
     spark: SparkSession, stated: list[tuple[str, str]], cut: list[tuple[str, str]], words: int, bands: int
 ) -> tuple[DataFrame, DataFrame, list[int], int]:
-    """(bands, templates, shingle lengths below ``words`` that templates need, shingles of the longest template).
+    """(places by shingle, templates, shingle lengths below ``words`` that templates need, shingles of the longest template).
 
     The templates are notices and passages of texts; only notices name a version.
     """
@@ -128,13 +131,70 @@ def template_bands(
     own = F.coalesce(*(F.when(F.col("k") == k, shingles(hashes, k)) for k in [*short, words]))
     table = table.select("template", "license", "k", "n", "must", own.alias("run"))
     # Kinds: bands of windows come first, then single shingles.
-    single = table.where(f"n <= {PIECE}").select("template", F.lit(bands).alias("kind"), F.col("run")[0].alias("value"), "k")
+    single = table.where(f"n <= {PIECE}").select("template", F.lit(bands).alias("kind"), F.col("run")[0].alias("value"))
     starts = F.transform(F.sequence(F.lit(0), F.ceil((F.col("n") - PIECE) / PIECE).cast("int")), lambda q: F.least(q * PIECE, F.col("n") - PIECE))
     pieces = table.where(f"n > {PIECE}").withColumn("start", F.explode(starts)).withColumn("piece", F.slice("run", F.col("start") + 1, PIECE))
-    banded = pieces.select("template", F.posexplode(F.array(*bands_of(F.col("piece"), bands))).alias("kind", "value"), "k")
+    banded = pieces.select("template", "piece", F.posexplode(F.array(*bands_of(F.col("piece"), bands))).alias("kind", "least"))
+    # Bands are equal when the shingles that give them are, so a band is met by its shingle, not by its value.
+    own = F.filter("piece", lambda x: F.xxhash64(x, "kind") == F.col("least"))[0]
+    met = single.union(banded.select("template", "kind", own)).distinct()
+    places = met.groupBy("value").agg(F.collect_list(F.struct("kind", "template")).alias("places"))
     must = F.transform("must", lambda places: F.transform(places, lambda i: F.get("run", i)))
     full = table.select("template", "license", "k", F.array_distinct("run").alias("shingles"), must.alias("must"))
-    return single.union(banded.select(*single.columns)).distinct(), full, short, max((r[4] for r in rows), default=0)
+    return places, full, short, max((r[4] for r in rows), default=0)
+
+
+def hits(texts: DataFrame, key: str, text: str, known: DataFrame, short: list[int], longest: int, words: int) -> DataFrame:
+    """(key, around, at, from, value, places) for every place of a stretch whose shingle is one that ``known`` asks for.
+
+    Only these can be the least of a window in a band that a template has, so only here bands are computed.
+    """
+    hashed = texts.select(named(key).alias("key"), F.transform(words_of(named(text)), lambda w: F.xxhash64(w)).alias("words"))
+    runs = hashed.select("key", "words", shingles(F.col("words"), words).alias("s"), F.size("words").alias("n"))
+    # Stretches of the text keep the shingles around their windows. A filter on what is exploded would be computed once
+    # more below; outer explosions have none.
+    stretch = F.when(F.col("n") > 0, F.sequence(F.lit(0), F.floor((F.col("n") - 1) / STRETCH).cast("int")))
+    cut_up = runs.select("key", "words", "s", "n", F.explode_outer(stretch).alias("q"))
+    first = F.greatest(F.col("q") * STRETCH - longest, F.lit(0))
+    cut_up = cut_up.select(
+        "key",
+        F.slice("words", F.col("q") * STRETCH + 1, STRETCH + words).alias("own"),
+        F.slice("s", first + 1, 2 * longest + STRETCH + WINDOW).alias("around"),
+        (F.col("q") * STRETCH - first).alias("from"),
+        F.least(F.col("n") - F.col("q") * STRETCH, F.lit(STRETCH + WINDOW - PIECE)).alias("size"),
+    )
+    places = F.when(F.col("size") > 0, F.sequence(F.lit(0), F.col("size") - 1))
+    spread = cut_up.select("key", "own", "around", "from", F.explode_outer(places).alias("at"))
+
+    def begun(k: int) -> Column:
+        own = [F.get("own", F.col("at") + j) for j in range(k)]
+        return F.when((F.col("at") < STRETCH) & own[-1].isNotNull(), F.xxhash64(*own))
+
+    # A short text still has shorter shingles.
+    values = F.array(F.get("around", F.col("from") + F.col("at")), *(begun(k) for k in short))
+    return spread.select("key", "around", "from", "at", F.explode_outer(values).alias("value")).join(known, "value")
+
+
+def retrieved(found: DataFrame, bands: int) -> DataFrame:
+    """(key, around, template) for the hits that begin a template or are the least shingle of a window in its band."""
+    piece = F.col("from") + F.col("at") - F.pmod("at", F.lit(PIECE))
+    # A place lies in the window that begins at its piece and in the one before, if both are the stretch's.
+    windows = found.select(
+        "key", "around", "value", "places", "at",
+        F.when(F.col("at") < STRETCH, F.slice("around", piece + 1, WINDOW)).alias("here"),
+        F.when(F.col("at") >= PIECE, F.slice("around", piece + 1 - PIECE, WINDOW)).alias("before"),
+    )
+
+    def least(window: str, kind: Column) -> Column:
+        own = F.xxhash64("value", kind)
+        return F.col(window).isNotNull() & F.forall(window, lambda x: F.xxhash64(x, kind) >= own)
+
+    def meets(place: Column) -> Column:
+        kind = place["kind"]
+        return F.when(kind == bands, F.col("at") < STRETCH).otherwise(least("here", kind) | least("before", kind))
+
+    met = windows.select("key", "around", F.explode_outer(F.filter("places", meets)).alias("place"))
+    return met.where("place IS NOT NULL").select("key", "around", "place.template")
 
 
 def matches(
@@ -151,40 +211,8 @@ def matches(
     known, full, short, longest = template_bands(texts.sparkSession, stated, cut, words, bands)
     if sum(len(split(t)) // PIECE + 1 for _, t in [*stated, *cut]) * bands <= BROADCAST_BANDS:
         known, full = F.broadcast(known), F.broadcast(full)
-    # Single shingles are as few as the templates; only those that a template begins with become rows.
-    firsts: dict[int, list[int]] = {k: [] for k in [*short, words]}
-    for r in known.where(F.col("kind") == bands).select("k", "value").distinct().collect():
-        firsts[r["k"]].append(r["value"])
-
-    def begins(values: Column, k: int) -> Column:
-        return F.filter(values, lambda x: x.isin(firsts[k]))
-
-    hashed = texts.select(named(key).alias("key"), F.transform(words_of(named(text)), lambda w: F.xxhash64(w)).alias("words"))
-    runs = hashed.select(
-        "key", shingles(F.col("words"), words).alias("s"), *(begins(shingles(F.col("words"), k), k).alias(f"s{k}") for k in short)
-    )
-    # Stretches of the text keep the shingles around their windows; a short text still has shorter shingles.
-    n = F.greatest(F.size("s"), *(F.size(f"s{k}") for k in short), F.lit(0))
-    stretches = F.transform(
-        F.sequence(F.lit(0), F.floor((n - 1) / STRETCH).cast("int")),
-        lambda q: F.struct(
-            F.slice("s", q * STRETCH + 1, STRETCH + WINDOW - PIECE).alias("own"),
-            F.slice("s", F.greatest(q * STRETCH - longest, F.lit(0)) + 1, 2 * longest + STRETCH + WINDOW).alias("around"),
-            *(F.slice(f"s{k}", q * STRETCH + 1, STRETCH).alias(f"s{k}") for k in short),
-        ),
-    )
-    # A filter on what is exploded would be computed once more below; outer explosions have none.
-    cut_up = runs.select("key", F.explode_outer(F.when(n > 0, stretches)).alias("w")).where("w IS NOT NULL").select("key", "w.*")
-    # Places: the windows in every band, then the single shingles.
-    values = F.concat(
-        window_bands(F.col("own"), bands),
-        begins(F.slice("own", 1, STRETCH), words),
-        *(F.col(f"s{k}") for k in short),
-    )
-    asked = cut_up.select("key", "around", values.alias("values")).select("key", "around", F.posexplode_outer("values").alias("at", "value"))
-    n_windows = STRETCH // PIECE
-    kind = F.when(F.col("at") < n_windows * bands, F.floor(F.col("at") / n_windows).cast("int")).otherwise(F.lit(bands))
-    met = asked.where("value IS NOT NULL").withColumn("kind", kind).join(known.drop("k"), ["kind", "value"]).join(full, "template")
+    found = hits(texts, key, text, known, short, longest, words)
+    met = retrieved(found, bands).join(full, "template")
     whole = F.col("k") < words
     share = F.when(whole, F.lit(1.0)).otherwise(F.size(F.array_intersect("shingles", "around")) / F.size("shingles"))
     right = whole | F.forall("must", lambda own: F.arrays_overlap(own, "around"))

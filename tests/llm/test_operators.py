@@ -342,6 +342,44 @@ def test_windows_of_a_stretch_equal_single_windows(spark):
     assert rows.where(~licenses.window_bands(F.col("own"), 3).eqNullSafe(single)).count() == 0
 
 
+def test_bands_are_computed_only_at_shingles_of_templates_and_lose_no_window(spark):
+    rng = np.random.default_rng(7)
+    cut = [t for t in licenses.passages() if t[0] in ("MPL-2.0", "Apache-2.0")][:40]
+    rows = []
+    for i in range(80):
+        words = " ".join(cut[int(j)][1] for j in rng.integers(0, len(cut), 5)).split()[int(rng.integers(0, 9)) :]
+        for j in rng.integers(0, len(words), int(rng.integers(0, 40))):
+            words[int(j)] = f"other{i}"
+        rows.append((i, " ".join(words)))
+    foreign = [(i, "no template holds any of these words " * 300) for i in (100, 101)]
+    docs = spark.createDataFrame([*rows, *foreign, (102, None), (103, "")], "id long, text string")
+    known, _, short, longest = licenses.template_bands(spark, [], cut, 5, 12)
+    found = licenses.hits(docs, "id", "text", known, short, longest, 5)
+    assert found.where("key >= 100").count() == 0 < found.count()
+    got = {tuple(r) for r in licenses.retrieved(found, 12).select("key", "template").collect()}
+
+    def hashed(text):
+        return licenses.shingles(F.transform(licenses.words_of(F.col(text)), lambda w: F.xxhash64(w)), 5)
+
+    pieces = []
+    for template, (_, text) in enumerate(cut):
+        words = licenses.split(text)
+        n = len(words) - 4
+        assert n > licenses.PIECE
+        starts = {min(at, n - licenses.PIECE) for at in range(0, n, licenses.PIECE)}
+        pieces += [(template, " ".join(words[at : at + licenses.PIECE + 4])) for at in starts]
+    asked = spark.createDataFrame(pieces, "template int, piece string")
+    asked = asked.select("template", F.posexplode(F.array(*licenses.bands_of(hashed("piece"), 12))).alias("kind", "value"))
+    size = licenses.STRETCH + licenses.WINDOW - licenses.PIECE
+    stretches = docs.where("id < 100").select("id", hashed("text").alias("s"))
+    stretches = stretches.select("id", "s", F.explode(F.sequence(F.lit(0), F.size("s"), F.lit(licenses.STRETCH))).alias("at"))
+    stretches = stretches.select("id", F.slice("s", F.col("at") + 1, size).alias("own"))
+    values = stretches.select("id", F.posexplode(licenses.window_bands(F.col("own"), 12)).alias("at", "value")).where("value IS NOT NULL")
+    windows = values.select("id", F.floor(F.col("at") / (licenses.STRETCH // licenses.PIECE)).alias("kind"), "value")
+    expected = {tuple(r) for r in windows.join(asked, ["kind", "value"]).select("id", "template").distinct().collect()}
+    assert got == expected and len(got) > 300
+
+
 def test_licenses_equal_plain_containment(spark):
     """Scans against word shingles compared one by one, over texts cut from templates and columns of odd names."""
     rng = np.random.default_rng(12)
