@@ -18,19 +18,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakekit.llm.columns import named
-from lakekit.llm.textblocks import as_text
+from lakekit.llm.textblocks import as_text, pieces
 from lakekit.session import scratch_path
 
 CAPACITY = 2048
 END_ID = 1
-#: Words a worker remembers; then it starts anew.
+#: Words a worker remembers; then it keeps those of the texts at hand.
 _REMEMBER = 600_000
-_TAIL = b".,;:!?"
+#: Neither white space, letters nor numbers: behind letters they are a unit of their own.
+_TAIL = b"!\"#$%&'()*+,-./:;=?@[\\]^_`{|}~"
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -58,54 +60,65 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(size, dtype=bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        added = "".join(t.content for t in self.tokenizer.get_added_tokens_decoder().values()).encode()
+        self.tail = bytes(c for c in _TAIL if c not in added)
         self.known: dict[bytes, bytes] = {}
 
     def _one(self, word: str) -> bytes:
         ids = self.tokenizer.encode(word, add_special_tokens=False).ids
         return np.array(ids, dtype=self.kind).tobytes()
 
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > _REMEMBER:
-            self.known.clear()
-        plain: dict[str, list[bytes]] = {}
-        for word in words:
-            head = word.rstrip(_TAIL)
-            letters = head.decode()
-            if letters.isalpha():
-                plain.setdefault(letters, []).append(word)
-            else:
-                self.known[word] = self._one(word.decode())
+    def learn(self, words: list[bytes]) -> None:
+        """Know all ``words``, which are distinct, and forget others if these are too many together."""
+        known = self.known
+        missing = [w for w in words if w not in known]
+        if len(known) + len(missing) > _REMEMBER:
+            known = self.known = {w: known[w] for w in words if w in known}
+        heads = [w.rstrip(self.tail) for w in missing]
+        letters = [h for h in dict.fromkeys(heads) if h.isalpha() or h.decode().isalpha()]
+        own = {h: known[h] for h in letters if h in known}
+        plain = [h for h in letters if h not in own]
         # Runs of letters are one unit each to the tokenizer, so many are encoded as one text and parted at word ends.
-        heads = list(plain)
-        for at in range(0, len(heads), 512):
-            some = heads[at : at + 512]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype=self.kind)
-            ends = np.flatnonzero(self.last[ids]) + 1
-            split = len(ends) == len(some) and (not len(ends) or ends[-1] == len(ids))
-            begin = 0
-            for i, letters in enumerate(some):
-                own = ids[begin : ends[i]].tobytes() if split else self._one(letters)
-                begin = ends[i] if split else 0
-                for word in plain[letters]:
-                    tail = word[len(letters.encode()) :]
-                    if tail and tail not in self.known:
-                        self.known[tail] = self._one(tail.decode())
-                    self.known[word] = own + self.known[tail] if tail else own
+        for at in range(0, len(plain), 512):
+            some = plain[at : at + 512]
+            ids = np.array(self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids, dtype=self.kind)
+            ends = (np.flatnonzero(self.last[ids]) + 1) * ids.itemsize
+            if len(ends) == len(some) and ends[-1] == ids.nbytes:
+                ends = ends.tolist()
+                own.update(zip(some, map(ids.tobytes().__getitem__, map(slice, [0, *ends], ends))))
+            else:
+                own.update((head, self._one(head.decode())) for head in some)
+        for word, head in zip(missing, heads):
+            if head not in own:
+                known[word] = self._one(word.decode())
+            elif len(head) == len(word):
+                known[word] = own[head]
+            else:
+                tail = word[len(head) :]
+                if tail not in known:
+                    known[tail] = self._one(tail.decode())
+                known[word] = own[head] + known[tail]
+
+    def ids_of(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of every text; a word that these texts share is looked up once."""
+        # Words part at ASCII white space only; other white space stays inside a word, where the tokenizer drops it.
+        lists = pc.ascii_split_whitespace(texts)
+        words, lower = lists.values, pc.ascii_lower(lists.values)
+        special = pc.match_substring(words, "<|")
+        distinct = (pc.if_else(special, words, lower) if pc.any(special).as_py() else lower).dictionary_encode()
+        _, ends, data = distinct.dictionary.buffers()
+        ends = np.frombuffer(ends, np.int64)[: len(distinct.dictionary) + 1].tolist()
+        own = list(map((data.to_pybytes() if data else b"").__getitem__, map(slice, ends, ends[1:])))
+        self.learn(own)
+        ids = pa.array(map(self.known.__getitem__, own), pa.large_binary()).take(distinct.indices)
+        _, ends, data = ids.buffers()
+        bounds = np.frombuffer(ends, np.int64)[lists.offsets.to_numpy()] // np.dtype(self.kind).itemsize
+        ids, bounds = np.frombuffer(data or b"", dtype=self.kind), bounds.tolist()
+        for start, end in zip(bounds, bounds[1:]):
+            yield ids[start:end]
 
     def ids(self, text: str) -> np.ndarray:
-        raw = text.encode()
-        # Bytes split at ASCII white space only; other white space stays inside a word, where the tokenizer drops it.
-        words = [w if b"<|" in w else w.lower() for w in raw.split()] if b"<|" in raw else raw.lower().split()
-        known = self.known
-        try:
-            return np.frombuffer(b"".join(map(known.__getitem__, words)), dtype=self.kind)
-        except KeyError:
-            pass
-        missing = {w for w in words if w not in known}
-        if len(known) + len(missing) > _REMEMBER:
-            missing = set(words)
-        self._learn(missing)
-        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), dtype=self.kind)
+        return next(self.ids_of(pa.array([text], pa.large_string())))
 
 
 def encoder(path: str) -> Encoder:
@@ -142,8 +155,10 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id:
     words, seen, part = encoder(path), np.zeros(capacity + 1, dtype=np.int64), TaskContext.get().partitionId()
     for batch in batches:
         row, start, length, crc, total, rank, all_ids = [], [], [], [], [], [], []
-        for i, text in enumerate(as_text(batch.column(1)).to_pylist()):
-            ids = np.append(words.ids(text), end_id).astype("<u4")
+        texts = as_text(batch.column(1))
+        each = (ids for at, to in pieces(texts) for ids in words.ids_of(texts.slice(at, to - at)))
+        for i, own_ids in enumerate(each):
+            ids = np.append(own_ids, end_id).astype("<u4")
             for at in range(0, len(ids), capacity):
                 own = ids[at : at + capacity]
                 row.append(i)

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_rows import PASSAGE
 from pyspark.sql import functions as F
@@ -253,6 +254,26 @@ def test_encoder_equals_the_tokenizer():
         assert words.ids(text).tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_learns_a_word_once(monkeypatch):
+    words, asked = packing.Encoder(packing.vocabulary_path()), Counter()
+    tokenizer = words.tokenizer
+
+    class Counting:
+        def encode(self, text, **options):
+            asked.update(text.split())
+            return tokenizer.encode(text, **options)
+
+    words.tokenizer = Counting()
+    monkeypatch.setattr(packing, "_REMEMBER", 60)
+    texts = [f"often often, often$$$ often)* it's 3% a|b often' o'ften% " + " ".join(f"rare{chr(97 + i)}{chr(97 + j)}" for j in range(20)) for i in range(20)]
+    for text in texts:
+        assert words.ids(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert asked["often"] == asked["$$$"] == asked["it's"] == 1 and max(asked.values()) == 1
+    assert len(words.known) <= 60
+    words.known.clear()
+    assert [x.tolist() for x in words.ids_of(pa.array(texts, pa.large_string()))] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_patterns_hold_all_lengths():
     rng = np.random.default_rng(2)
     for _ in range(20):
