@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lakekit.llm.memory import each
+
 PACKED = "block long, h binary, value binary, size binary, data binary"
 
 
@@ -43,7 +45,8 @@ def pack(rows: DataFrame, combine: np.ufunc) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _zstd()
-        for batch in batches:
+
+        def blocks(batch: pa.RecordBatch) -> pa.Table:
             h, block = np.array(batch.column("h").to_pylist(), dtype="S32"), batch.column("block").to_numpy()
             value, text = batch.column("value").to_numpy(), batch.column("text").to_pylist()
             out = []
@@ -57,7 +60,10 @@ def pack(rows: DataFrame, combine: np.ufunc) -> DataFrame:
                 size = np.array([len(data), *map(len, parts)], dtype="<u4")
                 out.append((own, keys.tobytes(), values.astype("<i8").tobytes(), size.tobytes(), codec.compress(data, asbytes=True)))
             kinds = [pa.int64(), *[pa.binary()] * 4]
-            yield from as_table(out, ["block", "h", "value", "size", "data"], kinds).to_batches()
+            return as_table(out, ["block", "h", "value", "size", "data"], kinds)
+
+        for table in each(blocks, batches):
+            yield from table.to_batches()
 
     return rows.select("h", "text", "value", "block").mapInArrow(run, PACKED)
 

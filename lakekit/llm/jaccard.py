@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from lakekit.llm.blocks import as_table, pack, ranges, split_by, unpack
 from lakekit.llm.columns import named
 from lakekit.llm.components import components, salted
+from lakekit.llm.memory import tidy
 from lakekit.llm.textblocks import ALNUM, Piece, mix, pieces
 from lakekit.session import scratch_path
 from lakekit.storage import delete_path
@@ -319,7 +320,7 @@ def join_similar(
 
     # 1. A row for each distinct text.
     schema = "h string, set string, size long, copies long, nodes array<long>, sketch binary"
-    signed = packed.groupBy("block").applyInArrow(lambda table: _sign(table, words, trees, depth, shortest), schema)
+    signed = packed.groupBy("block").applyInArrow(lambda table: tidy(_sign, table, words, trees, depth, shortest), schema)
     signed = _kept(signed, f"{scratch}/signed", schema)
     full = signed.where("set IS NOT NULL")
     sets = full.groupBy("set").agg(
@@ -334,13 +335,13 @@ def join_similar(
     n_met = met.count()
     bucket = F.pmod(F.xxhash64("set"), F.lit(n_met // CHOICE_BUCKET_ROWS + 1))
     asked = met.groupBy(bucket.alias("bucket")).applyInArrow(
-        lambda table: _choose(table, trees, threshold, depth, levels, recall), "node long"
+        lambda table: tidy(_choose, table, trees, threshold, depth, levels, recall), "node long"
     )
     wanted = met.join(asked.distinct(), "node", "left_semi").select("node", "set", "n")
     dealt = _deal(wanted.join(sets.select("set", "sketch"), "set"), "node", "set", "n", NODE_SHARE, n_met // NODE_BUCKET_ROWS + 1)
     least = least_agreement(threshold, n_hashes)
     likely = dealt.select("task", "node", "i", "j", "own", "set", "sketch").groupBy("task").applyInArrow(
-        lambda table: _likely(table, least), "a string, b string"
+        lambda table: tidy(_likely, table, least), "a string, b string"
     )
     candidates = components(likely, scratch)
 
@@ -350,11 +351,11 @@ def join_similar(
     wanted = _kept(wanted, f"{scratch}/candidates", "set string, h string, copies long, component string, n long")
     wanted_at = wanted.withColumn("block", F.pmod(F.xxhash64("h"), F.lit(total // BLOCK_BYTES + 1)))
     found = packed.groupBy("block").cogroup(wanted_at.groupBy("block")).applyInArrow(
-        lambda texts, asked: _grams(texts, asked, words), "set string, copies long, component string, n long, grams binary"
+        lambda texts, asked: tidy(_grams, texts, asked, words), "set string, copies long, component string, n long, grams binary"
     )
     dealt = _deal(found, "component", "set", "n", SET_SHARE, total // SET_BUCKET_BYTES + 1)
     verified = dealt.select("task", "component", "i", "j", "own", "set", "copies", "grams").groupBy("task").applyInArrow(
-        lambda table: _verify(table, threshold), "set string, root string, documents long, sets long"
+        lambda table: tidy(_verify, table, threshold), "set string, root string, documents long, sets long"
     )
     verified = _kept(verified, f"{scratch}/links", "set string, root string, documents long, sets long")
     links = verified.groupBy("set").agg(F.sum("documents").alias("documents"), F.sum("sets").alias("sets"))

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakekit.llm.columns import named
+from lakekit.llm.memory import each
 from lakekit.llm.textblocks import as_text, pieces
 from lakekit.session import scratch_path
 
@@ -153,11 +154,12 @@ def patterns(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[i
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     words, seen, part = encoder(path), np.zeros(capacity + 1, dtype=np.int64), TaskContext.get().partitionId()
-    for batch in batches:
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         row, start, length, crc, total, rank, all_ids = [], [], [], [], [], [], []
         texts = as_text(batch.column(1))
-        each = (ids for at, to in pieces(texts) for ids in words.ids_of(texts.slice(at, to - at)))
-        for i, own_ids in enumerate(each):
+        found = (ids for at, to in pieces(texts) for ids in words.ids_of(texts.slice(at, to - at)))
+        for i, own_ids in enumerate(found):
             ids = np.append(own_ids, end_id).astype("<u4")
             for at in range(0, len(ids), capacity):
                 own = ids[at : at + capacity]
@@ -176,7 +178,9 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id:
         if with_ids:
             columns.append(pa.array(all_ids, pa.list_(pa.int32())))
             names.append("ids")
-        yield pa.RecordBatch.from_arrays(columns, names)
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    yield from each(cut, batches)
 
 
 def pack(

@@ -14,7 +14,6 @@ empty table gives no rows; other columns are ignored, or handed through by :func
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakekit.llm.columns import fields, named
+from lakekit.llm.memory import tidy
 from lakekit.llm.textblocks import VISIBLE, Piece, as_text, covered, mix, per_doc_sum, pieces
 
 MIN_WORDS = 10
@@ -31,6 +31,8 @@ REPEAT_WORDS = 5
 MAX_COVERED = 20
 #: The longest repeat may have so many words.
 MAX_LONGEST = 100
+#: Bytes of text sorted at once; sorting takes about fifty times as much memory.
+_SORT_BYTES = 1 << 20
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _FIELDS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "longest_repeat"]
@@ -96,7 +98,7 @@ def repeat_lengths(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
 def _measure(text: pa.Array, least: int) -> np.ndarray:
     """The counts of _FIELDS for every text, one row each."""
     parts = []
-    for lo, hi in pieces(text):
+    for lo, hi in pieces(text, _SORT_BYTES):
         piece = Piece(text.slice(lo, hi - lo)).split(VISIBLE)
         to = piece.first + piece.counts
         longest = repeat_lengths(piece.word_hashes(), piece.doc)
@@ -126,15 +128,20 @@ def _dup_lines(text: bytes) -> int:
 
 
 def measure(documents: DataFrame, text: str = "text", repeat_words: int = REPEAT_WORDS) -> DataFrame:
-    """``documents`` as struct ``row`` with its counts of words, symbols, lines and repeats."""
-    rows = documents.select(F.struct(*(named(c) for c in documents.columns)).alias("row"), named(text).alias("text"))
+    """``documents`` as struct ``row`` with its counts of words, symbols, lines and repeats.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = _measure(as_text(batch.column("text")), repeat_words)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), *map(pa.array, values)], ["row", *_FIELDS])
+    Only the text goes to Python, once, and only counts come back.
+    """
+
+    @F.arrow_udf(fields(**dict.fromkeys(_FIELDS, "long")))
+    def count(texts: pa.Array) -> pa.Array:
+        values = tidy(_measure, as_text(texts), repeat_words)
+        return pa.StructArray.from_arrays([pa.array(v) for v in values], _FIELDS)
 
-    return rows.mapInArrow(count, fields(row=rows.schema["row"].dataType, **dict.fromkeys(_FIELDS, "long")))
+    # So that no optimizer rule counts once for a filter and once more for the counts.
+    counts = count.asNondeterministic()(named(text))
+    rows = documents.select(F.struct(*(named(c) for c in documents.columns)).alias("row"), counts.alias("counts"))
+    return rows.select("row", *(F.col("counts").getField(c).alias(c) for c in _FIELDS))
 
 
 def verdict(

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from lakekit.llm.blocks import as_table, pack, ranges, split_by, unpack
 from lakekit.llm.columns import named
+from lakekit.llm.memory import tidy
 from lakekit.llm.suffixes import Strings, common_prefixes, suffix_array
 from lakekit.llm.textblocks import Piece, covered, hash_ranges, mix, pieces
 
@@ -265,7 +266,7 @@ def _judge(documents: DataFrame, doc_id: str, text: str, length: int, with_text:
     blocks = pack(texts.withColumnRenamed("id", "value"), np.minimum)
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
-        keys, many = _Block(table, length).anchors()
+        keys, many = tidy(lambda: _Block(table, length).anchors())
         out = [
             (bucket, key[0].as_py(), _binary(keys[own], "<u8"), np.packbits(many[own]).tobytes())
             for bucket, own in split_by((keys % np.uint64(n_anchors)).astype(np.int64))
@@ -273,21 +274,21 @@ def _judge(documents: DataFrame, doc_id: str, text: str, length: int, with_text:
         return as_table(out, ["bucket", "block", "keys", "many"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()])
 
     def send(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
-        out = _contexts(_Block(texts, length), answers, n_contexts) if texts.num_rows and answers.num_rows else []
+        out = tidy(lambda: _contexts(_Block(texts, length), answers, n_contexts)) if texts.num_rows and answers.num_rows else []
         names = ["bucket", "block", "keys", "grams", "least", "most", "sizes", "data"]
         out = [(row[0], key[0].as_py(), *row[1:]) for row in out]
         return as_table(out, names, [pa.int64(), pa.int64(), *[pa.binary()] * 6])
 
     def cut(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
-        return _cut(_Block(texts, length), answers, with_text)
+        return tidy(lambda: _cut(_Block(texts, length), answers, with_text))
 
     asked = blocks.groupBy("block").applyInArrow(ask, "bucket long, block long, keys binary, many binary")
-    shared = asked.groupBy("bucket").applyInArrow(_shared, "block long, keys binary")
+    shared = asked.groupBy("bucket").applyInArrow(lambda table: tidy(_shared, table), "block long, keys binary")
     sent = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(
         send, "bucket long, block long, keys binary, grams binary, least binary, most binary, sizes binary, data binary"
     )
     answers = sent.groupBy("bucket").applyInArrow(
-        lambda table: _compare(table, length), "block long, keys binary, grams binary, first binary, last binary, ids binary"
+        lambda table: tidy(_compare, table, length), "block long, keys binary, grams binary, first binary, last binary, ids binary"
     )
     schema = "h string, first_id long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(cut, schema)
